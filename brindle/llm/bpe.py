@@ -25,8 +25,8 @@ from .common import batch, small_batches, texts
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 NO_RANK = np.int64(1 << 40)
 WIDE = 512
-#: Cells of a matrix, and words whose ids are remembered by a worker; beyond that it forgets them.
-CELLS, WORDS = 1 << 20, 500_000
+#: Cells of a matrix, and text parts whose ids are remembered by a worker; what came first stays.
+CELLS, WORDS = 1 << 20, 600_000
 
 
 class PairTable:
@@ -172,8 +172,6 @@ class ByteBpe:
 
     def _learn(self, parts: set[str], known: dict[str, bytes | None], lead: str) -> None:
         """Ids of the text between two single spaces. None marks parts next to further white space, where a word could reach over the border."""
-        if len(known) + len(parts) > WORDS:
-            known.clear()
         safe = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
         split = [self.find(lead + p) for p in safe]
         words = list({w for ws in split for w in ws})
@@ -184,15 +182,16 @@ class ByteBpe:
     def encode_many(self, docs: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. New words of all the texts are encoded together."""
         split = [text.split(" ") for text in docs]
-        if new := {p for parts in split for p in parts[1:]} - self.known.keys():
-            self._learn(new, self.known, " ")
-        if new := {parts[0] for parts in split} - self.heads.keys():
-            self._learn(new, self.heads, "")
+        new = set().union(*(parts[1:] for parts in split)) - self.known.keys()
+        heads = {parts[0] for parts in split} - self.heads.keys()
+        self._learn(new, self.known, " ")
+        self._learn(heads, self.heads, "")
+        known = self.known.__getitem__
         out: list[bytes | None] = []
         for parts in split:
             try:
-                out.append(self.heads[parts[0]] + b"".join([self.known[p] for p in parts[1:]]))
-            except (TypeError, KeyError):  # further white space, or words forgotten meanwhile
+                out.append(self.heads[parts[0]] + b"".join(map(known, parts[1:])))
+            except TypeError:  # further white space
                 out.append(None)
         if rest := [i for i, x in enumerate(out) if x is None]:
             found = [self.find(docs[i]) for i in rest]
@@ -200,6 +199,10 @@ class ByteBpe:
             ids = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
             for i, ws in zip(rest, found, strict=True):
                 out[i] = b"".join(map(ids.__getitem__, ws))
+        for memory, more in ((self.known, new), (self.heads, heads)):
+            if len(memory) > WORDS:
+                for p in more:
+                    del memory[p]
         return out
 
     def decode(self, ids: bytes) -> bytes:

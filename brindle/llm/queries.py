@@ -6,12 +6,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, idstore, quality
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
 TOKENIZERS = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+WORD_BPE, END_ID = f"{TOKENIZERS}/word_bpe_49k.json", 1
 #: Splits text before the merges of the rank files; a fixed value of the public tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -20,5 +21,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idstore.checksums(idstore.stored(table(spark, sf_dir, "documents"), WORD_BPE, END_ID))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_token_store, op9_quality)}
 ORACLES: dict[str, str] = {}
