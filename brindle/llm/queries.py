@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, idstore, quality
+from . import bpe, idstore, quality, simhash
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN, digests=True)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.checksums(idstore.stored(table(spark, sf_dir, "documents"), WORD_BPE, END_ID))
 
@@ -29,5 +33,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_token_store, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_simhash, op7_token_store, op9_quality)}
 ORACLES: dict[str, str] = {}
