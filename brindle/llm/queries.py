@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, idstore, quality, simhash
+from . import bpe, idstore, quality, simhash, warc
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -29,9 +29,13 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.checksums(idstore.stored(table(spark, sf_dir, "documents"), WORD_BPE, END_ID))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.converted(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_simhash, op7_token_store, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_simhash, op7_token_store, op8_warc, op9_quality)}
 ORACLES: dict[str, str] = {}
