@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, idstore, quality, simhash, warc
+from . import bpe, idstore, quality, simhash, vecdup, warc
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -21,6 +21,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN, digests=True)
 
 
+def op5_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
 
@@ -37,5 +41,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_simhash, op7_token_store, op8_warc, op9_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality)}
+#: op5 by brute force; equal cosines in another order of summation could differ at the threshold, which no vector here meets.
+OP5 = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links,
+  least(e.vec_id, coalesce((select min(b) from r where r.a = e.vec_id), e.vec_id)) as component_id,
+  e.vec_id = least(e.vec_id, coalesce((select min(b) from r where r.a = e.vec_id), e.vec_id)) as kept
+from embeddings e
+"""
+ORACLES: dict[str, str] = {"op5_vector_neardup": OP5}
