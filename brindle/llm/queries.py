@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, idstore, quality, simhash, vecdup, warc
+from . import bpe, decontam, idstore, quality, simhash, vecdup, warc
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -41,7 +41,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality, op10_decontamination)}
 #: op5 by brute force; equal cosines in another order of summation could differ at the threshold, which no vector here meets.
 OP5 = """
 with recursive v as (
