@@ -6,13 +6,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, idstore, quality, simhash, vecdup, warc
+from . import bpe, decontam, idstore, maxmatch, quality, simhash, vecdup, warc
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
 TOKENIZERS = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 WORD_BPE, END_ID = f"{TOKENIZERS}/word_bpe_49k.json", 1
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Splits text before the merges of the rank files; a fixed value of the public tokenizers.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -21,6 +22,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN, digests=True)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxmatch.token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op5_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
@@ -45,7 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_token_counts, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality, op10_decontamination)}
 #: op5 by brute force; equal cosines in another order of summation could differ at the threshold, which no vector here meets.
 OP5 = """
 with recursive v as (
