@@ -23,15 +23,18 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch, new_path, small_batches, texts
+from .common import batch, gathered, new_path, small_batches
 
 ROW_GROUP_BYTES, PAGE_ROWS = 32 << 20, 500
-#: Chunks of text, and words and punctuation in them, whose ids a worker remembers.
-CHUNKS, PIECES = 600_000, 600_000
+#: Pieces of text whose ids a worker remembers.
+PIECES = 600_000
+#: Bytes of text that are split and encoded together.
+TOGETHER = 8 << 20
 #: What may follow the letters of a chunk; a run of these is one piece to the tokenizer.
 TAIL = b".,;:!?*$%&#"
 SCHEMA = "part int, doc_id long, start_in_part long, n_tokens long, ids array<int>"
@@ -54,8 +57,7 @@ class ChunkEncoder:
         self.border = border.encode()
         self.ends = np.zeros(self.of.get_vocab_size(), bool)
         self.ends[[i for t, i in self.of.get_vocab().items() if t.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.of.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -80,38 +82,53 @@ class ChunkEncoder:
                 out |= {c: self._ids(c).tobytes() for c in part}
         return out
 
-    def _learn(self, new: set[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
-        simple: dict[bytes, tuple[bytes, bytes]] = {}
-        odd: list[bytes] = []
-        for c in new:
+    def _of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        known = self.known
+        heads, tails, odd = [], [], []
+        for c in chunks:
             head = c.rstrip(TAIL)
             if head.isalpha():  # ASCII letters
-                simple[c] = head.lower(), c[len(head) :]
+                heads.append(head.lower())
+                tails.append(c[len(head) :])
             elif not head:
-                simple[c] = b"", c
+                heads.append(b"")
+                tails.append(c)
+            elif c in known:
+                heads.append(c)
+                tails.append(b"")
             elif (word := head.decode()).isalpha() and (lower := word.lower()).isalpha() and len(lower) == len(word) and is_normalized("NFC", word):
-                simple[c] = head, c[len(head) :]
+                heads.append(head)
+                tails.append(c[len(head) :])
             else:
                 odd.append(c)
-        unknown = {p for pair in simple.values() for p in pair} - self.pieces.keys()
-        found = self._encode(list(unknown), True)
-        self.pieces |= found
-        learnt = self._encode(odd, False) | {c: self.pieces[a] + self.pieces[b] for c, (a, b) in simple.items()}
-        return learnt, found
-
-    def encode(self, docs: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() for t in docs]
-        learnt, found = self._learn(set().union(*split) - self.chunks.keys())
-        self.chunks |= learnt
-        known = self.chunks.__getitem__
-        out = [b"".join(map(known, cs)) for cs in split]
-        for memory, more, most in ((self.chunks, learnt, CHUNKS), (self.pieces, found, PIECES)):
-            if len(memory) > most:  # what came first stays: it is the frequent
-                for c in more:
-                    del memory[c]
+                heads.append(c)
+                tails.append(b"")
+        new = set(heads).union(tails).difference(known, odd)
+        learnt = self._encode(list(new), True) | self._encode(odd, False)
+        known |= learnt
+        out = [known[a] + known[b] if b else known[a] for a, b in zip(heads, tails, strict=True)]
+        if len(known) > PIECES:  # what came first stays: it is the frequent
+            for c in learnt:
+                del known[c]
         return out
 
+    def encode(self, docs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) one after another, and how many each text has."""
+        split = pc.ascii_split_whitespace(docs.cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids = self._of_chunks(words.dictionary.cast(pa.large_binary()).to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        take = np.repeat(start[at] - (ends - sizes), sizes)
+        take += np.arange(len(take))
+        per_doc = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())))]
+        return flat[take], np.diff(per_doc)
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -127,14 +144,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, start, end = encoder(tokenizer), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            ids = [x + end for x in enc.encode(texts(b.column("text")))]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for b in gathered(batches, TOGETHER):
+            ids, sizes = enc.encode(b.column("text"))
+            at = np.cumsum(sizes)
+            ids, sizes = np.insert(ids, at, end_id), sizes + 1
             ends = np.cumsum(sizes)
-            column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield batch(ARROW, np.full(len(ids), part, np.int32), b.column("doc_id"), start + ends - sizes, sizes, column)
-            start += int(ends[-1]) if len(ends) else 0
+            column = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype("<u4").view("<i4")))
+            yield batch(ARROW, np.full(len(sizes), part, np.int32), b.column("doc_id"), start + ends - sizes, sizes, column)
+            start += int(sizes.sum())
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     options = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.enable.dictionary": "true"}
