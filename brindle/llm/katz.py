@@ -29,7 +29,6 @@ count and give a row; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -42,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, new_path, pack, shuffle_partitions, small_batches, unpack
+from .common import gathered, pack, shuffle_partitions, small_batches, unpack
+from .stages import ROWS, frame, join, record_batch, rows_of, split, stage
 
 #: Bytes of text in a chunk.
 CHUNK = 12 << 20
 #: Counts above K are not discounted.
 K = 5
-ROWS = "chunk long, kind int, bucket int, data binary"
 DOCS, WORDS, WORD_REPLY, UNIGRAMS, SUMS, PAIRS, PAIR_REPLY, BIGRAMS, HOT = range(9)
 
 
@@ -57,23 +56,6 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
 
 
-def join(*parts: bytes) -> bytes:
-    return struct.pack(f"<{len(parts) + 1}q", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def split(data: bytes) -> list[bytes]:
-    n = struct.unpack_from("<q", data)[0]
-    sizes, at, out = struct.unpack_from(f"<{n}q", data, 8), 8 * (n + 1), []
-    for s in sizes:
-        out.append(data[at : at + s])
-        at += s
-    return out
-
-
-def frame(rows: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "data"])
-
-
 # -- the model
 
 
@@ -123,7 +105,7 @@ def _tokenise(docs: DataFrame, buckets: int) -> DataFrame:
         part = TaskContext.get().partitionId()
         for k, b in enumerate(gathered((x for x in batches if x.num_rows), CHUNK)):
             rows = [(part << 24 | k, *r) for r in chunk_words(b.column("doc_id"), b.column("held_out"), b.column("text"), buckets)]
-            yield pa.RecordBatch.from_pandas(frame(rows), schema=pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())]), preserve_index=False)
+            yield record_batch(rows)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, ROWS)
@@ -306,16 +288,9 @@ def scores(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     buckets = shuffle_partitions(spark)
 
-    def stage(df: DataFrame, tag: str) -> DataFrame:
-        df.write.partitionBy("kind").option("compression", "none").parquet(path := new_path(spark, f"katz-{tag}"))
-        return spark.read.schema(ROWS).parquet(path)
-
-    def rows(df: DataFrame, *kinds: int) -> DataFrame:
-        return df.where(F.col("kind").isin(*kinds)).select("chunk", "kind", "bucket", "data")
-
-    a = stage(_tokenise(docs, buckets), "words")
-    b = stage(rows(a, WORDS).groupBy("bucket").applyInPandas(bucket_words, ROWS), "unigrams")
-    sums = {r.bucket: np.frombuffer(r.data, np.int64) for r in rows(b, SUMS).collect()}  # a few numbers a bucket
+    a = stage(_tokenise(docs, buckets), "katz-words")
+    b = stage(rows_of(a, WORDS).groupBy("bucket").applyInPandas(bucket_words, ROWS), "katz-unigrams")
+    sums = {r.bucket: np.frombuffer(r.data, np.int64) for r in rows_of(b, SUMS).collect()}  # a few numbers a bucket
     start = np.concatenate(([0], np.cumsum([sums[k][0] if k in sums else 0 for k in range(buckets)])))
     if start[-1] >= 1 << 32:
         raise ValueError("a corpus of over 2^32 distinct words")
@@ -323,14 +298,14 @@ def scores(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(whole[3:], int(whole[1]), int(whole[2]))
     hot = max(1000, unigrams.total // (8 * buckets))  # so there are at most 8 * buckets hot contexts
     start = start[:-1]
-    c = stage(rows(a, DOCS).unionByName(rows(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS), "pairs")
-    d = stage(rows(c, PAIRS).groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS), "bigrams")
-    n = np.sum([*(np.frombuffer(r.data, np.int64) for r in rows(d, SUMS).collect()), np.zeros(K + 3, np.int64)], axis=0)
+    c = stage(rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS), "katz-pairs")
+    d = stage(rows_of(c, PAIRS).groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS), "katz-bigrams")
+    n = np.sum([*(np.frombuffer(r.data, np.int64) for r in rows_of(d, SUMS).collect()), np.zeros(K + 3, np.int64)], axis=0)
     of_pairs = discounts(n)
     hot_contexts: dict[int, np.ndarray] = {}
-    for r in rows(d, HOT).toLocalIterator():
+    for r in rows_of(d, HOT).toLocalIterator():
         context, *stats = map(unpack, split(r.data))
         for i, x in zip(context.tolist(), np.stack(stats, axis=1), strict=True):
             hot_contexts[i] = hot_contexts.get(i, 0) + x
-    out = rows(a, DOCS).unionByName(rows(b, WORD_REPLY)).unionByName(rows(d, PAIR_REPLY))
+    out = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).unionByName(rows_of(d, PAIR_REPLY))
     return out.groupBy("chunk").applyInPandas(lambda x: chunk_scores(x, start, buckets, hot, unigrams, of_pairs, hot_contexts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

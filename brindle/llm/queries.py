@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, idstore, katz, maxmatch, quality, simhash, vecdup, warc
+from . import bpe, decontam, idstore, katz, maxmatch, quality, sadedup, simhash, vecdup, warc
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers are.
@@ -26,6 +26,10 @@ def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sadedup.dedup(table(spark, sf_dir, "documents"), 50)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxmatch.token_counts(table(spark, sf_dir, "documents"), PIECES)
 
@@ -54,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_katz, op4_token_counts, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_katz, op3_suffix_dedup, op4_token_counts, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality, op10_decontamination)}
 #: op5 by brute force; equal cosines in another order of summation could differ at the threshold, which no vector here meets.
 OP5 = """
 with recursive v as (
