@@ -29,6 +29,11 @@ MOST = 65535
 BLOCK = 64
 
 
+def places(n: int) -> type:
+    """The type of places in a text of n symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def scratch(n: int, kind: type, memory: int) -> np.ndarray:
     """An array of zeros, in a scratch file without a name if it takes more than memory bytes."""
     if n * np.dtype(kind).itemsize <= memory:
@@ -41,8 +46,8 @@ def scratch(n: int, kind: type, memory: int) -> np.ndarray:
 class DiskQueues:
     """FIFO buckets of (place, common prefix) arrays. Beyond `memory` bytes what is held goes to a scratch file."""
 
-    def __init__(self, memory: int):
-        self.memory, self.held, self.file, self.spilled = memory, 0, None, 0
+    def __init__(self, memory: int, kind: type):
+        self.kind, self.memory, self.held, self.file, self.spilled = np.dtype(kind), memory, 0, None, 0
         self.buckets: dict[int, list] = defaultdict(list)
 
     def push(self, key: int, place: np.ndarray, common: np.ndarray) -> None:
@@ -59,7 +64,7 @@ class DiskQueues:
             if new := [p for p in parts if not isinstance(p[0], int)]:
                 place, common = (np.concatenate(c) for c in zip(*new, strict=True))
                 kept.append((self.file.tell(), len(place)))
-                self.file.write(place.astype("<i8").tobytes() + common.astype("<u2").tobytes())
+                self.file.write(place.tobytes() + common.tobytes())
                 self.spilled += len(place)
             self.buckets[key] = kept
         self.held = 0
@@ -73,8 +78,8 @@ class DiskQueues:
         for a, b in parts:
             if isinstance(a, int):
                 self.file.seek(a)
-                raw = self.file.read(10 * b)
-                a, b = np.frombuffer(raw, "<i8", b), np.frombuffer(raw, "<u2", b, 8 * b)
+                raw = self.file.read((self.kind.itemsize + 2) * b)
+                a, b = np.frombuffer(raw, self.kind, b), np.frombuffer(raw, np.uint16, b, self.kind.itemsize * b)
             else:
                 self.held -= a.nbytes + b.nbytes
             out.append((a, b))
@@ -105,35 +110,43 @@ class RangeMinima:
         return out
 
 
-def refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """rank: for each item, how many are in smaller groups. Splits the groups of the active items (whole groups) by key; gives
-    those active items that still share a group."""
-    order = np.argsort(key, kind="stable") if len(active) == len(rank) and not rank.any() else np.lexsort((key, rank[active]))
-    items, group, key = active[order], rank[active[order]], key[order]
-    at = np.arange(len(items))
+def refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray, bound: int = 0) -> np.ndarray:
+    """rank: for each item, how many are in smaller groups. Splits the groups of the active items (whole groups) by key, which lies
+    below bound if that is given; gives those active items that still share a group."""
+    group = rank[active]
+    if len(active) == len(rank) and not group.any():
+        order = np.argsort(key)
+    elif bound and len(rank) * bound < 1 << 62:
+        order = np.argsort(group.astype(np.int64) * bound + key)
+    else:
+        order = np.lexsort((key, group))
+    items, group, key = active[order], group[order], key[order]
+    del order
+    at = np.arange(len(items), dtype=rank.dtype)
     new_group = np.concatenate(([True], group[1:] != group[:-1]))
     new = new_group | np.concatenate(([True], key[1:] != key[:-1]))
-    first_of_group = np.maximum.accumulate(np.where(new_group, at, 0))
+    del key
     first = np.maximum.accumulate(np.where(new, at, 0))
-    rank[items] = group + first - first_of_group
-    single = new & np.concatenate((new[1:], [True]))
-    return items[~single]
+    first -= np.maximum.accumulate(np.where(new_group, at, 0))
+    rank[items] = group + first
+    return items[~(new & np.concatenate((new[1:], [True])))]
 
 
 def direct(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and common prefixes, by prefix doubling."""
-    n = len(text)
+    n, kind = len(text), places(len(text))
     key = text.astype(np.int64)
     zeros = np.flatnonzero(key == 0)
     key += len(zeros)
     key[zeros] = np.arange(len(zeros))
-    rank = np.zeros(n, np.int64)
-    active, h = refine(rank, np.arange(n), key), 1
+    rank = np.zeros(n, kind)
+    active, h = refine(rank, np.arange(n, dtype=kind), key), 1
+    del key
     while len(active):
-        active = refine(rank, active, rank[np.minimum(active + h, n - 1)])
+        active = refine(rank, active, rank[np.minimum(active + h, n - 1)], n)
         h *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
+    order = np.empty(n, kind)
+    order[rank] = np.arange(n, dtype=kind)
     return order, common_prefixes(text, order[:-1], order[1:])
 
 
@@ -151,13 +164,15 @@ def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 def _types(text: np.ndarray, memory: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is S (smaller than the next), and how often its first symbol repeats (up to MOST)."""
     n = len(text)
-    differs = np.flatnonzero(text[1:] != text[:-1])
-    ends = np.append(differs, n - 1)  # the last places of runs
-    size = np.diff(ends, prepend=-1)
-    after = np.append(text[ends[:-1] + 1], 0)
     is_s, run = scratch(n, bool, memory), scratch(n, np.uint16, memory)
-    is_s[:] = np.repeat(text[ends] < after, size)
-    run[:] = np.minimum(np.repeat(ends, size) - np.arange(n) + 1, MOST)
+    is_s[:-1] = text[:-1] < text[1:]
+    run[:] = 1
+    same = np.flatnonzero(text[:-1] == text[1:])
+    if len(same):
+        last = np.flatnonzero(np.diff(same, append=n + 1) != 1)  # where a row of equal symbols stops
+        end = np.repeat(same[last] + 1, np.diff(last, prepend=-1))
+        is_s[same] = is_s[end]
+        run[same] = np.minimum(end - same + 1, MOST)
     zero = np.flatnonzero(text == 0)
     is_s[zero], run[zero] = True, 1
     return is_s, run
@@ -168,9 +183,9 @@ def _names(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> np.ndarray:
     one, so no substring is the beginning of another."""
     n, bits = len(text), max(1, int(text.max()).bit_length()) + 1
     per_word = 63 // bits
-    size = np.diff(stars, append=n - 1) + 1
+    size = np.diff(stars, append=stars.dtype.type(n - 1)) + 1
     size[text[stars] == 0] = 1
-    rank, active, k = np.zeros(len(stars), np.int64), np.arange(len(stars)), 0
+    rank, active, k = np.zeros(len(stars), stars.dtype), np.arange(len(stars), dtype=stars.dtype), 0
     while len(active):
         word = np.zeros(len(active), np.int64)
         for j in range(k, k + per_word):
@@ -179,9 +194,11 @@ def _names(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray) -> np.ndarray:
         active = refine(rank, active, word)
         k += per_word
         active = active[size[active] > k]
-    names = np.unique(rank, return_inverse=True)[1]
+    taken = np.zeros(len(stars) + 1, bool)
+    taken[rank] = True
+    names = np.cumsum(taken, dtype=stars.dtype)[rank]  # from 1
     zeros = text[stars] == 0
-    return np.where(zeros, 0, names + (0 if zeros.any() else 1))
+    return np.where(zeros, 0, names - bool(zeros.any()))
 
 
 def suffixes(text: np.ndarray, memory: int = 256 << 20, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +210,7 @@ def suffixes(text: np.ndarray, memory: int = 256 << 20, block: int = BLOCK) -> t
     star = is_s.copy()
     star[1:] &= ~is_s[:-1] | (text[1:] == 0)
     star[0] = text[0] == 0
-    stars = np.flatnonzero(star)
+    stars = np.flatnonzero(star).astype(places(n))
     del star
     names = _names(text, is_s, stars)
     if names.max(initial=0) * block > len(names) or not names.any():
@@ -201,7 +218,7 @@ def suffixes(text: np.ndarray, memory: int = 256 << 20, block: int = BLOCK) -> t
     else:
         order, common = suffixes(names, memory, block)
     # common prefixes of names to those of symbols: equal names, then the beginnings of the first unlike ones
-    a, b, l = order[:-1], order[1:], common[1:].astype(np.int64)  # noqa: E741
+    a, b, l = order[:-1], order[1:], common[1:].astype(order.dtype)  # noqa: E741
     place, other = stars[a + l], stars[b + l]
     seeds = stars[order]
     of_seeds = np.zeros(len(seeds), np.uint16)
@@ -215,7 +232,8 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, seeds: np.ndarr
     first = text[seeds]
     bounds = {int(c): (int(a), int(b)) for c, a, b in zip(symbols, np.searchsorted(first, symbols, "left"), np.searchsorted(first, symbols, "right"), strict=True)}
     carry = np.zeros(int(symbols[-1]) + 1, np.int32)
-    queue, sorted_l = DiskQueues(memory // 2), DiskQueues(memory // 2)
+    kind = places(len(text))
+    queue, sorted_l = DiskQueues(memory // 2, kind), DiskQueues(memory // 2, kind)
     begun: set[int] = set()
 
     def scan(place: np.ndarray, common: np.ndarray, wanted: bool) -> None:
@@ -263,7 +281,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, seeds: np.ndarr
             scan(seeds[a:b], common, False)
     begun.clear()
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    zeros = np.flatnonzero(text == 0)
+    zeros = np.flatnonzero(text == 0).astype(kind)
     for c in symbols.tolist()[::-1]:  # S suffixes, from the largest
         carry[:] = 0
         if c == 0:
@@ -289,9 +307,9 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, seeds: np.ndarr
         if got is not None:
             parts.append((got[0], got[1]))
     queue.close(), sorted_l.close()
-    place, common = scratch(len(text), np.int64, memory), scratch(len(text), np.uint16, memory)
+    place, common = scratch(len(text), kind, memory), scratch(len(text), np.uint16, memory)
     end = len(text)
-    for p, l in parts:  # noqa: E741
+    for p, l in parts:  # noqa: E741; the parts run from the end
         place[end - len(p) : end], common[end - len(p) : end] = p, l
         end -= len(p)
     return place, common

@@ -19,7 +19,7 @@ context is hot). A bucket keeps its part of the count tables and replies to each
     D  bucket: sums counts of pairs, statistics of contexts          -> BIGRAMS, PAIR_REPLY
     E  chunk:  evaluates each token recursively and sums by document -> scores
 
-Each stage is a table in the shared folder, partitioned by kind; rows are (chunk, kind, bucket, data), data packed arrays of
+Each stage but C, whose pairs only pass through a shuffle, is a table in the shared folder, partitioned by kind; rows are (chunk, kind, bucket, data), data packed arrays of
 a chunk and bucket. The number of buckets is spark.sql.shuffle.partitions. Only count-of-count sums, the sizes of the
 buckets and the statistics of hot contexts (a bounded number of each) reach the driver.
 
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered, pack, shuffle_partitions, small_batches, unpack
-from .stages import ROWS, frame, join, record_batch, rows_of, split, stage
+from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage
 
 #: Bytes of text in a chunk.
 CHUNK = 12 << 20
@@ -125,8 +125,8 @@ def chunk_words(doc_ids: pa.Array, held: pa.Array, docs: pa.Array, buckets: int)
     sizes = np.bincount(doc, minlength=len(sizes))
     at = np.insert(at, np.cumsum(sizes), end)
     doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
+    bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+    order = pc.sort_indices(pa.table({"bucket": bucket, "word": pa.array(words, pa.large_binary())}), [("bucket", "ascending"), ("word", "ascending")]).to_numpy().astype(np.int64)
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     learn = ~np.asarray(held)
@@ -188,29 +188,29 @@ class Chunk:
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return ((x >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32 if buckets > 32767 else np.int16)
 
-    def distinct(self, buckets: int, hot: int) -> tuple[np.ndarray, ...]:
-        """Distinct pairs (context, word) by bucket, in order; where each bucket's begin."""
-        pairs = np.unique(self.pair)
+    def distinct(self, pairs: np.ndarray, buckets: int, hot: int) -> tuple[np.ndarray, ...]:
+        """Of sorted distinct pairs: their order by bucket, context and word in that order, where each bucket begins."""
         before, after = np.divmod(pairs, len(self.number))
         bucket = self.buckets_of(before, after, buckets, hot)
         order = np.argsort(bucket, kind="stable")
-        return pairs[order], before[order], after[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return order, before[order], after[order], np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
 
 
 def chunk_pairs(rows: pd.DataFrame, start: np.ndarray, buckets: int, hot: int) -> pd.DataFrame:
     c = Chunk(rows, start)
-    pairs, before, after, bounds = c.distinct(buckets, hot)
-    learnt, n = np.unique(c.pair[c.learn[c.doc]], return_counts=True)
-    count = np.zeros(len(pairs), np.int64)
-    if len(learnt):
-        at = np.minimum(np.searchsorted(learnt, np.sort(pairs)), len(learnt) - 1)
-        ordered = np.sort(pairs)
-        count[np.argsort(pairs)] = np.where(learnt[at] == ordered, n[at], 0)
+    both = np.sort(c.pair << 1 | c.learn[c.doc])
+    first = np.flatnonzero(np.concatenate(([True], both[1:] >> 1 != both[:-1] >> 1)))
+    count = np.add.reduceat(both & 1, first)
+    pairs = both[first] >> 1
+    del both
+    order, before, after, bounds = c.distinct(pairs, buckets, hot)
+    count = count[order].astype(np.uint32)
     key = c.number[before].astype(np.uint64) << np.uint64(32) | c.number[after].astype(np.uint64)
+    words, contexts = c.count[after].astype(np.uint32), c.count[before].astype(np.uint32)
     chunk, out = int(rows["chunk"].iloc[0]), []
     for k in range(buckets):
         if (a := bounds[k]) < (b := bounds[k + 1]):
-            out.append((chunk, PAIRS, k, join(pack(key[a:b], delta=True), pack(count[a:b].astype(np.uint32)), pack(c.count[after[a:b]].astype(np.uint32)), pack(c.count[before[a:b]].astype(np.uint32)[_firsts(key[a:b])]))))
+            out.append((chunk, PAIRS, k, join(pack(key[a:b], delta=True), pack(count[a:b]), pack(words[a:b]), pack(contexts[a:b][_firsts(key[a:b])]))))
     return frame(out)
 
 
@@ -254,7 +254,8 @@ def bucket_pairs(rows: pd.DataFrame, unigrams: Unigrams, hot: int) -> pd.DataFra
 
 def chunk_scores(rows: pd.DataFrame, start: np.ndarray, buckets: int, hot: int, unigrams: Unigrams, d: np.ndarray, hot_contexts: dict[int, np.ndarray]) -> pd.DataFrame:
     c = Chunk(rows, start)
-    pairs, before, after, bounds = c.distinct(buckets, hot)
+    pairs, place = np.unique(c.pair, return_inverse=True)
+    order, before, after, bounds = c.distinct(pairs, buckets, hot)
     count, seen, mass = np.zeros(len(pairs), np.int64), np.zeros((len(c.number), K + 2)), np.zeros(len(c.number))
     replies = rows[rows["kind"] == PAIR_REPLY]
     for k, data in zip(replies["bucket"], replies["data"], strict=True):
@@ -270,9 +271,9 @@ def chunk_scores(rows: pd.DataFrame, start: np.ndarray, buckets: int, hot: int,
     scale, weight = backoff(c.count, seen, mass, d)
     lower = unigrams(c.count)
     p = np.where(count > 0, d[np.minimum(count, K + 1)] * count / np.maximum(1, c.count[before]) * scale[before], weight[before] * lower[after])
-    order = np.argsort(pairs)
-    at = np.searchsorted(pairs[order], c.pair)
-    logp = np.log10(p)[order][at]
+    logp = np.empty(len(pairs))
+    logp[order] = np.log10(p)
+    logp = logp[place]
     n = len(c.sizes)
     total = lambda v: np.bincount(c.doc, v, n)
     known = c.count[c.ids] > 0
@@ -290,6 +291,7 @@ def scores(docs: DataFrame) -> DataFrame:
 
     a = stage(_tokenise(docs, buckets), "katz-words")
     b = stage(rows_of(a, WORDS).groupBy("bucket").applyInPandas(bucket_words, ROWS), "katz-unigrams")
+    drop_kind(a, WORDS)
     sums = {r.bucket: np.frombuffer(r.data, np.int64) for r in rows_of(b, SUMS).collect()}  # a few numbers a bucket
     start = np.concatenate(([0], np.cumsum([sums[k][0] if k in sums else 0 for k in range(buckets)])))
     if start[-1] >= 1 << 32:
@@ -298,8 +300,8 @@ def scores(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(whole[3:], int(whole[1]), int(whole[2]))
     hot = max(1000, unigrams.total // (8 * buckets))  # so there are at most 8 * buckets hot contexts
     start = start[:-1]
-    c = stage(rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS), "katz-pairs")
-    d = stage(rows_of(c, PAIRS).groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS), "katz-bigrams")
+    pairs = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS)
+    d = stage(pairs.groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS), "katz-bigrams")
     n = np.sum([*(np.frombuffer(r.data, np.int64) for r in rows_of(d, SUMS).collect()), np.zeros(K + 3, np.int64)], axis=0)
     of_pairs = discounts(n)
     hot_contexts: dict[int, np.ndarray] = {}

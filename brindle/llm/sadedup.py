@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import gathered, pack, shuffle_partitions, small_batches, unpack
 from .esais import suffixes
-from .stages import ROWS, frame, join, record_batch, rows_of, split, stage
+from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage
 
 #: Bytes of text in a chunk; bytes that are hashed at a time.
-CHUNK, STEP = 12 << 20, 1 << 20
+CHUNK, STEP = 8 << 20, 1 << 19
 GRAM = 20
 #: Bytes that a shard's sort may hold in memory before it uses scratch files.
 MEMORY = 256 << 20
@@ -82,17 +82,16 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np
     """Runs of windows of one minimizer, within documents that end at ends: first place, windows (at most GRAM + 11), hash."""
     most, starts, sizes, values = length - GRAM + 1, [], [], []
     n = len(raw) - length + 1
-    begin = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    last = np.repeat(ends - length, ends - begin)  # the last window of each place's document
     for a in range(0, max(0, n), STEP):
         b = min(n, a + STEP)
         value = minimizers(raw[a : b + length - 1], length)
         at = np.arange(a, b)
-        inside = at <= last[a:b]
+        last = ends[np.searchsorted(ends, at, "right")] - length  # the last window of each place's document
+        inside = at <= last
         new = np.ones(b - a, bool)
         new[1:] = (value[1:] != value[:-1]) | ~inside[:-1]
         first = np.flatnonzero(new)
-        size = np.minimum(np.diff(first, append=b - a), np.maximum(0, last[a + first] - at[first] + 1))
+        size = np.minimum(np.diff(first, append=b - a), np.maximum(0, last[first] - at[first] + 1))
         pieces = -(-size // most)  # a minimizer that comes again and again: cut
         which = np.repeat(np.arange(len(first)), pieces)
         k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -194,14 +193,15 @@ def repeated(pieces: list[bytes], docs: np.ndarray, length: int, memory: int) ->
     inner[ends - 1] = False
     text[inner] = np.frombuffer(b"".join(pieces), np.uint8)
     text[inner] += 1
+    del inner
     place, common = suffixes(text, memory)
-    equal = common >= length  # with the suffix before
-    first = np.flatnonzero(~equal)
+    first = np.flatnonzero(common < length)  # no equal window before
+    del text, common
     long = np.flatnonzero(np.diff(first, append=n) > 1)
     mask = np.zeros(len(pieces), np.uint64)
     if len(long):
         begin, size = first[long], np.diff(first, append=n)[long]
-        at = place[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        at = place[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64)
         piece = np.searchsorted(ends, at, "right")
         least = np.minimum.reduceat(docs[piece], np.cumsum(size) - size)
         gone = np.repeat(least, size) < docs[piece]
@@ -290,8 +290,10 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_te
 
     a = stage(rows.mapInArrow(tokenise, ROWS), "sadedup-hashes")
     b = stage(rows_of(a, HASHES).groupBy("bucket").applyInPandas(bucket_shared, ROWS), "sadedup-shared")
+    drop_kind(a, HASHES)
     c = stage(rows_of(a, DOCS).unionByName(rows_of(b, SHARED)).groupBy("chunk").applyInPandas(lambda x: chunk_pieces(x, length, buckets), ROWS), "sadedup-pieces")
     d = stage(rows_of(c, PIECES).groupBy("bucket").applyInPandas(lambda x: bucket_marks(x, length, memory), ROWS), "sadedup-marks")
+    drop_kind(c, PIECES)
     schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(["text string"] if with_text else [])])
     parts = rows_of(a, DOCS).unionByName(rows_of(c, PLACES)).unionByName(rows_of(d, MARKS))
     return parts.groupBy("chunk").applyInArrow(finish, schema)

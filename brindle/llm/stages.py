@@ -5,6 +5,9 @@ A stage is a table in the shared folder, partitioned by kind, with rows (chunk,
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import struct
 
 import pandas as pd
@@ -12,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import drop_path, new_path
 
 ROWS = "chunk long, kind int, bucket int, data binary"
 ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -31,7 +34,14 @@ def split(data: bytes) -> list[bytes]:
     return out
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system: the workers of an executor share its memory."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frame(rows: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+    trimmed()
     return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "data"])
 
 
@@ -40,11 +50,24 @@ def record_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df written and read again."""
+    """df written and read again. What only earlier stages needed may go: shuffle files stay until the JVM finds that nobody can read them."""
     spark = df.sparkSession
     df.write.partitionBy("kind").option("compression", "none").parquet(path := new_path(spark, tag))
-    return spark.read.schema(ROWS).parquet(path)
+    out = spark.read.schema(ROWS).parquet(path)
+    out._brindle_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def drop_kind(df: DataFrame, kind: int) -> None:
+    """Deletes the rows of a kind, when a later stage has taken them in."""
+    drop_path(df.sparkSession, f"{df._brindle_path}/kind={kind}")
 
 
 def rows_of(df: DataFrame, *kinds: int) -> DataFrame:
+    spark = df.sparkSession
+    if path := getattr(df, "_brindle_path", None):  # a file listing of its own: other kinds may be deleted
+        df = spark.read.schema(ROWS).parquet(path)
     return df.where(F.col("kind").isin(*kinds)).select("chunk", "kind", "bucket", "data")
