@@ -65,13 +65,13 @@ def input_chunk() -> F.Column:
     return F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string"))
 
 
-def pack(a: np.ndarray, delta: bool = False) -> bytes:
+def pack(a: np.ndarray, delta: bool = False, level: int = 1) -> bytes:
     """An integer array as bytes: differences if sorted, byte planes, zstd."""
     a = np.ascontiguousarray(a)
     if delta and len(a):
         a = np.concatenate((a[:1], a[1:] - a[:-1]))
     planes = a.view(np.uint8).reshape(len(a), a.itemsize).T
-    return a.dtype.str.encode().ljust(4) + bytes([delta]) + len(a).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return a.dtype.str.encode().ljust(4) + bytes([delta]) + len(a).to_bytes(8, "little") + zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:

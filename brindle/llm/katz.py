@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered, pack, shuffle_partitions, small_batches, unpack
-from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage
+from .stages import ROWS, drop_kind, frame, join, record_batch, release, rows_of, split, stage
 
 #: Bytes of text in a chunk.
 CHUNK = 12 << 20
@@ -134,7 +134,7 @@ def chunk_words(doc_ids: pa.Array, held: pa.Array, docs: pa.Array, buckets: int)
     counts = np.bincount(ids[learn[doc]], minlength=len(words))
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
     missing = np.array([i is None for i in doc_ids.to_pylist()])
-    out = [(DOCS, -1, join(pack(pc.fill_null(doc_ids, 0).to_numpy()), pack(missing.astype(np.int8)), pack(learn.astype(np.int8)), pack(sizes), pack(ids.astype(np.uint32))))]
+    out = [(DOCS, -1, join(pack(pc.fill_null(doc_ids, 0).to_numpy()), pack(missing.astype(np.int8)), pack(learn.astype(np.int8)), pack(sizes), pack(ids.astype(np.uint32), level=5)))]
     for k in range(buckets):
         if bounds[k] < bounds[k + 1]:
             part = b" ".join(words[i] for i in order[bounds[k] : bounds[k + 1]])
@@ -301,7 +301,9 @@ def scores(docs: DataFrame) -> DataFrame:
     hot = max(1000, unigrams.total // (8 * buckets))  # so there are at most 8 * buckets hot contexts
     start = start[:-1]
     pairs = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS)
-    d = stage(pairs.groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS), "katz-bigrams")
+    pairs = pairs.groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS)
+    d = stage(pairs, "katz-bigrams")
+    del pairs  # with it go the shuffle files of C
     n = np.sum([*(np.frombuffer(r.data, np.int64) for r in rows_of(d, SUMS).collect()), np.zeros(K + 3, np.int64)], axis=0)
     of_pairs = discounts(n)
     hot_contexts: dict[int, np.ndarray] = {}
@@ -309,5 +311,6 @@ def scores(docs: DataFrame) -> DataFrame:
         context, *stats = map(unpack, split(r.data))
         for i, x in zip(context.tolist(), np.stack(stats, axis=1), strict=True):
             hot_contexts[i] = hot_contexts.get(i, 0) + x
+    release(spark)
     out = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).unionByName(rows_of(d, PAIR_REPLY))
     return out.groupBy("chunk").applyInPandas(lambda x: chunk_scores(x, start, buckets, hot, unigrams, of_pairs, hot_contexts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
