@@ -99,8 +99,8 @@ def chosen_image(candidates: Column, page_image: Column, stored: DataFrame, item
 def search_results(page: Column, most: int = 3) -> Column:
     """URLs of a landed search page: those in its text, else the links of its results."""
     found = F.regexp_extract_all(page, F.lit(r"(https?://[^\s)\]]+)"), 1)
-    urls = F.transform(F.filter(found, lambda u: ~u.contains("duckduckgo.com/html") & ~u.contains("external-content.duckduckgo.com")), redirect_target)
-    links = F.transform(F.regexp_extract_all(page, F.lit(r'class="result__a"[^>]*href="([^"]+)"'), 1), redirect_target)
+    urls = F.filter(found, lambda u: ~u.contains("duckduckgo.com/html") & ~u.contains("external-content.duckduckgo.com"))
+    links = F.transform(F.regexp_extract_all(page, F.lit(r'class="result__a"[^>]*href="([^"]+)"'), 1), lambda u: F.when(u.startswith("/l/?"), redirect_target(u)).otherwise(u))
     return F.slice(F.when(F.size(urls) > 0, F.array_distinct(urls)).otherwise(links), 1, most)
 
 
