@@ -31,7 +31,7 @@ BLOCK = 64
 
 def places(n: int) -> type:
     """The type of places in a text of n symbols."""
-    return np.int32 if n < 1 << 31 else np.int64
+    return np.int32 if n < 1 << 30 else np.int64
 
 
 def scratch(n: int, kind: type, memory: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def suffixes(text: np.ndarray, memory: int = 256 << 20, block: int = BLOCK) -> t
     stars = np.flatnonzero(star).astype(places(n))
     del star
     names = _names(text, is_s, stars)
-    if names.max(initial=0) * block > len(names) or not names.any():
+    if int(names.max(initial=0)) * block > len(names) or not names.any():
         order, common = direct(names)
     else:
         order, common = suffixes(names, memory, block)

@@ -36,10 +36,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import gathered, pack, shuffle_partitions, small_batches, unpack
 from .esais import suffixes
-from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage
+from .stages import ROWS, drop_kind, frame, join, record_batch, release, rows_of, split, stage, trimmed
 
 #: Bytes of text in a chunk; bytes that are hashed at a time.
 CHUNK, STEP = 8 << 20, 1 << 19
@@ -86,7 +87,8 @@ def runs(raw: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np
         b = min(n, a + STEP)
         value = minimizers(raw[a : b + length - 1], length)
         at = np.arange(a, b)
-        last = ends[np.searchsorted(ends, at, "right")] - length  # the last window of each place's document
+        here = ends[slice(*(np.searchsorted(ends, (a, b - 1), "right") + (0, 1)))]
+        last = np.repeat(here, np.diff(np.clip(here, a, b), prepend=a)) - length  # the last window of each place's document
         inside = at <= last
         new = np.ones(b - a, bool)
         new[1:] = (value[1:] != value[:-1]) | ~inside[:-1]
@@ -113,12 +115,12 @@ def chunk_hashes(ids: np.ndarray, docs: list[bytes], extra: bytes, length: int,
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     start, _, value = runs(np.frombuffer(joined, np.uint8), np.cumsum(sizes), length)
     doc = ids[np.searchsorted(np.cumsum(sizes), start, "right")]
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     value, doc = value[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
     many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
     value, bounds = value[first], _bounds(value[first], buckets)
-    out = [(DOCS, -1, join(pack(ids), pack(sizes), zstandard.compress(joined, 1), extra))]
+    out = [(DOCS, -1, join(pack(ids), pack(sizes), zstandard.compress(joined, 3), extra))]
     doc_of = np.minimum.reduceat(doc, first) if len(first) else doc
     for k in range(buckets):
         if (a := bounds[k]) < (b := bounds[k + 1]):
@@ -156,16 +158,17 @@ class Chunk:
 def chunk_pieces(rows: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     c = Chunk(rows)
     start, size, value = runs(c.raw, c.ends, length)
-    distinct = np.unique(value)
-    bounds, shared = _bounds(distinct, buckets), np.zeros(len(distinct), bool)
+    order = np.argsort(value)
+    value = value[order]
+    first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
+    bounds, shared = _bounds(value[first], buckets), np.zeros(len(first), bool)
     replies = rows[rows["kind"] == SHARED]
     for k, data in zip(replies["bucket"], replies["data"], strict=True):
         shared[bounds[k] : bounds[k + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(bounds[k + 1] - bounds[k])).astype(bool)
-    keep = shared[np.searchsorted(distinct, value)] if len(value) else np.zeros(0, bool)
-    start, size, value = start[keep], size[keep], value[keep]
+    keep = np.repeat(shared, np.diff(first, append=len(value)))
+    order, value = order[keep], value[keep]
+    start, size = start[order], size[order]
     doc = c.ids[np.searchsorted(c.ends, start, "right")]
-    order = np.argsort(value, kind="stable")
-    start, size, value, doc = start[order], size[order], value[order], doc[order]
     number: dict[bytes, int] = {}
     joined, tail = c.joined, length - 1
     which = np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip(start.tolist(), (start + size + tail).tolist(), strict=True)], np.int64)
@@ -256,44 +259,47 @@ def spans(gone: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.nda
 
 
 def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_text: bool = False, memory: int = MEMORY) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; then the columns keep and, if asked for, what is kept as text."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; if asked for, text, what is kept (null stays null), and row, a struct of the columns keep."""
     if not GRAM <= length <= GRAM + 63:
         raise ValueError(f"length must be {GRAM} to {GRAM + 63}")
     spark = docs.sparkSession
     small_batches(spark)
     buckets = shuffle_partitions(spark)
+    doc, raw = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema if keep else None
+    rows = docs.select(doc.alias("doc"), F.coalesce(raw, F.lit("")).alias("text"), raw.isNull().alias("none"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, b in enumerate(gathered((x for x in batches if x.num_rows), CHUNK)):
-            ids = b.column("_doc").fill_null(int(LAST)).to_numpy()
-            extra = pa.BufferOutputStream()
-            held = pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:]], names=["doc_id", *keep])
+            held, extra = b.drop_columns(["text"]), pa.BufferOutputStream()
             with pa.ipc.new_stream(extra, held.schema) as w:
                 w.write_batch(held)
-            texts = [t.encode() for t in b.column("_text").to_pylist()]
-            yield record_batch([(part << 24 | k, *r) for r in chunk_hashes(ids.copy(), texts, zstandard.compress(extra.getvalue().to_pybytes(), 1), length, buckets)])
-
-    doc = F.col("doc_id").cast("long")
-    rows = docs.select(doc.alias("_id"), doc.alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), *keep)
-    kept = [f for f in docs.select(*keep).schema.fields] if keep else []
+            ids = b.column("doc").fill_null(int(LAST)).to_numpy().copy()
+            texts = [t.encode() for t in b.column("text").to_pylist()]
+            yield record_batch([(part << 24 | k, *r) for r in chunk_hashes(ids, texts, zstandard.compress(extra.getvalue().to_pybytes(), 1), length, buckets)])
 
     def finish(table: pa.Table) -> pa.Table:
         c, gone = removed_bytes(table.to_pandas(), length, buckets)
         n, k = spans(gone, c.ends, c.sizes)
         left = [c.raw[a:b][~gone[a:b]].tobytes() if x else c.joined[a:b] for a, b, x in zip((c.ends - c.sizes).tolist(), c.ends.tolist(), n.tolist(), strict=True)]
         held = pa.ipc.open_stream(zstandard.decompress(c.extra)).read_all()
-        out = {"doc_id": held.column(0), "n_bytes": c.sizes, "n_removed": n, "n_spans": k, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left]} | {name: held.column(1 + i) for i, name in enumerate(keep)}
+        out = {"doc_id": held.column("doc"), "n_bytes": c.sizes, "n_removed": n, "n_spans": k, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left]}
         if with_text:
-            out["text"] = [x.decode(errors="ignore") for x in left]
+            out["text"] = pa.array([None if none else x.decode(errors="ignore") for x, none in zip(left, held.column("none").to_pylist(), strict=True)], pa.string())
+        if keep:
+            out["row"] = held.column("row")
+        trimmed()
         return pa.table(out)
 
-    a = stage(rows.mapInArrow(tokenise, ROWS), "sadedup-hashes")
+    fields = [StructField("doc_id", LongType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())]
+    fields += [StructField("text", StringType())] * with_text + ([StructField("row", kept)] if keep else [])
+    a = stage(rows.mapInArrow(hashes, ROWS), "sadedup-hashes")
     b = stage(rows_of(a, HASHES).groupBy("bucket").applyInPandas(bucket_shared, ROWS), "sadedup-shared")
     drop_kind(a, HASHES)
     c = stage(rows_of(a, DOCS).unionByName(rows_of(b, SHARED)).groupBy("chunk").applyInPandas(lambda x: chunk_pieces(x, length, buckets), ROWS), "sadedup-pieces")
     d = stage(rows_of(c, PIECES).groupBy("bucket").applyInPandas(lambda x: bucket_marks(x, length, memory), ROWS), "sadedup-marks")
     drop_kind(c, PIECES)
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(["text string"] if with_text else [])])
+    release(spark)
     parts = rows_of(a, DOCS).unionByName(rows_of(c, PLACES)).unionByName(rows_of(d, MARKS))
-    return parts.groupBy("chunk").applyInArrow(finish, schema)
+    return parts.groupBy("chunk").applyInArrow(finish, StructType(fields))
