@@ -174,3 +174,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
         best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"))).alias("best")
         out = out.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), best).select("doc_id", "n_items", (-F.col("best.i")).alias("item_id"), F.col("best.coverage").alias("coverage"))
     return out.withColumn("contaminated", F.col("n_items") > 0)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs in which no item is leaked, with all their columns; a block of items after another."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    name = "_words"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, F.col("text").cast("string"))
+    schema = out.schema
+    for items in _blocks(benchmark, seed, block):
+        shared = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array([shared.value.leaks(t, coverage)[0] == 0 for t in texts(b.column(b.num_columns - 1))], pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
+    return out.drop(name)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import batch, small_batches, texts
 
@@ -139,21 +140,30 @@ def learn(docs: DataFrame, labels: DataFrame) -> Trees:
     return fit(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs, and score (0 to 1)."""
+def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns keep of docs, and the score (0 to 1) as a column of that name."""
     small_batches(docs.sparkSession)
-    kinds = dict(docs.select(*keep).dtypes)
+    columns = [F.col(f"`{c}`") for c in keep]
+    kept = docs.select(*columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in texts(b.column(b.num_columns - 1))], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*keep, name])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", score double")
+    rows = docs.select(*columns, F.col("text").cast("string").alias(name))
+    return rows.mapInArrow(run, StructType([*kept.fields, StructField(name, DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, held_out, score and predicted (1 if score >= threshold)."""
     scored = score(docs, learn(docs, labels), keep)
     return scored.select(*keep, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that are predicted as good, with all their columns."""
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, learn(docs, labels), tuple(docs.columns), name).where(F.col(name) >= threshold).drop(name)

@@ -74,4 +74,22 @@ select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links,
   e.vec_id = least(e.vec_id, coalesce((select min(b) from r where r.a = e.vec_id), e.vec_id)) as kept
 from embeddings e
 """
-ORACLES: dict[str, str] = {"op5_vector_neardup": OP5}
+OP3 = """
+with n as (select doc_id, hex(encode(coalesce(text, ''))) as h, length(hex(encode(coalesce(text, '')))) // 2 as n from documents),
+w as (select doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) as s from n, unnest(range(0, greatest(0, n - 49))) as t(p)),
+f as (select s, min(doc_id) as first from w group by s),
+g as (select w.doc_id, w.p, lag(w.p) over (partition by w.doc_id order by w.p) as before from w join f using (s) where f.first < w.doc_id),
+i as (select doc_id, p, count(*) filter (where before is null or p - before > 50) over (partition by doc_id order by p) as k from g),
+r as (select doc_id, k, min(p) as a, max(p) + 50 as b from i group by doc_id, k),
+e as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as last from r),
+m as (select e.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept from e join n on e.doc_id = n.doc_id group by e.doc_id)
+select n.doc_id, n.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from n left join m on n.doc_id = m.doc_id
+"""
+OP8 = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+m as (select h, max(page_id) as kept, count(*) as n from p where octet_length(encode(h)) >= 1000 group by h)
+select page_id, octet_length(encode(p.h)) as payload_bytes, sha1(p.h) as payload_digest, case when n > 1 and page_id <> kept then 'revisit' else 'response' end as record_type,
+  case when n > 1 and page_id <> kept then kept end as refers_to
+from p left join m on p.h = m.h
+"""
+ORACLES: dict[str, str] = {"op3_suffix_dedup": OP3, "op5_vector_neardup": OP5, "op8_warc": OP8}
