@@ -8,6 +8,11 @@ from .text import SPACE, collapse, trim
 from .values import FRAMINGS, HEDGE_WORDS, HIGH_SIGNAL_TAGS, OPTIMISTIC, RUMOR_WORDS, SKEPTICAL, SOCIAL_TOPICS, TAG_SYNONYMS, TOKEN_TAGS, TOPICS
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it; branches of conditions would compute it anew."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
     """Whether one of the words is a substring."""
     out = F.lit(False)
@@ -22,15 +27,15 @@ def haystack(title: Column, summary: Column) -> Column:
 
 def topic_tags(title: Column, summary: Column) -> Column:
     """Topics of which a keyword is a substring of title and summary, else general."""
-    text = haystack(title, summary)
-    found = F.array_compact(F.array(*(F.when(any_of(text, words), F.lit(t)) for t, words in TOPICS.items() if t != "general")))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
+    found = lambda text: F.array_compact(F.array(*(F.when(any_of(text, words), F.lit(t)) for t, words in TOPICS.items() if t != "general")))
+    return bound(bound(haystack(title, summary), found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("general"))))
 
 
 def social_topics(text: Column, topics: tuple[str, ...]) -> Column:
     """Of the topics asked for, those with a keyword in a post; an unknown topic is its own keyword."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(any_of(low, SOCIAL_TOPICS.get(t.strip().lower(), (t.strip().lower(),))), F.lit(t)) for t in topics)))
+    if not topics:
+        return F.array().cast("array<string>")
+    return bound(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_compact(F.array(*(F.when(any_of(low, SOCIAL_TOPICS.get(t.strip().lower(), (t.strip().lower(),))), F.lit(t)) for t in topics))))
 
 
 def tag_key(tag: Column) -> Column:
@@ -88,8 +93,7 @@ def topic_key(topics: Column) -> Column:
 
 
 def stance(title: Column, summary: Column) -> Column:
-    text = haystack(title, summary)
-    return F.when(any_of(text, SKEPTICAL), "skeptical").when(any_of(text, OPTIMISTIC), "mainstream").otherwise("balanced")
+    return bound(haystack(title, summary), lambda text: F.when(any_of(text, SKEPTICAL), "skeptical").when(any_of(text, OPTIMISTIC), "mainstream").otherwise("balanced"))
 
 
 def framing(stance_tag: Column) -> Column:
@@ -97,9 +101,9 @@ def framing(stance_tag: Column) -> Column:
 
 
 def speculation(title: Column, summary: Column, published: Column, now: Column) -> Column:
-    text = haystack(title, summary)
     recent = (now.cast("double") - published.cast("double")) / 60 < 90
-    return F.when(any_of(text, RUMOR_WORDS) | any_of(text, HEDGE_WORDS), "Speculative").when(recent, "Developing").otherwise("Confirmed")
+    hedged = bound(haystack(title, summary), lambda text: any_of(text, RUMOR_WORDS) | any_of(text, HEDGE_WORDS))
+    return F.when(hedged, "Speculative").when(recent, "Developing").otherwise("Confirmed")
 
 
 def evidence(source_types: Column) -> Column:

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tags import any_of, haystack
+from ..functions.tags import any_of, bound, haystack
 from ..functions.text import trim
 from ..functions.values import BLOCKED_TERMS
 
@@ -19,7 +19,7 @@ def newest(df: DataFrame, ts: str, seq: str, most: int = 1000) -> DataFrame:
 
 def unblocked(df: DataFrame, title: Column, summary: Column, terms: tuple[str, ...] = BLOCKED_TERMS) -> DataFrame:
     """Rows in whose title and summary no term is a substring."""
-    return df.where(~any_of(haystack(title, summary), tuple(t.lower() for t in terms)))
+    return df.where(~bound(haystack(title, summary), lambda text: any_of(text, tuple(t.lower() for t in terms))))
 
 
 def two_tier(df: DataFrame, has_url: Column, matched: Column, likes: Column, reposts: Column, topics: bool, enough: int = 12) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import match_text
-from ..functions.tags import _CANONICAL, allowed_tag_score, any_of, canonical_tag
+from ..functions.tags import _CANONICAL, allowed_tag_score, any_of, bound, canonical_tag
 from ..functions.text import good_bullets, trim
 from ..functions.values import BOOSTED_SOURCES
 from .filters import placeholder_image
@@ -52,7 +52,7 @@ def preference_order() -> list[Column]:
 
 def boost(sources: Column) -> Column:
     """3 if a source is well known, else 0."""
-    return F.when(F.exists(sources, lambda s: any_of(F.lower(F.coalesce(s, F.lit(""))), BOOSTED_SOURCES)), 3).otherwise(0)
+    return F.when(F.exists(sources, lambda s: bound(F.lower(F.coalesce(s, F.lit(""))), lambda low: any_of(low, BOOSTED_SOURCES))), 3).otherwise(0)
 
 
 def group_order(topics: list[str]) -> list[Column]:
