@@ -171,8 +171,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 2) -> DataFrame:
 RADIUS, FEW = 22, 64
 #: A band is BAND min-hashes; texts of similarity 0.8 agree on one of BANDS with a chance above 0.9999.
 BANDS, BAND = 14, 3
-#: Classes of a shard that meet in one task.
-TILE = 1024
+#: Classes in a tile of a shard; two tiles meet in one task.
+TILE = 512
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -247,16 +247,19 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketches, "doc_id long, key binary, fp long, bands array<long>, shingles binary")
     rows = written(spark, rows, "sketches")
-    classes = rows.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("cid"))
-    first = rows.join(classes.select("key", F.col("cid").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    routed = first.select(F.col("doc_id").alias("cid"), F.posexplode("bands").alias("band", "value"))
+    light = rows.where("doc_id is not null").select("doc_id", "key", "bands")
+    classes = light.groupBy("key").agg(F.min("doc_id").alias("cid"))
+    first = light.join(classes.select("key", F.col("cid").alias("doc_id")), ["key", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min(F.struct("key", "bands")).alias("x"))
+    routed = first.select(F.col("doc_id").alias("cid"), F.col("x.key").alias("key"), F.posexplode("x.bands").alias("band", "value"))
     many = routed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     shards = routed.join(many, ["band", "value"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
     shards = shards.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shards = shards.select("cid", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
-    whole = first.select(F.col("doc_id").alias("cid"), "fp", "shingles").dropDuplicates(["cid"])
+    shards = written(spark, shards.select("cid", "key", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
+    # only sets of classes that meet another go on; their join, the choice of one row and the join with the shards share one partitioning
+    need = shards.select("cid", F.col("key").alias("need")).distinct()
+    whole = rows.select(F.col("doc_id").alias("cid"), "key", "fp", "shingles").join(need, "cid").where("key = need").dropDuplicates(["cid"]).select("cid", "fp", "shingles")
     key = ["band", "value", "low", "high"]
-    dealt = shards.join(whole, "cid").repartition(*key).sortWithinPartitions(*key, "cid")
+    dealt = shards.drop("key").join(whole, "cid").repartition(*key).sortWithinPartitions(*key, "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
