@@ -91,23 +91,22 @@ class DiskQueues:
 
 
 class RangeMinima:
-    """Least values of ranges of an array (sparse table)."""
+    """Least values of ranges of an array (sparse table, its levels one after another)."""
 
     def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        while 2 * (step := 1 << (len(self.levels) - 1)) <= len(values):
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[: len(last) - step], last[step:]))
+        levels, step = [values], 1
+        while 2 * step <= len(values):
+            last = levels[-1]
+            levels.append(np.minimum(last[: len(last) - step], last[step:]))
+            step *= 2
+        self.start = np.cumsum([0, *map(len, levels[:-1])])
+        self.table = np.concatenate(levels) if len(levels) > 1 else values
 
     def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """first <= last, both inclusive."""
         level = np.frexp(last - first + 1)[1] - 1
-        out = np.empty(len(first), self.levels[0].dtype)
-        for k in np.flatnonzero(np.bincount(level, minlength=1)) if len(level) else ():
-            at = np.flatnonzero(level == k)
-            table = self.levels[k]
-            out[at] = np.minimum(table[first[at]], table[last[at] - (1 << int(k)) + 1])
-        return out
+        start = self.start[level]
+        return np.minimum(self.table[start + first], self.table[start + last - (1 << level.astype(np.int64)) + 1])
 
 
 def refine(rank: np.ndarray, active: np.ndarray, key: np.ndarray, bound: int = 0) -> np.ndarray:

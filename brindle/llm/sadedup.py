@@ -236,32 +236,40 @@ def removed_bytes(rows: pd.DataFrame, length: int, buckets: int) -> tuple[Chunk,
     replies = rows[rows["kind"] == MARKS].sort_values("bucket")
     marks = np.concatenate([unpack(d) for d in replies["data"]]) if len(replies) else np.zeros(0, np.uint64)
     mask = np.where(first, marks[which], ~np.uint64(0)) if len(which) else marks
-    windows = np.repeat(np.arange(len(start)), size)
-    k = np.arange(len(windows)) - np.repeat(np.cumsum(size) - size, size)
-    gone = (mask[windows] >> k.astype(np.uint64)) & np.uint64(1) == 1
+    whole = (np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)
+    mask = mask & whole
+    full, some = np.flatnonzero(mask == whole), np.flatnonzero((mask != whole) & (mask != 0))
+    windows = np.repeat(some, size[some])
+    k = np.arange(len(windows)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+    one = (mask[windows] >> k.astype(np.uint64)) & np.uint64(1) == 1
+    begins = np.concatenate((start[full], (start[windows] + k)[one]))
+    ends = np.concatenate((start[full] + size[full] - 1, (start[windows] + k)[one])) + length
     edge = np.zeros(len(c.raw) + 1, np.int32)
-    at = (start[windows] + k)[gone]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
-    return c, np.cumsum(edge[:-1]) > 0
+    np.add.at(edge, begins, 1)
+    np.subtract.at(edge, ends, 1)
+    np.cumsum(edge, out=edge)
+    return c, edge[:-1] > 0
 
 
 def spans(gone: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Removed bytes and maximal removed runs of each document."""
-    total = np.concatenate(([0], np.cumsum(gone)))
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     starts = ends - sizes
     inside = starts[(starts > 0) & (starts < len(gone)) & (sizes > 0)]
     begins[inside] = gone[inside]
-    runs_ = np.concatenate(([0], np.cumsum(begins)))
-    return total[ends] - total[starts], runs_[ends] - runs_[starts]
+    total = np.zeros(len(gone) + 1, np.int32)
+    out = []
+    for marks in (gone, begins):
+        np.cumsum(marks, out=total[1:])
+        out.append((total[ends] - total[starts]).astype(np.int64))
+    return out[0], out[1]
 
 
 def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_text: bool = False, memory: int = MEMORY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document; if asked for, text, what is kept (null stays null), and row, a struct of the columns keep."""
-    if not GRAM <= length <= GRAM + 63:
-        raise ValueError(f"length must be {GRAM} to {GRAM + 63}")
+    if not GRAM <= length <= GRAM + 62:
+        raise ValueError(f"length must be {GRAM} to {GRAM + 62}")
     spark = docs.sparkSession
     small_batches(spark)
     buckets = shuffle_partitions(spark)
@@ -284,6 +292,7 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_te
         n, k = spans(gone, c.ends, c.sizes)
         left = [c.raw[a:b][~gone[a:b]].tobytes() if x else c.joined[a:b] for a, b, x in zip((c.ends - c.sizes).tolist(), c.ends.tolist(), n.tolist(), strict=True)]
         held = pa.ipc.open_stream(zstandard.decompress(c.extra)).read_all()
+        del gone
         out = {"doc_id": held.column("doc"), "n_bytes": c.sizes, "n_removed": n, "n_spans": k, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in left]}
         if with_text:
             out["text"] = pa.array([None if none else x.decode(errors="ignore") for x, none in zip(left, held.column("none").to_pylist(), strict=True)], pa.string())
