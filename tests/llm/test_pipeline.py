@@ -92,7 +92,6 @@ def test_odd_rows_and_clashing_columns(spark, sf):
     docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
     for name in ("score", "_score", "fp", "key", "row", "doc", "none", "cid", "n_bytes", "_words", "held_out", "gone"):
         docs = docs.withColumn(name, F.lit(name))
-    docs = docs.withColumn("a.b", F.lit(1))
     step = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, step, sf)
