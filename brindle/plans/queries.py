@@ -271,7 +271,7 @@ _VEC = "with v as (select vec_id, label, list_transform(embedding, lambda x: x::
 
 @query(f"{_VEC} select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 6) as sim from n a join n b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 10 = 0 and list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.2")
 def vec_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each tenth vector, as a query set, against those of its label after it."""
+    """Each tenth vector, as a query set, against those of its label after it: a subset of vec_cosine_pairs_all."""
     v = table(spark, d, "embeddings").withColumn("norm", similarity.norm(F.col("embedding")))
     a = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"), F.col("norm").alias("nx"))
     b = v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"), F.col("norm").alias("ny"))
@@ -279,6 +279,12 @@ def vec_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "label").where("a < b").withColumn("sim", sim).where("sim >= 0.2").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query(f"{_VEC} select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 6) as sim from n a join n b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.2")
+def vec_cosine_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a label."""
+    return knn.cosine_pairs(table(spark, d, "embeddings"), 0.2).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 @query(f"{_VEC}, p as (select a.vec_id as id, b.vec_id as neighbour, b.vec_id % 20 as src, list_dot_product(a.e, b.e) / (a.nrm * b.nrm) as sim from n a join n b on a.label = b.label and a.vec_id <> b.vec_id), c as (select *, row_number() over (partition by id, src order by sim desc, neighbour) as r from p where sim >= 0.2), k as (select *, row_number() over (partition by id order by sim desc, neighbour) as rank from c where r <= 3) select id, neighbour, round(sim, 6) as sim, rank from k where rank <= 8")
 def vec_knn_capped(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 20).alias("source"), F.array("label").alias("tags"), "embedding", F.col("vec_id").alias("seq"))
