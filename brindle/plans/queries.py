@@ -317,27 +317,33 @@ a as (select t.doc_id, l.x.lead as lead, row_number() over (partition by t.doc_i
 select doc_id as id, lead as leader from a where r = 1"""
 )
 def title_leader_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Leader clustering of titles, day by day."""
+    """Leader clustering of titles, day by day: titles of different days never meet, unlike in title_leader_cluster_all."""
     rows = _titled(spark, d).withColumn("tokens", similarity.tokens(F.col("title")))
     return cluster.title_leaders(rows, 0.25, "day").select("id", "leader")
 
 
+@query()
+def title_leader_cluster_all(spark: SparkSession, d: str) -> DataFrame:
+    """Leader clustering of all titles in one fold; tests compare it with a plain loop."""
+    rows = _titled(spark, d).withColumn("tokens", similarity.tokens(F.col("title")))
+    return cluster.title_leaders(rows, 0.25).select("id", "leader")
+
+
 @query()
 def topic_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Topic clustering with moving mean vectors; rows only, as SQL has no such fold."""
+    """Topic clustering with moving mean vectors, all rows in one fold; rows only, as SQL has no such fold."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = _titled(spark, d).join(v, "id", "left").withColumn("tokens", similarity.tokens(F.col("title"))).withColumn("domain", F.col("source"))
-    return cluster.topic_leaders(rows.withColumn("block", F.get("tokens", F.lit(0))), group="block")
+    return cluster.topic_leaders(rows)
 
 
 @query()
 def story_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Multi-source groups, clustered among titles of one first word; tests compare them with a plain loop."""
+    """Multi-source groups of all titles, in one fold; tests compare them with a plain loop."""
     from ..operators.views import story_groups as build
 
     rows = _titled(spark, d).select("*", F.lit("editorial").alias("source_type"), F.concat(F.lit("https://example.com/"), F.col("id")).alias("url"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("published_at"), F.lit(None).cast("string").alias("image_url"))
-    rows = rows.withColumn("block", F.get(similarity.curation_tokens(F.col("title")), F.lit(0)))
-    return build(rows, group="block").select("id", "title", "created_at", F.array_join("topic_tags", "|").alias("topic_tags"), F.size("perspectives").alias("n_perspectives"), "n_sources")
+    return build(rows).select("id", "title", "created_at", F.array_join("topic_tags", "|").alias("topic_tags"), F.size("perspectives").alias("n_perspectives"), "n_sources")
 
 
 @query("select count(*) as groups, count(*) filter (where n >= 3) as multi, (select count(distinct user_id) from events) as sources from (select event_type, count(*) as n from events group by 1)")

@@ -1,10 +1,15 @@
 """Queries that do the whole job, against brute force."""
 
+import collections
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators import knn
+from brindle.functions import similarity
+from brindle.operators import cluster, knn
+from brindle.plans import queries
 from brindle.plans.queries import QUERIES
 
 
@@ -28,3 +33,73 @@ def test_pairs_of_all_left_ids(spark, sf):
     got = QUERIES["vec_cosine_pairs_all"](spark, sf)
     cut = QUERIES["vec_cosine_pairs"](spark, sf)
     assert cut.exceptAll(got).count() == 0 and got.where(F.col("a") % 10 != 0).count() > 0
+
+
+def by_loop(items, tokens, vectors, tag_weight=0.0, domain_bonus=0.0, least_overlap=1):
+    """The fold of SURVEY C6 to C8, cluster by cluster."""
+    clusters, out = [], []
+    for i, x in enumerate(items):
+        tags, v = {t.lower() for t in x.get("tags") or ()} - set(cluster.STOP_TAGS), x.get("embedding")
+        best, at, by_vector = 0.0, None, False
+        for c in clusters:
+            vector = v is not None and c["mean"] is not None
+            score = cluster._cosine(v, c["mean"]) if vector else cluster._jaccard(x["tokens"], c["tokens"])
+            if tag_weight and (n := len(tags & c["tags"])) >= least_overlap:
+                score = min(1, score + tag_weight * n / max(1, min(len(tags), len(c["tags"]))))
+            if domain_bonus and x.get("domain") and x["domain"] == c["domain"]:
+                score = min(1, score + domain_bonus)
+            if score > best:
+                best, at, by_vector = score, c, vector
+        if at is None or best < (vectors if by_vector else tokens):
+            clusters.append(at := {"leader": i, "tokens": x["tokens"], "tags": set(), "domain": x.get("domain"), "mean": None, "size": 0})
+        if v is not None:
+            at["mean"] = list(v) if not at["size"] or at["mean"] is None else cluster._moved(at["mean"], v, at["size"])
+        at["size"] += 1
+        at["tags"] |= tags
+        out.append(at["leader"])
+    return out
+
+
+@pytest.mark.parametrize("odd", [0.0, 0.2])
+def test_the_indexed_fold_is_the_loop(odd):
+    rng = random.Random(3)
+    spots = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(12)]
+    items = []
+    for _ in range(500):
+        v = [x + rng.gauss(0, 0.3) for x in rng.choice(spots)] if rng.random() < 0.5 else None
+        v = v[:3] if v and rng.random() < odd else v
+        items.append({"tokens": set(rng.sample("abcdefghijklmnop", rng.randint(0, 5))), "embedding": v, "tags": rng.choice([None, [], rng.sample(["P", "q", "R", "s", "T"], 3)]), "domain": rng.choice([None, "d", "e"])})
+    for how in ((0.25, 2.0), (0.5, 0.85), (0.22, 0.78, 0.25, 0.05, 2), (0.4, 0.6, 0.1, 0.3, 1)):
+        want = by_loop(items, *how)
+        assert cluster.assign(items, *how) == want and len(set(want)) > 5
+
+
+def test_whole_folds(spark, sf):
+    rows = queries._titled(spark, sf).select("*", similarity.tokens(F.col("title")).alias("tok"), similarity.curation_tokens(F.col("title")).alias("cur")).orderBy("seq").collect()
+    ids = [r.id for r in rows]
+    lead = [ids[i] for i in by_loop([{"tokens": set(r.tok)} for r in rows], 0.25, 2.0)]
+    got = {r.id: r.leader for r in QUERIES["title_leader_cluster_all"](spark, sf).collect()}
+    assert got == dict(zip(ids, lead, strict=True)) and any(i % 40 != j % 40 for i, j in got.items())
+    v = {r.vec_id: [float(x) for x in r.embedding] for r in queries.table(spark, sf, "embeddings").collect()}
+    items = [{"tokens": set(r.tok), "embedding": v.get(r.id), "tags": r.tags, "domain": r.source} for r in rows]
+    lead = [ids[i] for i in by_loop(items, 0.22, 0.78, 0.25, 0.05, 2)]
+    n = collections.Counter(lead)
+    want = {(i, k) for i, k in zip(ids, lead, strict=True) if n[k] > 1}
+    assert {(r.id, r.leader) for r in QUERIES["topic_cluster"](spark, sf).collect()} == want
+    groups = collections.defaultdict(dict)
+    for k, r in zip(by_loop([{"tokens": set(r.cur)} for r in rows], 0.25, 2.0), rows, strict=True):
+        groups[k][r.source] = r  # the newest of a source is the last
+    shape = sorted((max(g.values(), key=lambda r: r.id).title, min(10, len(g)), len(g)) for g in groups.values() if len(g) > 1)
+    got = QUERIES["story_groups"](spark, sf).collect()
+    assert sorted((r.title, r.n_perspectives, min(10, r.n_sources)) for r in got) == [(a, b, min(10, c)) for a, b, c in shape]
+
+
+def test_titles_of_other_first_words_and_days_meet(spark, tmp_path):
+    docs = [(1, "alpha beta gamma delta", "en", "s", 0), (2, "omega alpha beta gamma", "de", "t", 0), (5, "kappa sigma", "en", "s", 0), (6, "lambda rho", "en", "u", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(5, [1.0, 0.0], 1), (6, [1.0, 0.1], 1)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.leader) for r in run("title_leader_cluster_all")) == [(1, 1), (2, 1), (5, 5), (6, 6)]
+    assert sorted((r.id, r.leader) for r in run("topic_cluster")) == [(1, 1), (2, 1), (5, 5), (6, 5)]
+    assert [(r.title, r.n_perspectives, r.n_sources) for r in run("story_groups")] == [("omega alpha beta gamma", 2, 2)]
