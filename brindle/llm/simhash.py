@@ -164,11 +164,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 2) -> DataFrame:
     return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# -- groups by similarity: SimHash and BK-trees find candidates, the shingle sets decide
+# -- groups by similarity: bands of min-hashes find candidates, the shingle sets decide. Fingerprints do not: they count
+# repeated shingles, so texts of nearly equal sets can be far apart
 
-#: Bits within which the trees look for similar texts: pairs of Jaccard similarity 0.8 differ in about 10 of 64 bits, with a
-#: deviation of 3. Fingerprints of fewer than FEW shingles vary more and are compared with all of their shard.
-RADIUS, FEW = 22, 64
 #: A band is BAND min-hashes; texts of similarity 0.8 agree on one of BANDS with a chance above 0.9999.
 BANDS, BAND = 14, 3
 #: Classes in a tile of a shard; two tiles meet in one task.
@@ -190,50 +188,43 @@ def sketch(text: str, k: int) -> tuple[bytes, int, list[int], bytes]:
     return xxhash.xxh128_digest(distinct.tobytes()), majority(hashes), value.astype(np.int64).tolist(), pack(distinct >> np.uint64(24), delta=True)
 
 
-def similar_links(cids: list[int], fps: list[int], sets: list[np.ndarray], tiles: list[int], similarity: float, radius: int) -> list[tuple[int, int]]:
+#: Cells of the matrix of sets that are compared at once.
+CELLS = 1 << 22
+
+
+def similar_links(cids: list[int], sets: list[np.ndarray], tiles: list[int], similarity: float) -> list[tuple[int, int]]:
     """Links of a spanning forest of the graph that joins classes of at least that similarity. With two tiles, only pairs of either."""
     names, counts = np.unique(np.concatenate(sets), return_counts=True)
     names = names[counts > 1]  # what only one set has is in no intersection
-    size = np.array([len(s) for s in sets])
+    size, tile = np.array([len(s) for s in sets]), np.array(tiles)
     own = np.zeros((len(sets), len(names)), np.float32)
     for i, s in enumerate(sets):
         if len(names):
             at = np.searchsorted(names, s)
             at[at == len(names)] = 0
             own[i, at[names[at] == s]] = 1
-    cross = len({*tiles}) > 1
-    trees = {t: (BKTree(), []) for t in {*tiles}}
-    parent, out = list(range(len(cids))), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, x in enumerate(fps):
-        for t, (tree, members) in trees.items():
-            if cross and t == tiles[i]:
+    cross, step = len({*tiles}) > 1, max(1, CELLS // max(1, len(names)))
+    tree, out = np.arange(len(cids)), []
+    for i in range(1, len(cids)):
+        for k in range(0, i, step):
+            rows = slice(k, min(i, k + step))
+            open_ = (tree[rows] != tree[i]) & ((tile[rows] != tile[i]) if cross else True)
+            if not open_.any():
                 continue
-            near = [members[j] for j in tree.within(x, 64 if size[i] < FEW else radius)]
-            near = np.array([j for j in near if root(j) != root(i)], np.int64)
-            if len(near):
-                both = own[near] @ own[i]
-                for j in near[both >= similarity * (size[near] + size[i] - both) - 1e-6].tolist():
-                    if (r := root(j)) != root(i):
-                        parent[root(i)] = r
-                        out.append((cids[i], cids[j]))
-        tree, members = trees[tiles[i]]
-        tree.add(x)
-        members.append(i)
+            near = np.flatnonzero(open_) + k
+            both = own[near] @ own[i] if len(near) < rows.stop - k else own[rows] @ own[i]
+            for j in near[both >= similarity * (size[near] + size[i] - both) - 1e-6].tolist():
+                if tree[j] != tree[i]:
+                    tree[tree == tree[j]] = tree[i]
+                    out.append((cids[i], cids[j]))
     return out
 
 
-def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint and component_id, the least doc_id that links reach: texts whose k-word shingle sets have at least that Jaccard similarity.
 
     Texts of equal sets are one class (those without words as well). Classes meet in shards named by a band of min-hashes; of a
-    shard's classes a task takes two tiles, whose BK-trees give the candidates that are then compared exactly. Rows of a null
+    shard's classes a task takes two tiles, whose pairs are compared exactly. Rows of a null
     doc_id are in no group.
     """
     spark = docs.sparkSession
@@ -257,25 +248,25 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius:
     shards = written(spark, shards.select("cid", "key", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
     # only sets of classes that meet another go on; their join, the choice of one row and the join with the shards share one partitioning
     need = shards.select("cid", F.col("key").alias("need")).distinct()
-    whole = rows.select(F.col("doc_id").alias("cid"), "key", "fp", "shingles").join(need, "cid").where("key = need").dropDuplicates(["cid"]).select("cid", "fp", "shingles")
+    whole = rows.select(F.col("doc_id").alias("cid"), "key", "shingles").join(need, "cid").where("key = need").dropDuplicates(["cid"]).select("cid", "shingles")
     key = ["band", "value", "low", "high"]
     dealt = shards.drop("key").join(whole, "cid").repartition(*key).sortWithinPartitions(*key, "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*key, "cid", "fp", "shingles", "tile")), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*key, "cid", "shingles", "tile")), strict=True))
         out: list[tuple[int, int]] = []
         for _, group in groupby(rows, key=lambda r: r[:4]):
             members = list(group)
             if len(members) > 1:
-                out += similar_links([r[4] for r in members], [r[5] & (2**64 - 1) for r in members], [unpack(r[6]) for r in members], [r[7] for r in members], similarity, radius)
+                out += similar_links([r[4] for r in members], [unpack(r[5]) for r in members], [r[6] for r in members], similarity)
             if len(out) > 10_000:
                 yield batch(edges, *map(list, zip(*out, strict=True)))
                 out = []
         if out:
             yield batch(edges, *map(list, zip(*out, strict=True)))
 
-    edges = dealt.select(*key, "cid", "fp", "shingles", "tile").mapInArrow(run, "a long, b long")
+    edges = dealt.select(*key, "cid", "shingles", "tile").mapInArrow(run, "a long, b long")
     joined = components(edges)
     of_class = classes.join(joined, F.col("cid") == F.col("node"), "left").select("key", F.coalesce("component", "cid").alias("component_id"))
     out = rows.join(of_class, "key", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -101,6 +101,19 @@ def test_similar_groups(spark, tile):
     assert simhash.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_similar_groups_with_a_repeated_line(spark):
+    rng = random.Random(11)
+    texts = []
+    for k, times in enumerate((1, 20, 40, 80)):
+        words = [f"w{k}x{i}" for i in rng.sample(range(10_000), 300)]
+        line = [f"f{k}x{i}" for i in range(8)]
+        texts += [" ".join([*words, *line]), " ".join([*words, *line * times])]
+    far = [(fingerprint(a, 5)[0] ^ fingerprint(b, 5)[0]).bit_count() for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert max(far) > 22
+    got = simhash.similar_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(8)]
+
+
 def test_bk_tree():
     random.seed(3)
     items = [random.getrandbits(12) for _ in range(200)]
