@@ -239,18 +239,18 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketches, "doc_id long, key binary, fp long, bands array<long>, shingles binary")
     rows = written(spark, rows, "sketches")
     light = rows.where("doc_id is not null").select("doc_id", "key", "bands")
-    classes = light.groupBy("key").agg(F.min("doc_id").alias("cid"))
-    first = light.join(classes.select("key", F.col("cid").alias("doc_id")), ["key", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min(F.struct("key", "bands")).alias("x"))
-    routed = first.select(F.col("doc_id").alias("cid"), F.col("x.key").alias("key"), F.posexplode("x.bands").alias("band", "value"))
+    # written: the numbers stay. A class is its key, as rows of one doc_id can be in several
+    classes = written(spark, light.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    routed = classes.select("cid", "least", "key", F.posexplode("bands").alias("band", "value"))
     many = routed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     shards = routed.join(many, ["band", "value"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
     shards = shards.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shards = written(spark, shards.select("cid", "key", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
+    shards = written(spark, shards.select("cid", "least", "key", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
     # only sets of classes that meet another go on; their join, the choice of one row and the join with the shards share one partitioning
-    need = shards.select("cid", F.col("key").alias("need")).distinct()
-    whole = rows.select(F.col("doc_id").alias("cid"), "key", "shingles").join(need, "cid").where("key = need").dropDuplicates(["cid"]).select("cid", "shingles")
+    need = shards.select("least", "key").distinct()
+    whole = rows.select(F.col("doc_id").alias("least"), "key", "shingles").join(need, ["least", "key"]).dropDuplicates(["least", "key"])
     key = ["band", "value", "low", "high"]
-    dealt = shards.drop("key").join(whole, "cid").repartition(*key).sortWithinPartitions(*key, "cid")
+    dealt = shards.join(whole, ["least", "key"]).select(*key, "cid", "shingles", "tile").repartition(*key).sortWithinPartitions(*key, "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
@@ -266,8 +266,9 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: i
         if out:
             yield batch(edges, *map(list, zip(*out, strict=True)))
 
-    edges = dealt.select(*key, "cid", "shingles", "tile").mapInArrow(run, "a long, b long")
+    edges = dealt.mapInArrow(run, "a long, b long")
     joined = components(edges)
-    of_class = classes.join(joined, F.col("cid") == F.col("node"), "left").select("key", F.coalesce("component", "cid").alias("component_id"))
+    of_class = classes.join(joined, F.col("cid") == F.col("node"), "left").select("key", "least", F.coalesce("component", "cid").alias("component"))
+    of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
     out = rows.join(of_class, "key", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return out

@@ -114,6 +114,16 @@ def test_similar_groups_with_a_repeated_line(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i - i % 2) for i in range(8)]
 
 
+def test_similar_groups_of_an_id_with_two_texts(spark):
+    rng = random.Random(12)
+    texts = [[f"w{k}x{i}" for i in range(200)] for k in range(2)]
+    near = [[*t[:199], "else"] for t in texts]
+    rows = [(1, texts[0]), (1, texts[1]), (5, near[0]), (6, near[1])]
+    rng.shuffle(rows)
+    got = simhash.similar_groups(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (5, 1), (6, 1)]
+
+
 def test_bk_tree():
     random.seed(3)
     items = [random.getrandbits(12) for _ in range(200)]
