@@ -72,3 +72,21 @@ def source_preferences(defaults: DataFrame, own: DataFrame) -> DataFrame:
 def fresh(df: DataFrame, fetched_at: str, now: str, ttl_seconds: int) -> DataFrame:
     """Cached rows younger than the time to live."""
     return df.where(F.col(fetched_at) > F.lit(now).cast(df.schema[fetched_at].dataType) - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """sets(key, tok), each set once and none empty -> ka, kb, sim: all pairs ka < kb of that Jaccard similarity or more.
+
+    Similar sets share a word of their prefixes, the rarest words first: as many as are left when all but the least
+    intersection is taken away. A pair is made at its rarest shared word only, and then compared whole.
+    """
+    least = lambda n: F.ceil(F.lit(threshold) * n - 1e-9)
+    words = sets.select("key", F.explode("tok").alias("w"))
+    ranked = words.join(words.groupBy("w").agg(F.count("*").alias("f")), "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("r"))
+    s = ranked.select("key", F.transform("r", lambda x: x["w"]).alias("tok")).withColumn("n", F.size("tok"))
+    s = s.withColumn("prefix", F.slice("tok", 1, (F.col("n") - least(F.col("n")) + 1).cast("int")))
+    s = s.select("*", F.explode("prefix").alias("w"))
+    a, b = (s.select("w", *(F.col(c).alias(c + x) for c in ("key", "tok", "n", "prefix"))) for x in "ab")
+    pairs = a.join(b, "w").where((F.col("keya") < F.col("keyb")) & (F.col("na") >= least(F.col("nb"))) & (F.col("nb") >= least(F.col("na"))) & (F.get(F.array_intersect("prefixa", "prefixb"), F.lit(0)) == F.col("w")))
+    pairs = pairs.withColumn("m", F.size(F.array_intersect("toka", "tokb"))).withColumn("sim", F.col("m") / (F.col("na") + F.col("nb") - F.col("m")))
+    return pairs.where(F.col("sim") >= threshold).select(F.col("keya").alias("ka"), F.col("keyb").alias("kb"), "sim")

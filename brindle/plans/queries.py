@@ -135,7 +135,7 @@ def title_tokens(spark: SparkSession, d: str) -> DataFrame:
     f"with t as (select doc_id, source, {_TOK} as tok from documents where lang = 'en'), e as (select doc_id, source, unnest(tok) as w, len(tok) as n from t), p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id < b.doc_id and a.source = b.source group by all) select a, b, round(m / (na + nb - m), 6) as jaccard from p where m / (na + nb - m) >= 0.3"
 )
 def doc_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar titles within a source: shared words make the candidates, counting them gives the intersection."""
+    """Similar English titles within a source, a subset of doc_jaccard_pairs_all: shared words make the candidates, counting them gives the intersection."""
     t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", similarity.tokens(title(F.col("text"))).alias("tok"))
     e = t.select("doc_id", "source", F.explode("tok").alias("w"), F.size("tok").alias("n"))
     p = e.alias("a").join(e.alias("b"), ["w", "source"]).where("a.doc_id < b.doc_id").groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("m"))
@@ -143,6 +143,18 @@ def doc_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.where(j >= 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
+@query(
+    f"with t as (select doc_id, {_TOK} as tok from documents), e as (select doc_id, unnest(tok) as w, len(tok) as n from t), p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by all) select a, b, round(m / (na + nb - m), 6) as jaccard from p where m / (na + nb - m) >= 0.3"
+)
+def doc_jaccard_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Similar titles of all languages and sources: equal token sets are one class, and classes are compared."""
+    t = table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(similarity.tokens(title(F.col("text")))), " ").alias("key")).where("key <> ''")
+    pairs = joins.similar_sets(t.select("key").distinct().select("key", F.split("key", " ").alias("tok")), 0.3)
+    a, b = t.select(F.col("doc_id").alias("a"), F.col("key").alias("ka")), t.select(F.col("doc_id").alias("b"), F.col("key").alias("kb"))
+    apart = pairs.join(a, "ka").join(b, "kb").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("sim", 6).alias("jaccard"))
+    return a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b"))).select("a", "b", F.lit(1.0).alias("jaccard")).unionByName(apart)
+
+
 @query(r"""select doc_id, md5(array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|')) as lines, length(coalesce(text, '')) > 500 as long_text, case when length(text) > 80 then substr(text, 1, 80) || '…' else text end as clamped from documents""")
 def text_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import similarity
-from brindle.operators import cluster, knn
+from brindle.operators import cluster, joins, knn
 from brindle.plans import queries
 from brindle.plans.queries import QUERIES
 
@@ -103,3 +103,20 @@ def test_titles_of_other_first_words_and_days_meet(spark, tmp_path):
     assert sorted((r.id, r.leader) for r in run("title_leader_cluster_all")) == [(1, 1), (2, 1), (5, 5), (6, 6)]
     assert sorted((r.id, r.leader) for r in run("topic_cluster")) == [(1, 1), (2, 1), (5, 5), (6, 5)]
     assert [(r.title, r.n_perspectives, r.n_sources) for r in run("story_groups")] == [("omega alpha beta gamma", 2, 2)]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 1 / 3])
+def test_similar_sets(spark, threshold):
+    rng = random.Random(8)
+    sets = {" ".join(sorted(rng.sample("abcdefghijklmnopqrst", rng.randint(1, 12)))) for _ in range(150)}
+    got = joins.similar_sets(spark.createDataFrame([(k, k.split()) for k in sets], "key string, tok array<string>"), threshold).collect()
+    sim = lambda a, b: len({*a.split()} & {*b.split()}) / len({*a.split()} | {*b.split()})
+    assert sorted((r.ka, r.kb, r.sim) for r in got) == sorted((a, b, sim(a, b)) for a in sets for b in sets if a < b and sim(a, b) >= threshold)
+
+
+def test_title_pairs_of_all_languages_and_sources(spark, sf):
+    got = QUERIES["doc_jaccard_pairs_all"](spark, sf)
+    docs = queries.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    both = got.join(docs.toDF("a", "la", "sa"), "a").join(docs.toDF("b", "lb", "sb"), "b")
+    assert QUERIES["doc_jaccard_pairs"](spark, sf).exceptAll(got).count() == 0
+    assert both.where("sa <> sb").count() > 0 and both.where("la <> 'en'").count() > 0
