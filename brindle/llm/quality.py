@@ -4,12 +4,13 @@ The statistics are of the whole text only (FEATURES). Trees are grown level by l
 Hessians of the log loss are summed into histograms, the best split of each node is read off their running sums. A fitted
 model is four arrays (complete binary trees), which numpy walks for all rows of a batch at once.
 
-Learning takes at most SAMPLE labelled rows, those of least hash of doc_id, so the driver holds a bounded matrix; all else
-covers all rows.
+Learning takes at most SAMPLE labels, those of least hash of doc_id, and of the documents that have them as many, those of
+least hash of their statistics; so the driver holds a bounded matrix that no order of rows changes. All else covers all rows.
 
 Defined cases: a null or empty text has all-zero statistics and gets a score; without labelled rows of both kinds every
-score is the smoothed share of label 1; null labels and doc_ids without a text are not learnt from; repeated rows count
-as rows; other columns are not read.
+score is the smoothed share of label 1; null labels, labels of one doc_id that differ, and doc_ids without a text are not
+learnt from; a label that is repeated counts once, documents that repeat a doc_id count as rows; other columns are not read,
+and a column kept by the name score, held_out or predicted is an error.
 """
 
 from __future__ import annotations
@@ -121,22 +122,24 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Trees:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fits on a bounded sample of the labelled rows outside of held_out()."""
     small_batches(docs.sparkSession)
-    chosen = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).select("doc_id", F.col("quality").cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most SAMPLE rows of two numbers
+    chosen = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    chosen = chosen.where("y in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows of two numbers
     schema = pa.schema([pa.field("y", pa.float64()), pa.field("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield batch(schema, b.column("y"), [statistics(t) for t in texts(b.column("text"))])
 
-    got = rows.select("text", "y").limit(SAMPLE).mapInArrow(run, "y double, x array<double>").toArrow()
+    # statistics where the texts lie; then the least rows by their values, whatever the order they come in
+    rows = rows.select("y", "text").mapInArrow(run, "y double, x array<double>")
+    got = rows.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy()
-    order = np.lexsort((*x.T, y))  # the model doesn't depend on the order in which rows arrive
+    order = np.lexsort((*x.T, y))
     return fit(x[order], y[order])
 
 
@@ -157,6 +160,8 @@ def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), na
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, held_out, score and predicted (1 if score >= threshold)."""
+    if clash := {"held_out", "score", "predicted"}.intersection(keep):
+        raise ValueError(f"columns that the result has itself: {sorted(clash)}")
     scored = score(docs, learn(docs, labels), keep)
     return scored.select(*keep, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

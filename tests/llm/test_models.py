@@ -104,6 +104,73 @@ def test_trees_learn_a_rule():
     assert quality.fit(x[:0], np.ones(0)).score(x[:1]) == pytest.approx([0.5])
 
 
+def plain_fit(x, y):
+    """The trees of fit, by loops over nodes, features and edges."""
+    share = (sum(y) + 0.5) / (len(y) + 1)
+    margin = [math.log(share / (1 - share))] * len(y)
+    edges = [[float(np.quantile([r[j] for r in x], k / quality.BINS)) for k in range(1, quality.BINS)] for j in range(len(x[0]))]
+    for _ in range(quality.ROUNDS):
+        p = [1 / (1 + math.exp(-m)) for m in margin]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        nodes = [list(range(len(y)))]
+        for _ in range(quality.DEPTH):
+            below = []
+            for rows in nodes:
+                best, cut = 1e-6, None
+                tg, th = sum(g[i] for i in rows), sum(h[i] for i in rows)
+                for j in range(len(x[0])):
+                    for e in edges[j]:
+                        left = [i for i in rows if x[i][j] <= e]
+                        lg, lh = sum(g[i] for i in left), sum(h[i] for i in left)
+                        if lh >= quality.LEAST_HESSIAN and th - lh >= quality.LEAST_HESSIAN:
+                            gain = lg**2 / (lh + quality.L2) + (tg - lg) ** 2 / (th - lh + quality.L2) - tg**2 / (th + quality.L2)
+                            if gain > best + 1e-9:
+                                best, cut = gain, (j, e)
+                below += [rows, []] if cut is None else [[i for i in rows if x[i][cut[0]] <= cut[1]], [i for i in rows if x[i][cut[0]] > cut[1]]]
+            nodes = below
+        for rows in nodes:
+            value = -quality.RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + quality.L2)
+            for i in rows:
+                margin[i] += value
+    return [1 / (1 + math.exp(-m)) for m in margin]
+
+
+def test_fit_against_plain_loops(monkeypatch):
+    for name, value in (("ROUNDS", 3), ("DEPTH", 2), ("BINS", 8)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 4))
+    x[:, 3] = x[:, 3].round()
+    y = ((x[:, 0] > 0.2) | (x[:, 3] > 0.9)).astype(float)
+    assert quality.fit(x, y).score(x) == pytest.approx(plain_fit(x.tolist(), y.tolist()))
+
+
+def test_quality_query_by_hand(spark, sf):
+    """Which rows are learnt from, and scores of all rows, in plain Python."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    own = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.quality is not None and r.doc_id in texts}
+    rows = sorted((float(q), quality.statistics(texts[i] or "")) for i, q in own.items())
+    key = lambda r: tuple([r[0], *r[1][::-1]])
+    rows.sort(key=key)
+    x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    want = quality.fit(x, y).score(np.array([quality.statistics(t or "") for t in texts.values()]))
+    got = {r.doc_id: r for r in QUERIES["op9_quality"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, s in zip(texts, want, strict=True):
+        assert got[i].score == pytest.approx(s, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_the_model_does_not_depend_on_the_order_of_rows(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.withColumn("text", F.reverse("text")))  # repeated doc_ids
+    labels = labels.unionByName(labels.limit(20)).unionByName(labels.limit(3).withColumn("quality", 1 - F.col("quality")))
+    a, b = quality.learn(docs, labels, 40), quality.learn(docs.repartition(7, F.rand(3)), labels.repartition(5, F.rand(4)), 40)
+    assert (a.feature == b.feature).all() and (a.threshold == b.threshold).all() and (a.value == b.value).all()
+    with pytest.raises(ValueError):
+        quality.classify(docs.withColumn("score", F.lit(1)), labels, keep=("doc_id", "score"))
+
+
 def test_statistics_of_odd_texts():
     random.seed(1)
     for t in ["", " ", "\n\n", "a", "é" * 10, "x " * 5000, "A!! B!!"]:
