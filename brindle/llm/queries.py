@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, idstore, katz, maxmatch, quality, sadedup, simhash, vecdup, warc
 from .common import table
 
-#: Where the vocabulary files of the public tokenizers are.
-TOKENIZERS = os.environ.get("BRINDLE_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
-WORD_BPE, END_ID = f"{TOKENIZERS}/word_bpe_49k.json", 1
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
-#: Splits text before the merges of the rank files; a fixed value of the public tokenizers.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Vocabulary files of the public tokenizers, in a folder of one's own if it is named; executors have them at the same path.
+_path = (lambda name: os.path.join(os.environ["BRINDLE_TOKENIZERS"], name)) if "BRINDLE_TOKENIZERS" in os.environ else public_tokenizers.path
+BYTE_BPE, WORD_BPE, PIECES = map(_path, ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
+PATTERN, END_ID = public_tokenizers.PATTERN, 1
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +46,8 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.converted(table(spark, sf_dir, "pages"))
+    rows = warc.converted(table(spark, sf_dir, "pages"))
+    return rows.withColumn("record_type", F.when(F.col("record_type") == "revisit", "revisit").otherwise("response"))  # resources are counted as responses
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,9 +324,43 @@ def test_warc(spark):
     assert warc.converted(df.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    """Each reference names a record, identifiers are unique, gzip's own reader takes the files, and their size is bounded."""
+    import gzip
+
+    rng = random.Random(3)
+    noise = lambda n: "".join(rng.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=n))
+    same, long = noise(5000), noise(20 << 20)  # a page longer than two members and than a file
+    rows = [(i, f"http://h/{i}", same if i % 3 else noise(2000)) for i in range(60)] + [(100, "http://h/long", long), (101, "http://h/too", long), (102, "ftp://h/x", "z" * 50)]
+    warc.write(warc.with_targets(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)), path := str(tmp_path / "out"), 40_000)
+    files = [p.read_bytes() for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
+    assert sum(len(f) > 40_000 for f in files) == 1 and len(files) > 3
+    records = [(h, b) for f in files for h, b in warc.read_warc(f)]
+    assert all(next(warc.read_warc(f))[0]["warc-type"] == "warcinfo" for f in files)
+    assert all(len([*warc.read_warc(gzip.decompress(f))]) == len([*warc.read_warc(f)]) for f in files)
+    ids = {h["warc-record-id"]: h for h, _ in records}
+    assert len(ids) == len(records) == len(rows) + len(files)
+    kinds = collections.Counter(h["warc-type"] for h, _ in records)
+    assert kinds["revisit"] == 40 and kinds["resource"] == 1 and kinds["response"] == 22
+    for h, b in records:
+        assert len(b) == int(h["content-length"])
+        if h["warc-type"] == "revisit":
+            to = ids[h["warc-refers-to"]]
+            assert to["warc-type"] == "response" and to["warc-payload-digest"] == h["warc-payload-digest"] and (to["warc-target-uri"], to["warc-date"]) == (h["warc-refers-to-target-uri"], h["warc-refers-to-date"])
+        if h["warc-type"] == "response":
+            assert b.startswith(b"HTTP/1.1 200 ") and h["content-type"] == "application/http; msgtype=response" and hashlib.sha1(warc.payload(h, b)).hexdigest() == h["warc-payload-digest"][5:]
+        if "warc-block-digest" in h:
+            assert hashlib.sha1(b).hexdigest() == h["warc-block-digest"][5:]
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read(spark, path).collect()) == [(i, len(t)) for i, _, t in rows]
+    for f in files:
+        for bad in (f[:-1], f[: len(f) // 2]):
+            with pytest.raises(ValueError):
+                list(warc.read_warc(bad))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_lines_and_lengths(version):
-    rows = [("http://a", "20010203040506", "text/html", b"a\nb\n"), ("http://b", "20010203040507", "image/png", b""), ("http://c d", "20010203040508", "text/plain", b"x" * 99)]
+    rows = [("http://a", "20010203040506", "text/html", b"a\nb\n"), ("dns:b", "20010203040507", "image/png", b""), ("http://c d", "20010203040508", "text/plain", b"x" * 99)]
     archive = warc.arc_bytes(rows, version, "n.arc")
     got = list(warc.read_arc(archive))
     assert [(r.url, r.date, r.kind, r.payload) for r in got] == [(u.replace(" ", "%20"), d, k, p) for u, d, k, p in rows]
@@ -334,4 +368,8 @@ def test_arc_lines_and_lengths(version):
         with pytest.raises(ValueError):
             list(warc.read_arc(bad))
     head, block = next(warc.read_warc(warc.warc_record(got[0], {}, None)))
-    assert block == b"a\nb\n" and head["warc-date"] == "2001-02-03T04:05:06Z" and head["warc-payload-digest"] == "sha1:" + hashlib.sha1(block).hexdigest()
+    assert warc.payload(head, block) == b"a\nb\n" and head["warc-type"] == "response" and head["warc-date"] == "2001-02-03T04:05:06Z" and head["warc-payload-digest"] == "sha1:" + hashlib.sha1(b"a\nb\n").hexdigest()
+    head, block = next(warc.read_warc(warc.warc_record(got[1], {}, None)))
+    assert head["warc-type"] == "resource" and head["content-type"] == "image/png" and block == b""
+    missing = warc.ArcRecord("http://a", "0.0.0.0", "20010203040506", "text/html", "404", b"gone")
+    assert b"HTTP/1.1 404 " in warc.warc_record(missing, {}, None)
