@@ -26,9 +26,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = os.path.join(tempfile.gettempdir(), "brindle-shared")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")

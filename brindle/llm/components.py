@@ -25,19 +25,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node has an edge to another smaller node and a second one, or one from a larger node: edges a > b that are stars have neither."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, component): each node of an edge, and the least node of its component, itself included.
 
     Loops and nulls are dropped; repeated edges and either direction are fine; no edges give no rows.
     """
     spark = edges.sparkSession
-    now, before = written(spark, edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges"), None
-    while True:
+    now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
+    while _unfinished(now):
         after = written(spark, _small_star(_large_star(now)), "edges")
         drop_path(spark, now._brindle_path)
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        now, before = after, mark
-    stars = after.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        now = after
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, pack, small_batches, texts, unpack, written
+from .common import batch, drop_path, pack, small_batches, texts, unpack, written
 from .components import components
+from .vecdup import spanning
 
 #: Fingerprints in a shard above which it is split once more.
 SHARD = 2048
@@ -169,13 +170,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 2) -> DataFrame:
 
 #: A band is BAND min-hashes; texts of similarity 0.8 agree on one of BANDS with a chance above 0.9999.
 BANDS, BAND = 14, 3
-#: Classes in a tile of a shard; two tiles meet in one task.
-TILE = 512
+#: Classes, and shingles of all of them, in a tile of a shard; two tiles meet in one task.
+TILE, WEIGHT = 512, 4 << 20
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketch(text: str, k: int) -> tuple[bytes, int, list[int], bytes]:
-    """A digest of the shingle set, the fingerprint, the band values and the set (sorted, 8 bytes each, packed)."""
+def sketch(text: str, k: int) -> tuple[bytes, int, list[int], int, bytes]:
+    """A digest of the shingle set, the fingerprint, the band values, the size of the set and the set (40 bits of each hash, sorted, packed)."""
     hashes = shingles(text, k)
     distinct = np.unique(hashes)
     low = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
@@ -185,65 +186,70 @@ def sketch(text: str, k: int) -> tuple[bytes, int, list[int], bytes]:
     value = bands[:, 0].copy()
     for j in range(1, BAND):
         value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + bands[:, j]
-    return xxhash.xxh128_digest(distinct.tobytes()), majority(hashes), value.astype(np.int64).tolist(), pack(distinct >> np.uint64(24), delta=True)
+    return xxhash.xxh128_digest(distinct.tobytes()), majority(hashes), value.astype(np.int64).tolist(), len(distinct), pack(distinct >> np.uint64(24), delta=True)
 
 
-#: Cells of the matrix of sets that are compared at once.
-CELLS = 1 << 22
+#: Cells of a block of the matrix of sets; shingles of more sets than RARE are counted by its products, all others by pairs of sets.
+CELLS, RARE = 1 << 22, 32
 
 
 def similar_links(cids: list[int], sets: list[np.ndarray], tiles: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph that joins classes of at least that similarity. With two tiles, only pairs of either."""
-    names, counts = np.unique(np.concatenate(sets), return_counts=True)
-    names = names[counts > 1]  # what only one set has is in no intersection
-    size, tile = np.array([len(s) for s in sets]), np.array(tiles)
-    own = np.zeros((len(sets), len(names)), np.float32)
-    for i, s in enumerate(sets):
-        if len(names):
-            at = np.searchsorted(names, s)
-            at[at == len(names)] = 0
-            own[i, at[names[at] == s]] = 1
-    cross, step = len({*tiles}) > 1, max(1, CELLS // max(1, len(names)))
-    tree, out = np.arange(len(cids)), []
-    for i in range(1, len(cids)):
-        for k in range(0, i, step):
-            rows = slice(k, min(i, k + step))
-            open_ = (tree[rows] != tree[i]) & ((tile[rows] != tile[i]) if cross else True)
-            if not open_.any():
-                continue
-            near = np.flatnonzero(open_) + k
-            both = own[near] @ own[i] if len(near) < rows.stop - k else own[rows] @ own[i]
-            for j in near[both >= similarity * (size[near] + size[i] - both) - 1e-6].tolist():
-                if tree[j] != tree[i]:
-                    tree[tree == tree[j]] = tree[i]
-                    out.append((cids[i], cids[j]))
-    return out
+    """Links that connect what the graph of classes of at least that similarity connects. With two tiles, only pairs of either."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")  # owners rise within a shingle
+    flat, owner = flat[order], owner[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(flat)), bool), flat[1:] != flat[:-1])))
+    held = np.diff(first, append=len(flat))  # by how many sets
+    of = np.repeat(np.arange(len(first)), held)
+    both = np.zeros((n, n))
+    rare = held[of] <= RARE
+    place, who = of[rare], owner[rare]
+    for d in range(1, RARE):
+        at = np.flatnonzero(place[d:] == place[:-d])
+        if not len(at):
+            break
+        both += np.bincount(who[at] * n + who[at + d], minlength=n * n).reshape(n, n)
+    column, who = of[~rare], owner[~rare]
+    column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1]))) if len(column) else column
+    step = max(1, CELLS // n)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        here = slice(*np.searchsorted(column, (a, a + step)))
+        block = np.zeros((n, step), np.float32)
+        block[who[here], column[here] - a] = 1
+        both += block @ block.T
+    near = np.triu(both >= similarity * (size[:, None] + size - both) - 1e-6, 1)
+    if len({*tiles}) > 1:
+        near &= np.array(tiles)[:, None] != np.array(tiles)
+    label = spanning(n, *np.nonzero(near))
+    return [(cids[i], cids[label[i]]) for i in np.flatnonzero(label != np.arange(n)).tolist()]
 
 
 def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint and component_id, the least doc_id that links reach: texts whose k-word shingle sets have at least that Jaccard similarity.
 
     Texts of equal sets are one class (those without words as well). Classes meet in shards named by a band of min-hashes; of a
-    shard's classes a task takes two tiles, whose pairs are compared exactly. Rows of a null
-    doc_id are in no group.
+    shard's classes a task takes two tiles, of bounded numbers of classes and shingles, and counts what each pair shares. Sets
+    are of 40 bits of each shingle's hash: two unlike shingles of a pair of texts of a thousand words count as one with a chance
+    of a millionth. Rows of a null doc_id are in no group.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    schema = pa.schema([pa.field("doc_id", pa.int64()), pa.field("key", pa.binary()), pa.field("fp", pa.int64()), pa.field("bands", pa.list_(pa.int64())), pa.field("shingles", pa.binary())])
+    schema = pa.schema([pa.field("doc_id", pa.int64()), pa.field("key", pa.binary()), pa.field("fp", pa.int64()), pa.field("bands", pa.list_(pa.int64())), pa.field("weight", pa.int64()), pa.field("shingles", pa.binary())])
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, fp, bands, sets = zip(*(sketch(t, k) for t in texts(b.column("text"))), strict=True) if b.num_rows else ((),) * 4
-            yield batch(schema, b.column("doc_id"), list(key), np.array(fp, np.uint64).astype(np.int64), list(bands), list(sets))
+            key, fp, bands, weight, sets = zip(*(sketch(t, k) for t in texts(b.column("text"))), strict=True) if b.num_rows else ((),) * 5
+            yield batch(schema, b.column("doc_id"), list(key), np.array(fp, np.uint64).astype(np.int64), list(bands), list(weight), list(sets))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketches, "doc_id long, key binary, fp long, bands array<long>, shingles binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketches, "doc_id long, key binary, fp long, bands array<long>, weight long, shingles binary")
     rows = written(spark, rows, "sketches")
-    light = rows.where("doc_id is not null").select("doc_id", "key", "bands")
+    light = rows.where("doc_id is not null").select("doc_id", "key", "bands", "weight")
     # written: the numbers stay. A class is its key, as rows of one doc_id can be in several
-    classes = written(spark, light.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    routed = classes.select("cid", "least", "key", F.posexplode("bands").alias("band", "value"))
-    many = routed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shards = routed.join(many, ["band", "value"]).withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int"))
+    classes = written(spark, light.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.min("weight").alias("weight")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    routed = classes.select("cid", "least", "key", "weight", F.posexplode("bands").alias("band", "value"))
+    many = routed.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weights")).where("n > 1")
+    shards = routed.join(many, ["band", "value"]).withColumn("tiles", F.ceil(F.greatest(F.col("n") / F.lit(tile), F.least("n", F.col("weights") / F.lit(WEIGHT)))).cast("int"))
     shards = shards.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     shards = written(spark, shards.select("cid", "least", "key", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
     # only sets of classes that meet another go on; their join, the choice of one row and the join with the shards share one partitioning
@@ -271,4 +277,7 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: i
     of_class = classes.join(joined, F.col("cid") == F.col("node"), "left").select("key", "least", F.coalesce("component", "cid").alias("component"))
     of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
     out = rows.join(of_class, "key", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    out = written(spark, out, "similar-groups")
+    for t in (rows, classes, shards):
+        drop_path(spark, t._brindle_path)
     return out

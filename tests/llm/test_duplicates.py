@@ -101,6 +101,47 @@ def test_similar_groups(spark, tile):
     assert simhash.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_similar_links_counts_every_pair(monkeypatch):
+    rng = np.random.default_rng(8)
+    for common, cells in ((32, 1 << 22), (2, 64)):  # by pairs of places, and by products of blocks of the matrix
+        monkeypatch.setattr(simhash, "RARE", common)
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        base = rng.integers(0, 1 << 40, (4, 60), dtype=np.uint64)
+        sets = [np.unique(np.concatenate((rng.choice(base[i % 4], 50 + i % 11, False), rng.integers(0, 1 << 40, i % 5, dtype=np.uint64)))) for i in range(50)]
+        for tiles in ([0] * 50, [i // 4 % 2 for i in range(50)]):
+            u = Union({i: i for i in range(50)})
+            for i in range(50):
+                for j in range(i):
+                    both = len(np.intersect1d(sets[i], sets[j]))
+                    if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and (tiles[i] != tiles[j] or not any(tiles)):
+                        u.join(i, j)
+            v = Union({i: i for i in range(50)})
+            for a, b in simhash.similar_links(list(range(50)), sets, tiles, 0.8):
+                v.join(a, b)
+            assert [u.find(i) for i in range(50)] == [v.find(i) for i in range(50)] and len({u.find(i) for i in range(50)}) < 40
+
+
+def test_recall_of_similar_groups_on_a_whole_table(spark):
+    """Links of all pairs of 1,000 documents, by an inverted index: at least 0.99 are in one group, and no group is joined by anything else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r.doc_id: fingerprint(r.text or "", 5)[1] for r in docs.collect()}
+    holders, both = collections.defaultdict(list), collections.Counter()
+    for i in sorted(sets):
+        for x in sets[i]:
+            holders[x].append(i)
+    for h in holders.values():
+        both.update((a, b) for k, a in enumerate(h) for b in h[k + 1 :])
+    links = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    empty = [i for i in sorted(sets) if not sets[i]]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    u = Union()
+    for a, b in [*links, *zip(empty, empty[1:], strict=False)]:
+        u.join(a, b)
+    recall = sum(got[a] == got[b] for a, b in links) / len(links)
+    assert len(links) > 100 and recall >= 0.99
+    assert all(u.find(i) == u.find(got[i]) for i in sets)
+
+
 def test_similar_groups_with_a_repeated_line(spark):
     rng = random.Random(11)
     texts = []
@@ -225,7 +266,10 @@ def test_quantisation_bounds_hold():
     rng = np.random.default_rng(7)
     a, b = rng.normal(size=(200, 1500)), rng.normal(size=(210, 1500))
     b[:50] = a[:50] + rng.normal(size=(50, 1500)) * 0.35
-    i, j = vecdup.tile_links(a, b, 0.93)
+    i, j, sure = map(np.concatenate, zip(*vecdup.decided(vecdup.quantise(a), vecdup.quantise(b), 0.93), strict=True))
+    yes = vecdup.exact(a, b, i, j, 0.93)
+    assert yes[sure].all() and sure.any() and not sure.all()  # the bounds decide some pairs, and never wrongly
+    i, j = i[yes], j[yes]
     cos = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(cos >= 0.93).tolist())) and len(i)
 
