@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import batch, small_batches, texts
+from .common import small_batches, texts
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 NO_RANK = np.int64(1 << 40)
@@ -219,22 +221,27 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _codecs[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
-    """doc_id, n_tokens and, with digests, ids_sha256 and decoded_sha256 of the ids and of the bytes they decode to; else ids as an array."""
+def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, ids: bool | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens and, unless digests are asked for instead, ids as an array; with digests, ids_sha256 and decoded_sha256 of the
+    ids and of the bytes they decode to (ids=True gives both); with keep, row, a struct of those columns."""
     small_batches(docs.sparkSession)
-    last = [pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())] if digests else [pa.field("ids", pa.list_(pa.int32()))]
-    schema = pa.schema([pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), *last])
+    ids = not digests if ids is None else ids
+    fields = [StructField("doc_id", LongType()), StructField("n_tokens", LongType())]
+    fields += [StructField("ids", ArrayType(IntegerType()))] * ids + [StructField(n, StringType()) for n in ("ids_sha256", "decoded_sha256")] * digests
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *([F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row")] if keep else []))
+    fields += [rows.schema["row"]] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for b in batches:
-            ids = bpe.encode_many(texts(b.column("text")))
-            sizes = [len(x) // 4 for x in ids]
-            if digests:
-                yield batch(schema, b.column("doc_id"), sizes, [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])
-            else:
+            found = bpe.encode_many(texts(b.column("text")))
+            sizes = [len(x) // 4 for x in found]
+            out = [b.column("doc_id"), pa.array(sizes, pa.int64())]
+            if ids:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                yield batch(schema, b.column("doc_id"), sizes, pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                out.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), "<i4"))))
+            if digests:
+                out += [pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*out, *([b.column("row")] if keep else [])], names=[f.name for f in fields])
 
-    kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
+    return rows.mapInArrow(run, StructType(fields))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -50,9 +51,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Spark deletes the shuffle files of the job when it ends: what follows reads the table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(spark: SparkSession, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: what follows reads the files, so a lost executor costs no recomputation."""
-    df.write.option("compression", codec).parquet(path := new_path(spark, tag))
+    with tidy(spark):
+        df.write.option("compression", codec).parquet(path := new_path(spark, tag))
     out = spark.read.schema(df.schema).parquet(path)
     out._brindle_path = path
     return out
@@ -62,9 +76,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_chunk() -> F.Column:
-    """Names the piece of an input file that a row comes from; the same for each scan of the same files with the same split size."""
-    return F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string"))
+def spent_by(df: DataFrame, source: DataFrame | None = None, *tables: DataFrame) -> DataFrame:
+    """df, marked with the tables that nobody needs once it is written; those that source is marked with are taken over."""
+    df._brindle_spent = [*getattr(source, "_brindle_spent", []), *(t._brindle_path for t in tables)]
+    return df
+
+
+def drop_spent(df: DataFrame) -> None:
+    for path in getattr(df, "_brindle_spent", []):
+        drop_path(df.sparkSession, path)
+
+
+#: Bytes of text whose share of a corpus-wide table is a bucket, which a task holds whole.
+BUCKET = 24 << 20
+
+
+def sized(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all texts, and how many buckets they ask for: at least spark.sql.shuffle.partitions."""
+    n = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return n, max(shuffle_partitions(docs.sparkSession), -(-n // BUCKET))
 
 
 def pack(a: np.ndarray, delta: bool = False, level: int = 1) -> bytes:

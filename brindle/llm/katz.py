@@ -20,8 +20,9 @@ context is hot). A bucket keeps its part of the count tables and replies to each
     E  chunk:  evaluates each token recursively and sums by document -> scores
 
 Each stage but C, whose pairs only pass through a shuffle, is a table in the shared folder, partitioned by kind; rows are (chunk, kind, bucket, data), data packed arrays of
-a chunk and bucket. The number of buckets is spark.sql.shuffle.partitions. Only count-of-count sums, the sizes of the
-buckets and the statistics of hot contexts (a bounded number of each) reach the driver.
+a chunk and bucket. The number of buckets follows the size of the texts, so what a task holds doesn't grow with them. Only
+count-of-count sums, the sizes of the buckets and the statistics of hot contexts (a bounded number for each bucket) reach the
+driver, and go from there to the executors as a broadcast.
 
 Defined cases: a null or empty text has only the end token; a null doc_id counts as not held out; rows of equal doc_id each
 count and give a row; an empty table gives no rows; other columns are not read.
@@ -41,8 +42,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, pack, shuffle_partitions, small_batches, unpack
-from .stages import ROWS, drop_kind, frame, join, record_batch, release, rows_of, split, stage
+from .common import gathered, pack, sized, small_batches, unpack
+from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage
 
 #: Bytes of text in a chunk.
 CHUNK = 12 << 20
@@ -287,7 +288,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each document."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = shuffle_partitions(spark)
+    _, buckets = sized(docs)
 
     a = stage(_tokenise(docs, buckets), "katz-words")
     b = stage(rows_of(a, WORDS).groupBy("bucket").applyInPandas(bucket_words, ROWS), "katz-unigrams")
@@ -303,7 +304,6 @@ def scores(docs: DataFrame) -> DataFrame:
     pairs = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS)
     pairs = pairs.groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS)
     d = stage(pairs, "katz-bigrams")
-    del pairs  # with it go the shuffle files of C
     n = np.sum([*(np.frombuffer(r.data, np.int64) for r in rows_of(d, SUMS).collect()), np.zeros(K + 3, np.int64)], axis=0)
     of_pairs = discounts(n)
     hot_contexts: dict[int, np.ndarray] = {}
@@ -311,6 +311,6 @@ def scores(docs: DataFrame) -> DataFrame:
         context, *stats = map(unpack, split(r.data))
         for i, x in zip(context.tolist(), np.stack(stats, axis=1), strict=True):
             hot_contexts[i] = hot_contexts.get(i, 0) + x
-    release(spark)
+    known = spark.sparkContext.broadcast((start, hot_contexts))
     out = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).unionByName(rows_of(d, PAIR_REPLY))
-    return out.groupBy("chunk").applyInPandas(lambda x: chunk_scores(x, start, buckets, hot, unigrams, of_pairs, hot_contexts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.groupBy("chunk").applyInPandas(lambda x: chunk_scores(x, known.value[0], buckets, hot, unigrams, of_pairs, known.value[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -17,7 +17,9 @@ the piece's first one, every window of it does.
     D  shard: suffix arrays with common prefixes                   -> MARKS
     E  chunk: bytes covered by marked windows
 
-Each stage is a table in the shared folder; a hot passage is one piece a chunk, however many documents hold it.
+Each stage is a table in the shared folder. The number of shards follows the size of the texts. A hot passage is one piece a
+chunk, however many documents hold it; a hot minimizer, of more places than an eighth of a shard has on average, would bring
+many unlike pieces to one shard, so its windows go one by one to the shards of their own hashes.
 
 Defined cases: a null or empty text has no bytes; texts shorter than `length` lose nothing; rows of equal doc_id are one
 document to each other (none is smaller), each with a row; null doc_ids count as larger than all others and equal to each other;
@@ -32,19 +34,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import gathered, pack, shuffle_partitions, small_batches, unpack
+from .common import gathered, pack, sized, small_batches, spent_by, unpack
 from .esais import suffixes
-from .stages import ROWS, drop_kind, frame, join, record_batch, release, rows_of, split, stage, trimmed
+from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage, trimmed
 
 #: Bytes of text in a chunk; bytes that are hashed at a time.
 CHUNK, STEP = 8 << 20, 1 << 19
 GRAM = 20
+#: Places of a minimizer below which it is never hot.
+HOT = 10_000
 #: Bytes that a shard's sort may hold in memory before it uses scratch files.
 MEMORY = 256 << 20
 DOCS, HASHES, SHARED, PLACES, PIECES, MARKS = range(10, 16)
@@ -119,17 +124,18 @@ def chunk_hashes(ids: np.ndarray, docs: list[bytes], extra: bytes, length: int,
     value, doc = value[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
     many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(first) else np.zeros(0, bool)
+    held = np.diff(first, append=len(value)).astype(np.uint32)
     value, bounds = value[first], _bounds(value[first], buckets)
     out = [(DOCS, -1, join(pack(ids), pack(sizes), zstandard.compress(joined, 3), extra))]
     doc_of = np.minimum.reduceat(doc, first) if len(first) else doc
     for k in range(buckets):
         if (a := bounds[k]) < (b := bounds[k + 1]):
-            out.append((HASHES, k, join(pack(value[a:b], delta=True), np.packbits(many[a:b]).tobytes(), pack(doc_of[a:b] - doc_of[a:b].min()), pack(doc_of[a:b].min()[None]))))
+            out.append((HASHES, k, join(pack(value[a:b], delta=True), np.packbits(many[a:b]).tobytes(), pack(doc_of[a:b] - doc_of[a:b].min()), pack(doc_of[a:b].min()[None]), pack(held[a:b]))))
     return out
 
 
-def bucket_shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk, which of its minimizers occur in more than one document."""
+def bucket_shared(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """For each chunk, which of its minimizers occur in more than one document, and which at `hot` places or more."""
     bucket, chunks = int(rows["bucket"].iloc[0]), rows["chunk"].tolist()
     parts = [split(d) for d in rows["data"]]
     values = [unpack(p[0]) for p in parts]
@@ -141,10 +147,11 @@ def bucket_shared(rows: pd.DataFrame) -> pd.DataFrame:
     v, d = values[order], doc[order]
     first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
     shared = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.logical_or.reduceat(many[order], first)
-    flag = np.empty(len(values), bool)
-    flag[order] = np.repeat(shared, np.diff(first, append=len(v)))
+    many_places = np.add.reduceat(np.concatenate([unpack(p[4]) for p in parts])[order].astype(np.int64), first) >= hot
+    flags = np.empty((2, len(values)), bool)
+    flags[:, order] = np.repeat([shared, many_places], np.diff(first, append=len(v)), axis=1)
     ends = np.cumsum(sizes)
-    return frame([(c, SHARED, bucket, np.packbits(flag[a:b]).tobytes()) for c, a, b in zip(chunks, ends - sizes, ends, strict=True)])
+    return frame([(c, SHARED, bucket, join(*(np.packbits(f[a:b]).tobytes() for f in flags))) for c, a, b in zip(chunks, ends - sizes, ends, strict=True)])
 
 
 class Chunk:
@@ -161,13 +168,22 @@ def chunk_pieces(rows: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     order = np.argsort(value)
     value = value[order]
     first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
-    bounds, shared = _bounds(value[first], buckets), np.zeros(len(first), bool)
+    bounds, shared, hot = _bounds(value[first], buckets), np.zeros(len(first), bool), np.zeros(len(first), bool)
     replies = rows[rows["kind"] == SHARED]
     for k, data in zip(replies["bucket"], replies["data"], strict=True):
-        shared[bounds[k] : bounds[k + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(bounds[k + 1] - bounds[k])).astype(bool)
-    keep = np.repeat(shared, np.diff(first, append=len(value)))
+        for flags, bits in zip((shared, hot), split(data), strict=True):
+            flags[bounds[k] : bounds[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(bounds[k + 1] - bounds[k])).astype(bool)
+    held = np.diff(first, append=len(value))
+    keep, hot = np.repeat(shared, held), np.repeat(shared & hot, held)[np.repeat(shared, held)]
     order, value = order[keep], value[keep]
     start, size = start[order], size[order]
+    if hot.any():
+        n = size[hot]
+        one = np.repeat(start[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.array([xxhash.xxh64_intdigest(c.joined[a : a + length], 1) for a in one.tolist()], np.uint64)
+        start, size, value = np.concatenate((start[~hot], one)), np.concatenate((size[~hot], np.ones(len(one), size.dtype))), np.concatenate((value[~hot], own))
+        order = np.argsort(value, kind="stable")
+        start, size, value = start[order], size[order], value[order]
     doc = c.ids[np.searchsorted(c.ends, start, "right")]
     number: dict[bytes, int] = {}
     joined, tail = c.joined, length - 1
@@ -272,7 +288,8 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_te
         raise ValueError(f"length must be {GRAM} to {GRAM + 62}")
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = shuffle_partitions(spark)
+    total, buckets = sized(docs)
+    hot = max(HOT, total // (GRAM * 8 * buckets))
     doc, raw = F.col("doc_id").cast("long"), F.col("text").cast("string")
     kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema if keep else None
     rows = docs.select(doc.alias("doc"), F.coalesce(raw, F.lit("")).alias("text"), raw.isNull().alias("none"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
@@ -304,11 +321,10 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_te
     fields = [StructField("doc_id", LongType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())]
     fields += [StructField("text", StringType())] * with_text + ([StructField("row", kept)] if keep else [])
     a = stage(rows.mapInArrow(hashes, ROWS), "sadedup-hashes")
-    b = stage(rows_of(a, HASHES).groupBy("bucket").applyInPandas(bucket_shared, ROWS), "sadedup-shared")
+    b = stage(rows_of(a, HASHES).groupBy("bucket").applyInPandas(lambda x: bucket_shared(x, hot), ROWS), "sadedup-shared")
     drop_kind(a, HASHES)
     c = stage(rows_of(a, DOCS).unionByName(rows_of(b, SHARED)).groupBy("chunk").applyInPandas(lambda x: chunk_pieces(x, length, buckets), ROWS), "sadedup-pieces")
     d = stage(rows_of(c, PIECES).groupBy("bucket").applyInPandas(lambda x: bucket_marks(x, length, memory), ROWS), "sadedup-marks")
     drop_kind(c, PIECES)
-    release(spark)
     parts = rows_of(a, DOCS).unionByName(rows_of(c, PLACES)).unionByName(rows_of(d, MARKS))
-    return parts.groupBy("chunk").applyInArrow(finish, StructType(fields))
+    return spent_by(parts.groupBy("chunk").applyInArrow(finish, StructType(fields)), None, a, b, c, d)

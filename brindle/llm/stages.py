@@ -7,15 +7,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import struct
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path
+from .common import drop_path, new_path, tidy
 
 ROWS = "chunk long, kind int, bucket int, data binary"
 ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -49,17 +48,11 @@ def record_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, ARROW, strict=True)], schema=ARROW)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the JVM find which shuffle files nobody can read any more, now rather than when its memory is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """df written and read again; shuffle files of the stages before are released first."""
+    """df written and read again."""
     spark = df.sparkSession
-    release(spark)
-    df.write.partitionBy("kind").option("compression", "none").parquet(path := new_path(spark, tag))
+    with tidy(spark):
+        df.write.partitionBy("kind").option("compression", "none").parquet(path := new_path(spark, tag))
     out = spark.read.schema(ROWS).parquet(path)
     out._brindle_path = path
     return out

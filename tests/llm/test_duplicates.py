@@ -212,8 +212,11 @@ def test_suffix_arrays_spill(monkeypatch):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and max(spilled) > 10_000
 
 
-def test_repeated_strings(spark, sf, monkeypatch):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_repeated_strings(spark, sf, monkeypatch, hot):
     monkeypatch.setattr(sadedup, "CHUNK", 50_000)
+    monkeypatch.setattr(sadedup, "HOT", hot)
+    monkeypatch.setattr(sadedup, "max", lambda *a: hot if a[0] == hot else max(*a), raising=False)
     monkeypatch.setattr(sadedup, "STEP", 7_000)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(70)
     odd = [(5000, "a" * 500), (5001, "a" * 120), (5002, None), (5003, ""), (5004, "ñ" * 80), (5005, "x" + "ñ" * 80), (5000, "a" * 500), (None, "a" * 60), (None, "b" * 60), (5006, "ab" * 100), (5007, "x" * 49)]
