@@ -4,15 +4,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .similarity import match_text
-from .text import SPACE, collapse, trim
+from .text import SPACE, bound, collapse, trim
 from .values import FRAMINGS, HEDGE_WORDS, HIGH_SIGNAL_TAGS, OPTIMISTIC, RUMOR_WORDS, SKEPTICAL, SOCIAL_TOPICS, TAG_SYNONYMS, TOKEN_TAGS, TOPICS
 
 
-def bound(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it; branches of conditions would compute it anew."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
     """Whether one of the words is a substring."""
     out = F.lit(False)
@@ -47,7 +42,7 @@ def _lookup(key: Column, of: dict[str, str]) -> Column:
     return F.try_element_at(pairs, key)
 
 
-_CANONICAL = {" ".join("".join(c if c.isalnum() else " " for c in word).split()): tag for tag, words in TAG_SYNONYMS.items() for word in words} | {t.lower(): t for t in HIGH_SIGNAL_TAGS}
+_CANONICAL = {" ".join("".join(c if c.isalnum() else " " for c in word).split()): tag for word, tag in TAG_SYNONYMS.items()} | {t.lower(): t for t in HIGH_SIGNAL_TAGS}
 
 
 def canonical_tag(tag: Column) -> Column:

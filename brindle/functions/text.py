@@ -8,6 +8,11 @@ SPACE = r"[\t-\r    -     　﻿]"
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it; branches of conditions would compute it anew."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -138,23 +143,48 @@ def valid_summary(markdown: Column, least: int = 120) -> Column:
     return F.coalesce((F.length(markdown) >= least) & n.between(4, 5) & ~disclaims(markdown), F.lit(False))
 
 
+def valid_text(text: Column, least: int = 400) -> Column:
+    """Long enough and no disclaimer."""
+    return F.coalesce((F.length(text) >= least) & ~disclaims(text), F.lit(False))
+
+
+# First words of bullets that hold metadata, in builds and, with the rest, in refreshed summaries.
+METADATA = ("source", "source domain", "published", "domain", "topics")
+MORE_METADATA = ("updated", "author")
+
+
+def without_metadata(bullets: Column, refreshed: bool = False) -> Column:
+    """Bullets that don't begin with a metadata word. Builds keep all if none is left; refreshed ones are trimmed, blanks go."""
+    words = "|".join(METADATA + (MORE_METADATA if refreshed else ()))
+    if refreshed:
+        return F.filter(F.transform(bullets, trim), lambda b: (b != "") & ~b.rlike(rf"(?i)^({words})\b"))
+    return bound(F.filter(bullets, lambda b: ~trim(b).rlike(rf"(?i)^({words})\b")), lambda left: F.when(F.size(left) > 0, left).otherwise(bullets))
+
+
+def article_body(stored: Column, fetched: Column, description: Column, least: int = 1200) -> Column:
+    """The stored text if it is long enough when trimmed, else the fetched one, else the description."""
+    return F.when(F.length(trim(stored)) > least, stored).otherwise(F.coalesce(fetched, description, F.lit("")))
+
+
 def disclaims(text: Column) -> Column:
     return F.lower(text).contains("as an ai") | F.lower(text).contains("as a language model")
 
 
 def sentence_chunks(text: Column, target: int = 700) -> Column:
     """Sentences joined greedily up to target characters; one chunk of over twice that is cut evenly."""
-    clean = collapse(F.coalesce(text, F.lit("")))
-    sentences = F.filter(F.split(clean, r"(?<=[.!?])\s+"), lambda s: s != "")
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
     def add(acc: Column, s: Column) -> Column:
         fits = F.length(acc["cur"]) + 1 + F.length(s) <= target
         return F.when(acc["cur"] == "", F.struct(acc["out"].alias("out"), s.alias("cur"))).when(fits, F.struct(acc["out"].alias("out"), F.concat(acc["cur"], F.lit(" "), s).alias("cur"))).otherwise(F.struct(F.concat(acc["out"], F.array(acc["cur"])).alias("out"), s.alias("cur")))
 
-    out = F.aggregate(sentences, state, add, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
-    even = F.transform(F.sequence(F.lit(0), F.floor((F.length(clean) - 1) / target).cast("int")), lambda i: clean.substr(i * target + 1, F.lit(target)))
-    return F.when((F.size(out) == 1) & (F.length(clean) > 2 * target), even).otherwise(out)
+    def joined(clean: Column) -> Column:
+        sentences = F.filter(F.split(F.regexp_replace(clean, r"([.!?]) ", "$1\n"), "\n"), lambda s: s != "")
+        return F.aggregate(sentences, state, add, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
+
+    even = lambda clean: F.transform(F.sequence(F.lit(0), F.floor((F.length(clean) - 1) / target).cast("int")), lambda i: clean.substr(i * target + 1, F.lit(target)))
+    chosen = lambda clean: bound(joined(clean), lambda out: F.when((F.size(out) == 1) & (F.length(clean) > 2 * target), even(clean)).otherwise(out))
+    return bound(collapse(F.coalesce(text, F.lit(""))), chosen)
 
 
 def json_object(text: Column) -> Column:

@@ -41,25 +41,25 @@ SOCIAL_TOPICS = {
 # Canonical tags, in rank order, and what else maps to them.
 HIGH_SIGNAL_TAGS = ("AI", "Startups", "Product", "Design", "Security", "Data", "Policy", "Climate", "Health", "Finance", "Crypto", "Robotics", "Hardware", "Space", "Media", "Education", "Cloud", "Mobile")
 TAG_SYNONYMS = {
-    "AI": ("ai", "artificial intelligence", "machine learning", "ml", "llm", "llms", "genai", "generative ai", "openai", "chatgpt", "gpt", "gpt-4", "gpt-5"),
-    "Startups": ("startup", "startups", "founders", "entrepreneurship", "venture capital", "vc"),
-    "Product": ("product", "product management"),
-    "Design": ("design", "ux", "ui"),
-    "Security": ("security", "cybersecurity", "privacy"),
-    "Data": ("data", "data science", "analytics"),
-    "Policy": ("policy", "regulation", "government", "geopolitics"),
-    "Climate": ("climate", "energy", "sustainability"),
-    "Health": ("health", "biotech", "medicine"),
-    "Finance": ("finance", "fintech", "markets", "economy"),
-    "Crypto": ("crypto", "blockchain", "web3"),
-    "Robotics": ("robotics", "automation"),
-    "Hardware": ("hardware", "semiconductors", "chips"),
-    "Space": ("space",),
-    "Media": ("media", "journalism", "misinformation"),
-    "Education": ("education", "edtech"),
-    "Cloud": ("cloud", "aws", "amazon web services", "azure", "gcp", "google cloud", "kubernetes", "devops", "infrastructure"),
-    "Mobile": ("ios", "android", "mobile", "app store", "play store"),
-}
+    "ai": "AI", "artificial intelligence": "AI", "machine learning": "AI", "ml": "AI", "llm": "AI", "llms": "AI", "genai": "AI", "generative ai": "AI", "openai": "AI", "chatgpt": "AI", "gpt": "AI", "gpt-4": "AI", "gpt-5": "AI",
+    "startup": "Startups", "startups": "Startups", "founders": "Startups", "entrepreneurship": "Startups", "venture capital": "Startups", "vc": "Startups",
+    "product": "Product", "product management": "Product",
+    "design": "Design", "ux": "Design", "ui": "Design",
+    "security": "Security", "cybersecurity": "Security", "privacy": "Security",
+    "data": "Data", "data science": "Data", "analytics": "Data",
+    "policy": "Policy", "regulation": "Policy", "government": "Policy", "geopolitics": "Policy",
+    "climate": "Climate", "energy": "Climate", "sustainability": "Climate",
+    "health": "Health", "biotech": "Health", "medicine": "Health",
+    "finance": "Finance", "fintech": "Finance", "markets": "Finance", "economy": "Finance",
+    "crypto": "Crypto", "blockchain": "Crypto", "web3": "Crypto",
+    "robotics": "Robotics", "automation": "Robotics",
+    "hardware": "Hardware", "semiconductors": "Hardware", "chips": "Hardware",
+    "space": "Space",
+    "media": "Media", "journalism": "Media", "misinformation": "Media",
+    "education": "Education", "edtech": "Education",
+    "cloud": "Cloud", "aws": "Cloud", "amazon web services": "Cloud", "azure": "Cloud", "gcp": "Cloud", "google cloud": "Cloud", "kubernetes": "Cloud", "devops": "Cloud", "infrastructure": "Cloud",
+    "ios": "Mobile", "android": "Mobile", "mobile": "Mobile", "app store": "Mobile", "play store": "Mobile",
+}
 TOKEN_TAGS = {
     "ai": "AI", "llm": "AI", "openai": "AI", "startups": "Startups", "founder": "Startups", "product": "Product", "design": "Design", "security": "Security", "privacy": "Security",
     "frontend": "Frontend", "backend": "Backend", "devtools": "DevTools", "dev": "DevTools", "data": "Data", "policy": "Policy", "robotics": "Robotics", "hardware": "Hardware",

@@ -8,25 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, similarity, tags, text, urls
 from ..functions.values import STOPWORDS, TOPICS
 from ..operators import aggregates, cluster, dedupe, filters, joins, knn, rank
-
-NOW = "2024-01-31 00:00:00"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import NOW, ORACLES, QUERIES, query, table, texts  # noqa: F401
 
 def title(c: Column) -> Column:
     """A document's first line, at most 90 characters."""
@@ -390,12 +372,6 @@ def audit_metrics(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.audit(items, groups).select("items", "img_missing", "short_text", "stories", "one_source", "under_three", F.round("short_text_pct", 6).alias("short_text_pct"), "invalid")
 
 
-@query()
-def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Texts in chunks of whole sentences; tests compare them with a plain loop."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentence_chunks(F.col("text"))).alias("pos", "chunk"))
-
-
 _BULLET = "list_filter(list_transform(list_filter(list_transform(string_split(md, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '- ')), lambda x: trim(regexp_replace(x, '^-+[ ]*', ''))), lambda x: x <> '')"
 
 

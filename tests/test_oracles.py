@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from brindle.plans.queries import ORACLES, QUERIES
+from brindle.plans import queries_text  # noqa: F401
+from brindle.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
