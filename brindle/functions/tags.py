@@ -72,14 +72,29 @@ def token_tags(text: Column, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.array_compact(F.transform(words, lambda w: _lookup(w, TOKEN_TAGS)))), 1, most)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9\t-\r -]", " ")
+
+
 def allowed_tag_score(text: Column, tag: Column) -> Column:
     """5 for a tag as words of the text, 2 as a substring, 1 for each of its words."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9\t-\r -]", " ")
-    joined = F.concat(F.lit(" "), collapse(plain(text)), F.lit(" "))
+    return bound(_spaced(collapse(_words(text))), lambda joined: tag_score(joined, tag))
+
+
+def _spaced(words: Column) -> Column:
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
+def tag_score(joined: Column, tag: Column) -> Column:
+    """allowed_tag_score in a text that is plain words between single spaces."""
     whole = F.lower(trim(tag))
-    spaced = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
-    words = F.filter(F.split(collapse(plain(whole)), " "), lambda w: w != "")
-    return F.when(joined.contains(spaced(whole)), 5).otherwise(0) + F.when(joined.contains(whole), 2).otherwise(0) + F.size(F.filter(words, lambda w: joined.contains(spaced(w))))
+    words = F.filter(F.split(collapse(_words(whole)), " "), lambda w: w != "")
+    return F.when(joined.contains(_spaced(whole)), 5).otherwise(0) + F.when(joined.contains(whole), 2).otherwise(0) + F.size(F.filter(words, lambda w: joined.contains(_spaced(w))))
+
+
+def allowed_tag_scores(text: Column, tags: list[str]) -> Column:
+    """(pos, tag, score) of each tag in a text, which is made plain once."""
+    return bound(_spaced(collapse(_words(text))), lambda joined: F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(t).alias("tag"), tag_score(joined, F.lit(t)).alias("score")) for i, t in enumerate(tags))))
 
 
 def topic_key(topics: Column) -> Column:

@@ -1,5 +1,6 @@
 """Dedupe operators. seq is the explicit arrival order; it breaks every tie."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,18 +35,21 @@ def item_key(url: str = "url", post_url: str = "post_url", id: str = "id") -> Co
 def social(df: DataFrame, batch: str, key: Column, text: Column, seq: Column) -> DataFrame:
     """Sequential dedupe: a row goes if an accepted row has its key or its text, and only accepted rows count.
 
-    What is accepted depends on all accepted before, so a batch (a fetch of at most 120 posts) is folded in order.
+    What is accepted depends on all accepted before, so a batch (what one fetch gave) is folded in order, in one task.
     """
     plain = F.lower(collapse(F.coalesce(text, F.lit(""))))
-    rows = df.select(F.col(batch).alias("_batch"), F.struct(seq.alias("seq"), key.alias("k"), plain.alias("t"), F.struct("*").alias("row")).alias("x"))
-    none = F.array().cast("array<string>")
-    state = F.struct(none.alias("keys"), none.alias("texts"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        skip = F.array_contains(s["keys"], x["k"]) | ((x["t"] != "") & F.array_contains(s["texts"], x["t"]))
-        texts = F.when(x["t"] != "", F.concat(s["texts"], F.array(x["t"]))).otherwise(s["texts"])
-        return F.when(skip, s).otherwise(F.struct(F.concat(s["keys"], F.array(x["k"])).alias("keys"), texts.alias("texts"), F.concat(s["kept"], F.array(x["seq"].cast("bigint"))).alias("kept")))
-
-    lists = rows.groupBy("_batch").agg(F.array_sort(F.collect_list(F.struct("x.seq", "x.k", "x.t"))).alias("xs"))
-    kept = lists.select("_batch", F.explode(F.aggregate("xs", state, step, lambda s: s["kept"])).alias("_seq"))
-    return df.join(kept, (F.col(batch) == F.col("_batch")) & (seq == F.col("_seq")), "left_semi")
+    rows = df.select(F.col(batch).alias("_batch"), seq.cast("long").alias("_seq"), key.alias("_key"), F.md5(plain).alias("_text"), (plain != "").alias("_has"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, texts, kept = set(), set(), []
+        pdf = pdf.sort_values("_seq", kind="stable")
+        for i, k, t, has in zip(pdf["_seq"], pdf["_key"], pdf["_text"], pdf["_has"], strict=True):
+            if k not in keys and not (has and t in texts):
+                keys.add(k)
+                kept.append(i)
+                if has:
+                    texts.add(t)
+        return pd.DataFrame({"_batch": pdf["_batch"].iloc[:1].repeat(len(kept)), "_seq": kept})
+
+    kept = rows.groupBy("_batch").applyInPandas(fold, f"_batch {df.schema[batch].dataType.simpleString()}, _seq long")
+    return df.join(kept, F.col(batch).eqNullSafe(F.col("_batch")) & (seq == F.col("_seq")), "left_semi")

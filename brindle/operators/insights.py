@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions.hashing import fnv1a, fnv1a_abs
 from ..functions.similarity import tokens
-from ..functions.text import good_bullets, strip_html
-from ..functions.urls import redirect_target
+from ..functions.text import good_bullets, json_object, strip_html, trim
+from ..functions.trust import claim_status, final_status, soft_citations
+from ..functions.urls import domain, redirect_target, web_url
 from .cluster import _jaccard
 
 # Labels, outlets and templates of mock perspectives and bundles.
@@ -88,12 +89,14 @@ def subgroups(groups: DataFrame, keep: int = 5) -> DataFrame:
     return rows.groupBy("group_id").applyInPandas(run, f"group_id {groups.schema['id'].dataType.simpleString()}, subgroup int, ids array<string>")
 
 
-def chosen_image(candidates: Column, page_image: Column, stored: DataFrame, items: DataFrame, placeholder: str = "/placeholder.svg", least_width: int = 300) -> DataFrame:
-    """items with image: the first candidate, then the page's own image, that is stored(url, path, width) and wide enough; else the placeholder."""
+def chosen_image(candidates: Column, page_image: Column, stored: DataFrame, items: DataFrame, placeholder: str = "/placeholder.svg", least_width: int = 300, most: int = 4000, favicon: Column | None = None) -> DataFrame:
+    """items with image: the first candidate, then the page's own image, that is stored(url, path, width) and wide enough, for the
+    first `most` items by seq that have one; else the site's icon, else the placeholder."""
     wide = stored.where(F.col("width") >= least_width).select(F.col("url").alias("_u"), F.col("path").alias("_p"))
-    tries = items.select("id", F.posexplode(F.concat(F.coalesce(candidates, F.array().cast("array<string>")), F.array(page_image))).alias("pos", "_u")).where("_u is not null")
-    best = tries.join(wide, "_u").groupBy("id").agg(F.min_by("_p", "pos").alias("_image"))
-    return items.join(best, "id", "left").withColumn("image", F.coalesce("_image", F.lit(placeholder))).drop("_image")
+    tries = items.select("id", "seq", F.posexplode(F.concat(F.coalesce(candidates, F.array().cast("array<string>")), F.array(page_image))).alias("pos", "_u")).where("trim(_u) <> ''")
+    best = tries.withColumn("_u", F.trim("_u")).join(wide, "_u").groupBy("id", "seq").agg(F.min_by("_p", "pos").alias("_image"))
+    best = best.orderBy("seq").limit(most).select("id", "_image")
+    return items.join(best, "id", "left").withColumn("image", F.coalesce("_image", favicon if favicon is not None else F.lit(None), F.lit(placeholder))).drop("_image")
 
 
 def search_results(page: Column, most: int = 3) -> Column:
@@ -111,3 +114,39 @@ def connector_counts(items: DataFrame, connector: Column) -> DataFrame:
 def context(title: Column, html: Column, most: int = 8000) -> Column:
     """What a question about an article is answered from."""
     return F.concat_ws("\n\n", title, F.substring(strip_html(html), 1, most))
+
+
+# Answers to a request that show that the page is there.
+REACHABLE = (401, 403, 405)
+
+
+def valid_citations(citations: DataFrame, responses: DataFrame, own: Column) -> DataFrame:
+    """citations(url) whose web address, not the article's own, answered a HEAD or a GET; responses(url, method, status) are landed."""
+    good = responses.where(F.col("status").between(200, 299) | F.col("status").isin(*REACHABLE)).where(F.col("method").isin("HEAD", "GET"))
+    rows = citations.withColumn("url", web_url(F.col("url"))).where(F.col("url").isNotNull() & ~F.col("url").eqNullSafe(web_url(own)))
+    return rows.join(good.select("url").distinct(), "url", "left_semi")
+
+
+def verified(articles: DataFrame, searches: DataFrame, most: int = 3, citations: int = 2) -> DataFrame:
+    """articles(id, url, answer) -> id, pos, claim, status, citations: the first claims of a model's JSON answer.
+
+    A claim's citations are the model's, else those that a search for the claim found, else those of a search for the title
+    (searches(id, claim, urls), claim null for the title): web addresses of other domains than the article's, one a domain.
+    """
+    answer = F.from_json(json_object(F.col("answer")), "claims array<struct<claim:string,status:string,citations:array<string>>>")
+    claims = articles.select("id", F.col("url").alias("_own"), F.posexplode(F.slice(answer["claims"], 1, most)).alias("pos", "_c"))
+    claims = claims.withColumn("claim", trim(F.coalesce("_c.claim", F.lit(""))))
+    of = lambda urls: F.slice(distinct_domains(soft_citations(urls, F.col("_own"), web_url), domain(F.col("_own"))), 1, citations)
+    found = searches.where("claim is not null").select(F.col("id").alias("_i"), F.col("claim").alias("_q"), F.col("urls").alias("_found"))
+    titles = searches.where("claim is null").select(F.col("id").alias("_t"), F.col("urls").alias("_title"))
+    rows = claims.join(found, (F.col("id") == F.col("_i")) & (F.col("claim") == F.col("_q")), "left").join(titles, F.col("id") == F.col("_t"), "left")
+    none = F.array().cast("array<string>")
+    own, search, title = (of(F.coalesce(c, none)) for c in (F.col("_c.citations"), F.col("_found"), F.col("_title")))
+    rows = rows.withColumn("citations", F.when(F.size(own) > 0, own).when((F.col("claim") != "") & (F.size(search) > 0), search).otherwise(title))
+    return rows.select("id", "pos", "claim", final_status(claim_status(F.col("_c.status")), F.col("citations")).alias("status"), "citations")
+
+
+def distinct_domains(urls: Column, own: Column) -> Column:
+    """The first address of each domain but one's own; those without a domain go."""
+    known = F.filter(urls, lambda u: domain(u).isNotNull() & ~domain(u).eqNullSafe(own))
+    return F.filter(known, lambda u, i: F.array_position(F.transform(known, domain), domain(u)) == i + 1)

@@ -59,9 +59,9 @@ def to_enrich(items: DataFrame, records: DataFrame, key: str, placeholder, force
 
 
 def source_preferences(defaults: DataFrame, own: DataFrame) -> DataFrame:
-    """Defaults (id, name, enabled, seq) with the user's choice by id, else by lower-case name; then the user's own sources."""
-    by_id = own.where("id is not null").select(F.col("id").alias("_id"), F.col("enabled").alias("_by_id"))
-    by_name = own.select(F.lower("name").alias("_name"), F.col("enabled").alias("_by_name")).dropDuplicates(["_name"])
+    """Defaults (id, name, enabled, seq) with the user's choice by id, else by lower-case name, the last entry of each; then the user's own sources."""
+    by_id = last_of(own.where("id is not null").withColumn("_id", F.col("id")), "_id", "seq").select("_id", F.col("enabled").alias("_by_id"))
+    by_name = last_of(own.withColumn("_name", F.lower("name")), "_name", "seq").select("_name", F.col("enabled").alias("_by_name"))
     merged = defaults.join(by_id, F.col("id") == F.col("_id"), "left").join(by_name, F.lower("name") == F.col("_name"), "left")
     merged = merged.select("id", "name", F.coalesce("_by_id", "_by_name", "enabled").alias("enabled"), "seq")
     rest = own.join(defaults.select(F.col("id").alias("_i")), F.col("id") == F.col("_i"), "left_anti")
@@ -69,6 +69,37 @@ def source_preferences(defaults: DataFrame, own: DataFrame) -> DataFrame:
     return merged.unionByName(rest.select("id", "name", "enabled", (F.col("seq") + (1 << 32)).alias("seq")))
 
 
+def with_missing(articles: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+    """Articles, and the feed's items that are not among them (each once, the first by seq); columns that the feed lacks are null."""
+    more = feed.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).where("_r = 1").drop("_r")
+    return articles.unionByName(unseen(more.where(F.col(key).isNotNull()), articles, key), allowMissingColumns=True)
+
+
+def with_trust(groups: DataFrame, records: DataFrame) -> DataFrame:
+    """Groups with the trust record (id, trust, seq) of their first perspective, the last entry of that id, if any."""
+    first = groups.withColumn("_p", F.get("perspectives", F.lit(0))["id"].cast("string"))
+    last = last_of(records, "id", "seq").select(F.col("id").cast("string").alias("_p"), "trust")
+    return first.join(last, "_p", "left").drop("_p")
+
+
+def with_new_summaries(groups: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Groups(id, summary, perspectives) with summaries(id, summary) of their perspectives put in; the first that isn't empty becomes the group's."""
+    p = groups.select(F.col("id").alias("_g"), F.posexplode("perspectives").alias("_pos", "_p"))
+    new = summaries.select(F.col("id").alias("_s"), F.coalesce("summary", F.lit("")).alias("_new"))
+    p = p.join(new, F.col("_p.id") == F.col("_s"), "left")
+    changed = p.withColumn("_p", F.col("_p").withField("summary", F.coalesce("_new", F.col("_p.summary"))))
+    lists = changed.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_pos", "_p"))).alias("_xs"), F.min_by("_new", F.when(F.col("_new") != "", F.col("_pos"))).alias("_first"))
+    out = groups.join(lists, F.col("id") == F.col("_g"), "left")
+    out = out.withColumn("perspectives", F.coalesce(F.transform("_xs", lambda x: x["_p"]), "perspectives"))
+    return out.withColumn("summary", F.coalesce(F.nullif("_first", F.lit("")), "summary")).drop("_g", "_xs", "_first")
+
+
+def stale(df: DataFrame, key: str, fetched_at: str) -> DataFrame:
+    """The last cached batch of each key, however old."""
+    newest = df.groupBy(key).agg(F.max(fetched_at).alias("_at"))
+    return df.join(newest, key).where(F.col(fetched_at) == F.col("_at")).drop("_at")
+
+
 def fresh(df: DataFrame, fetched_at: str, now: str, ttl_seconds: int) -> DataFrame:
     """Cached rows younger than the time to live."""
     return df.where(F.col(fetched_at) > F.lit(now).cast(df.schema[fetched_at].dataType) - F.expr(f"INTERVAL {ttl_seconds} SECONDS"))

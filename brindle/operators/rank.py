@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import match_text
-from ..functions.tags import _CANONICAL, allowed_tag_score, any_of, bound, canonical_tag
+from ..functions.tags import _CANONICAL, allowed_tag_scores, any_of, bound, canonical_tag
 from ..functions.text import good_bullets, trim
 from ..functions.values import BOOSTED_SOURCES
 from .filters import placeholder_image
@@ -89,5 +89,5 @@ def images_first(seq: Column, image: Column) -> list[Column]:
 
 def allowed_tags(df: DataFrame, id: str, text: Column, tags: list[str], most: int = 6) -> DataFrame:
     """The best of the allowed tags for each text; of equal scores in the order of the list."""
-    rows = df.select(F.col(id), text.alias("_t"), F.posexplode(F.array(*map(F.lit, tags))).alias("pos", "tag")).withColumn("score", allowed_tag_score(F.col("_t"), F.col("tag"))).where("score > 0")
+    rows = df.select(id, F.inline_outer(F.filter(allowed_tag_scores(text, tags), lambda x: x["score"] > 0))).where("score is not null")  # outer: no filter that would score again
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(id).orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= most).select(id, "rank", "tag", "score")

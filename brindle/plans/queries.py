@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, similarity, tags, text, urls
-from ..functions.values import STOPWORDS, TOPICS
-from ..operators import aggregates, cluster, dedupe, filters, joins, knn, rank
+from ..functions.values import FRAMINGS, STOPWORDS, TOPICS
+from ..operators import aggregates, cluster, dedupe, filters, joins, knn, rank, views
 from .registry import NOW, ORACLES, QUERIES, query, table, texts  # noqa: F401
 
 def title(c: Column) -> Column:
-    """A document's first line, at most 90 characters."""
-    return F.substring(F.substring_index(c, "\n", 1), 1, 90)
+    """A document's first line."""
+    return F.substring_index(c, "\n", 1)
 
 
 def words_in(words: tuple[str, ...], hay: str) -> str:
@@ -76,25 +76,27 @@ def _topics(docs: DataFrame) -> DataFrame:
 
 @query(f"{_TAGGED} select doc_id, array_to_string(tags, '|') as tags from t")
 def doc_topic_tags(spark: SparkSession, d: str) -> DataFrame:
-    return _topics(table(spark, d, "documents")).select("doc_id", F.array_join("tags", "|").alias("tags"))
+    return _topics(texts(spark, d)).select("doc_id", F.array_join("tags", "|").alias("tags"))
 
 
 @query(f"{_TAGGED}, e as (select doc_id, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from t) select tag, count(*) as n from e group by 1 order by n desc, min(doc_id * 1000 + pos) limit 12")
 def topic_tag_counts(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.top_tags(_topics(table(spark, d, "documents")), "tags", "doc_id")
+    return aggregates.top_tags(_topics(texts(spark, d)), "tags", "doc_id")
 
 
 @query(f"{_TAGGED}, e as (select source, unnest(tags) as tag from t), n as (select source, tag, count(*) as n, row_number() over (partition by source order by count(*) desc, tag) as r from e group by 1, 2) select source, string_agg(tag, '|' order by r) as tags from n where r <= 6 group by 1")
 def cluster_tag_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.cluster_tags(_topics(table(spark, d, "documents")), "source", "tags").select("source", F.array_join("tags", "|").alias("tags"))
+    return aggregates.cluster_tags(_topics(texts(spark, d)), "source", "tags").select("source", F.array_join("tags", "|").alias("tags"))
 
 
 @query(
-    f"select doc_id, case when {words_in(tags.SKEPTICAL, _HAY)} then 'skeptical' when {words_in(tags.OPTIMISTIC, _HAY)} then 'mainstream' else 'balanced' end as stance, case when {words_in(tags.RUMOR_WORDS + tags.HEDGE_WORDS, _HAY)} then 'Speculative' else 'Confirmed' end as speculation from documents"
+    f"select doc_id, case when {words_in(tags.SKEPTICAL, _HAY)} then 'skeptical' when {words_in(tags.OPTIMISTIC, _HAY)} then 'mainstream' else 'balanced' end as stance, case when {words_in(tags.RUMOR_WORDS + tags.HEDGE_WORDS, _HAY)} then 'Speculative' when doc_id % 200 < 90 then 'Developing' else 'Confirmed' end as speculation, case when {words_in(tags.SKEPTICAL, _HAY)} then '{FRAMINGS["skeptical"]}' when {words_in(tags.OPTIMISTIC, _HAY)} then '{FRAMINGS["mainstream"]}' else '{FRAMINGS["balanced"]}' end as framing from documents"
 )
 def doc_stance(spark: SparkSession, d: str) -> DataFrame:
-    old = F.lit("2024-01-01").cast("timestamp")
-    return table(spark, d, "documents").select("doc_id", tags.stance(F.col("text"), F.lit("")).alias("stance"), tags.speculation(F.col("text"), F.lit(""), old, F.lit(NOW).cast("timestamp")).alias("speculation"))
+    """Stances, and statuses of documents that are up to 200 minutes old."""
+    now = F.lit(NOW).cast("timestamp")
+    published = now - F.make_dt_interval(mins=F.col("doc_id") % 200)
+    return texts(spark, d).select("doc_id", tags.stance(F.col("text"), F.lit("")).alias("stance"), tags.speculation(F.col("text"), F.lit(""), published, now).alias("speculation"), tags.framing(tags.stance(F.col("text"), F.lit(""))).alias("framing"))
 
 
 @query(f"select doc_id, source from documents where not {words_in(('deal', 'discount', 'coupon', 'sale'), _HAY)}")
@@ -102,7 +104,7 @@ def blocked_term_filter(spark: SparkSession, d: str) -> DataFrame:
     return filters.unblocked(table(spark, d, "documents"), F.col("text"), F.lit("")).select("doc_id", "source")
 
 
-_TITLE = "substr(string_split(coalesce(text, ''), chr(10))[1], 1, 90)"
+_TITLE = "string_split(coalesce(text, ''), chr(10))[1]"
 _STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
 _TOK = f"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({_TITLE}), '[''’]', '', 'g'), '[^a-z0-9]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: length(w) >= 3 and w not in {_STOP}))"
 
@@ -114,13 +116,13 @@ def title_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"with t as (select doc_id, source, {_TOK} as tok from documents where lang = 'en'), e as (select doc_id, source, unnest(tok) as w, len(tok) as n from t), p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id < b.doc_id and a.source = b.source group by all) select a, b, round(m / (na + nb - m), 6) as jaccard from p where m / (na + nb - m) >= 0.3"
+    f"with t as (select doc_id, {_TOK} as tok from documents), e as (select doc_id, unnest(tok) as w, len(tok) as n from t), p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id <> b.doc_id where a.doc_id % 100 = 0 group by all) select a, b, round(m / (na + nb - m), 6) as jaccard from p where m / (na + nb - m) >= 0.3"
 )
 def doc_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similar English titles within a source, a subset of doc_jaccard_pairs_all: shared words make the candidates, counting them gives the intersection."""
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "source", similarity.tokens(title(F.col("text"))).alias("tok"))
-    e = t.select("doc_id", "source", F.explode("tok").alias("w"), F.size("tok").alias("n"))
-    p = e.alias("a").join(e.alias("b"), ["w", "source"]).where("a.doc_id < b.doc_id").groupBy(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("m"))
+    """A search: titles of ids divisible by 100 as queries, against those of all documents. Counting shared words gives the intersection."""
+    e = table(spark, d, "documents").select("doc_id", similarity.tokens(title(F.col("text"))).alias("tok")).select("doc_id", F.explode("tok").alias("w"), F.size("tok").alias("n"))
+    queries = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("a"), "w", F.col("n").alias("na"))
+    p = e.select(F.col("doc_id").alias("b"), "w", F.col("n").alias("nb")).join(queries, "w").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("m"))
     j = F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))
     return p.where(j >= 0.3).select("a", "b", F.round(j, 6).alias("jaccard"))
 
@@ -143,9 +145,9 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(lines, "|")).alias("lines"), (F.length(F.coalesce("text", F.lit(""))) > 500).alias("long_text"), text.clamp_text(F.col("text"), 80).alias("clamped"))
 
 
-@query(r"""select doc_id, trim(regexp_replace(regexp_replace(lower(substr(coalesce(text, ''), 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) as slug from documents""")
+@query(r"""select doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) as slug from documents""")
 def doc_slugs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", hashing.slug(F.substring(F.coalesce("text", F.lit("")), 1, 60)).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", hashing.slug(F.coalesce("text", F.lit(""))).alias("slug"))
 
 
 @query(
@@ -202,11 +204,14 @@ def social_interleave(spark: SparkSession, d: str) -> DataFrame:
     return rank.interleaved(e, F.col("event_type") == "purchase", [F.desc("ts"), F.asc("event_id")], "user_id").select("user_id", "event_id", F.col("position").cast("long").alias("position"))
 
 
-@query("select event_id, props as whole, json_extract_string(props, '$.' || json_keys(props)[1]) is not null as parsed from events where json_valid(props) and props like '{%'")
+@query("select event_id, case when event_id % 4 = 2 then 'none' else props end as whole, case when event_id % 4 < 2 then json_extract_string(props, '$.' || json_keys(props)[1]) else 'none' end as first from events where json_valid(props) and props like '{%'")
 def json_recover(spark: SparkSession, d: str) -> DataFrame:
-    noisy = F.concat(F.lit("Sure: "), F.col("props"), F.lit(" Anything else?"))
-    e = table(spark, d, "events").withColumn("whole", text.json_object(noisy)).where("whole is not null")
-    return e.select("event_id", "whole", F.lit(True).alias("parsed"))
+    """JSON as it is, within other text, cut short (none), and an array (kept, without keys)."""
+    k, p = F.col("event_id") % 4, F.col("props")
+    raw = F.when(k == 0, p).when(k == 1, F.concat(F.lit("Sure: "), p, F.lit(" Anything else?"))).when(k == 2, F.concat(F.lit("a "), F.expr("substring(props, 1, length(props) - 1)"))).otherwise(p)
+    e = table(spark, d, "events").where(F.try_parse_json("props").isNotNull() & p.startswith("{")).withColumn("whole", F.coalesce(text.json_object(raw), F.lit("none")))
+    first = F.when(k < 2, F.expr("get_json_object(whole, concat('$.', json_object_keys(props)[0]))")).otherwise("none")
+    return e.select("event_id", "whole", first.alias("first"))
 
 
 # -- joins and snapshots
@@ -263,14 +268,14 @@ def chat_last_n(spark: SparkSession, d: str) -> DataFrame:
 _VEC = "with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings), n as (select vec_id, label, e, sqrt(list_dot_product(e, e)) as nrm from v)"
 
 
-@query(f"{_VEC} select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 6) as sim from n a join n b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 10 = 0 and list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.2")
+@query(f"{_VEC} select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 6) as sim from n a join n b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.2")
 def vec_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each tenth vector, as a query set, against those of its label after it: a subset of vec_cosine_pairs_all."""
+    """A search: vectors of ids divisible by 100 as queries, against all of their label."""
     v = table(spark, d, "embeddings").withColumn("norm", similarity.norm(F.col("embedding")))
-    a = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"), F.col("norm").alias("nx"))
+    a = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"), F.col("norm").alias("nx"))
     b = v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"), F.col("norm").alias("ny"))
     sim = similarity.dot(F.col("x"), F.col("y")) / (F.col("nx") * F.col("ny"))
-    return a.join(b, "label").where("a < b").withColumn("sim", sim).where("sim >= 0.2").select("a", "b", F.round("sim", 6).alias("sim"))
+    return a.join(b, "label").where("a <> b").withColumn("sim", sim).where("sim >= 0.2").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query(f"{_VEC} select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.e, b.e) / (a.nrm * b.nrm), 6) as sim from n a join n b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.2")
@@ -289,36 +294,26 @@ def vec_knn_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("day", F.col("doc_id") % 40)
-    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), title(F.col("text")).alias("title"), F.col("text").alias("summary"), "source", "lang", "day", tags.topic_tags(F.col("text"), F.lit("")).alias("tags"))
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), title(F.col("text")).alias("title"), F.col("text").alias("summary"), "source", "lang", tags.topic_tags(F.col("text"), F.lit("")).alias("tags"))
 
 
-_FOLD = f"""
-with recursive t as (select doc_id, doc_id % 40 as day, {_TOK} as tok, row_number() over (partition by doc_id % 40 order by doc_id) as pos from documents),
-s(day, pos, state) as (
- select day, 0::bigint, []::struct(lead bigint, tok varchar[])[] from t group by day
+def _folded(tokens: str) -> str:
+    """Leader clustering of all documents in order of their ids, a row a step: leads(doc_id, lead). Similar pairs are found first."""
+    return f"""
+with recursive t as (select doc_id, {tokens} as tok, row_number() over (order by doc_id) as pos from documents), e as (select doc_id, unnest(tok) as w, len(tok) as n from t),
+p as (select a, b, m / (na + nb - m) as sim from (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by all) where m / (na + nb - m) >= 0.25),
+s(pos, doc_id, lead, leaders) as (
+ select 0::bigint, null::bigint, null::bigint, []::bigint[]
  union all
- select s.day, s.pos + 1, case when b.lead is null then list_append(s.state, {{'lead': t.doc_id, 'tok': t.tok}}) else s.state end
- from s join t on t.day = s.day and t.pos = s.pos + 1
- left join lateral (select x.lead from (select unnest(s.state) as x, generate_subscripts(s.state, 1) as i) where len(list_intersect(x.tok, t.tok)) / nullif(len(x.tok) + len(t.tok) - len(list_intersect(x.tok, t.tok)), 0) >= 0.25 order by len(list_intersect(x.tok, t.tok)) / (len(x.tok) + len(t.tok) - len(list_intersect(x.tok, t.tok))) desc, i limit 1) b on true
-)"""
+ select t.pos, t.doc_id, coalesce(b.a, t.doc_id), case when b.a is null then list_append(s.leaders, t.doc_id) else s.leaders end
+ from s join t on t.pos = s.pos + 1 left join lateral (select a from p where p.b = t.doc_id and list_contains(s.leaders, p.a) order by sim desc, a limit 1) b on true
+), leads as (select doc_id, lead from s where pos > 0)"""
 
 
-@query(
-    _FOLD
-    + """, f as (select day, arg_max(state, pos) as state from s group by day), l as (select day, unnest(state) as x, generate_subscripts(state, 1) as i from f),
-a as (select t.doc_id, l.x.lead as lead, row_number() over (partition by t.doc_id order by case when t.doc_id = l.x.lead then 2 else len(list_intersect(l.x.tok, t.tok)) / nullif(len(l.x.tok) + len(t.tok) - len(list_intersect(l.x.tok, t.tok)), 0) end desc nulls last, l.i) as r from t join l on t.day = l.day and l.x.lead <= t.doc_id)
-select doc_id as id, lead as leader from a where r = 1"""
-)
+@query(_folded(_TOK) + " select doc_id as id, lead as leader from leads")
 def title_leader_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Leader clustering of titles, day by day: titles of different days never meet, unlike in title_leader_cluster_all."""
-    rows = _titled(spark, d).withColumn("tokens", similarity.tokens(F.col("title")))
-    return cluster.title_leaders(rows, 0.25, "day").select("id", "leader")
-
-
-@query()
-def title_leader_cluster_all(spark: SparkSession, d: str) -> DataFrame:
-    """Leader clustering of all titles in one fold; tests compare it with a plain loop."""
+    """Leader clustering of all titles in one fold."""
     rows = _titled(spark, d).withColumn("tokens", similarity.tokens(F.col("title")))
     return cluster.title_leaders(rows, 0.25).select("id", "leader")
 
@@ -331,19 +326,47 @@ def topic_cluster(spark: SparkSession, d: str) -> DataFrame:
     return cluster.topic_leaders(rows)
 
 
-@query()
+_COLON = r"regexp_replace(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '\[[^\]]*\]', ' ', 'g'), '\([^)]*\)', ' ', 'g')"
+_CURATION = _TOK.replace(_TITLE, rf"(case when strpos({_COLON}, ':') between 2 and 30 then regexp_replace(substr({_COLON}, strpos({_COLON}, ':') + 1), '^\s+|\s+$', '', 'g') else {_COLON} end)")
+_GROUP_IMAGE = "case when doc_id % 3 = 0 then concat('/img/', doc_id, '.png') when doc_id % 3 = 1 then '/placeholder.svg' end"
+
+
+def _assembled(leads: str) -> str:
+    """Groups of leads(doc_id, lead), from the common table expressions before."""
+    return f"""{leads}, r as (select d.*, lead, {_GROUP_IMAGE} as img, row_number() over (partition by lead, source order by d.doc_id desc) as s from documents d join leads using (doc_id)),
+l as (select *, row_number() over (partition by lead order by doc_id desc) as pos from r where s = 1), k as (select *, case when len({_TOPIC_LIST}) > 0 then {_TOPIC_LIST} else ['general'] end as tags from l where pos <= 10),
+g as (select lead, list(doc_id order by pos) as ids, list(img order by pos) as imgs, count(*) as n, list(source order by pos) as sources, flatten(list(tags order by pos)) as tags, first(string_split(coalesce(text, ''), chr(10))[1] order by pos) as title, max(doc_id) as newest from k group by 1)
+select substr(sha256('story|' || array_to_string(list_sort(list_transform(ids, lambda x: x::varchar)), '|')), 1, 24) as id, title, newest, array_to_string(list_filter(tags, lambda x, i: list_position(tags, x) = i), '|') as topic_tags, n::int as n_perspectives, n as n_sources,
+ array_to_string(ids, '|') as ids, coalesce(list_filter(imgs, lambda x: x is not null and x <> '' and not contains(x, 'placeholder.svg'))[1], imgs[1], 'none') as image from g where n >= 2"""
+
+
+def _grouped_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as items; the later id is the newer."""
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), title(F.col("text")).alias("title"), F.col("text").alias("summary"), "source", F.lit("editorial").alias("source_type"), F.concat(F.lit("https://example.com/"), "doc_id").alias("url"), F.timestamp_seconds(F.col("doc_id")).alias("published_at"), F.expr(_GROUP_IMAGE).alias("image_url")
+    )
+
+
+def _group_rows(groups: DataFrame) -> DataFrame:
+    ids = F.array_join(F.transform("perspectives", lambda p: p["id"].cast("string")), "|")
+    return groups.select("id", "title", F.unix_seconds("created_at").alias("newest"), F.array_join("topic_tags", "|").alias("topic_tags"), F.size("perspectives").alias("n_perspectives"), "n_sources", ids.alias("ids"), F.coalesce("image_url", F.lit("none")).alias("image"))
+
+
+@query(_assembled(_folded(_CURATION)))
 def story_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Multi-source groups of all titles, in one fold; tests compare them with a plain loop."""
-    from ..operators.views import story_groups as build
+    """Multi-source groups of all titles, in one fold."""
+    return _group_rows(views.story_groups(_grouped_items(spark, d), tags=tags.topic_tags(F.col("summary"), F.lit(""))))
+
 
-    rows = _titled(spark, d).select("*", F.lit("editorial").alias("source_type"), F.concat(F.lit("https://example.com/"), F.col("id")).alias("url"), F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("published_at"), F.lit(None).cast("string").alias("image_url"))
-    return build(rows).select("id", "title", "created_at", F.array_join("topic_tags", "|").alias("topic_tags"), F.size("perspectives").alias("n_perspectives"), "n_sources")
+@query(_assembled("with leads as (select doc_id, doc_id % 59 as lead from documents)"))
+def group_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of given clusters: the newest of each source, ten at most, their tags, image and id."""
+    return _group_rows(views.assembled(_grouped_items(spark, d).withColumn("leader", F.col("id") % 59), tags=tags.topic_tags(F.col("summary"), F.lit(""))))
 
 
 @query("select count(*) as groups, count(*) filter (where n >= 3) as multi, (select count(distinct user_id) from events) as sources from (select event_type, count(*) as n from events group by 1)")
 def group_stats(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "events").groupBy("event_type").agg(F.collect_set(F.struct(F.col("user_id").cast("string").alias("source"))).alias("perspectives"))
-    return aggregates.group_stats(g).select("groups", "multi", "sources")
+    return aggregates.group_stats(table(spark, d, "events"), "event_type", "user_id").select("groups", "multi", "sources")
 
 
 _PREF = f"""{_TAGGED}, m as (select t.doc_id, array_to_string(t.tags, ' ') as j, ' ' || trim(regexp_replace(regexp_replace(replace(lower(coalesce(d.text, '')), '&', ' and '), '[^a-z0-9\\t-\\r ]', ' ', 'g'), '[\\t-\\r ]+', ' ', 'g')) || ' ' as b, t.tags from t join documents d using (doc_id))
@@ -356,20 +379,22 @@ def pref_rank(spark: SparkSession, d: str) -> DataFrame:
     return rank.by_preferences(rows, ["AI", "security", "AI"], ["policy"], F.col("tags"), F.col("summary"), F.col("id"), F.col("seq")).select(F.col("id").alias("doc_id"), "score", "blocked")
 
 
-@query("select p_partkey, p_size, p_retailprice from part order by p_size desc, p_retailprice desc, p_partkey limit 50")
-def group_rank_topk(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_partkey").limit(50).select("p_partkey", "p_size", "p_retailprice")
+_IMAGE = "case doc_id % 4 when 0 then null when 1 then '/placeholder.svg' else concat('/img/', doc_id % 50, '.png') end"
 
 
 @query(
-    """with i as (select count(*) as items, count(*) filter (where length(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13))) < 500) as short_text from documents), m as (select doc_id % 200 as id, count(distinct source) as sources, count(*) as n from documents group by 1), c as (select count(*) as stories, count(*) filter (where sources <= 1) as one_source, count(*) filter (where n < 3) as under_three from m)
-select items, items as img_missing, short_text, stories, one_source, under_three, round(short_text / items * 100, 6) as short_text_pct, true as invalid from i, c"""
+    rf"""with d as (select *, {_IMAGE} as img, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) as n from documents), i as (select count(*) as items, count(*) filter (where doc_id % 4 < 2) as img_missing, count(*) filter (where doc_id % 4 > 1 and doc_id % 50 >= 30) as img_broken, count(*) filter (where n < 500) as short_text, count(*) filter (where n < 80) as title_only from d),
+m as (select doc_id % 200 as id, count(distinct source) as sources, count(*) as n from documents group by 1), c as (select count(*) as stories, count(*) filter (where sources <= 1) as one_source, count(*) filter (where n < 3) as under_three from m)
+select *, round(img_broken / items * 100, 6) as img_broken_pct, round(short_text / items * 100, 6) as short_text_pct, round(one_source / stories * 100, 6) as one_source_pct, true as invalid from i, c"""
 )
 def audit_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Images are missing, stored (those numbered under 30) or broken."""
     docs = table(spark, d, "documents")
-    items = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), title(F.col("text")).alias("title"), F.col("text").alias("summary"), F.col("text").alias("extracted_text"), F.lit(None).cast("string").alias("image_url"))
-    groups = docs.groupBy((F.col("doc_id") % 200).alias("id")).agg(F.collect_list("doc_id").alias("item_ids"))
-    return aggregates.audit(items, groups).select("items", "img_missing", "short_text", "stories", "one_source", "under_three", F.round("short_text_pct", 6).alias("short_text_pct"), "invalid")
+    items = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.lit("no text").alias("title"), F.col("text").alias("summary"), F.col("text").alias("extracted_text"), F.expr(_IMAGE).alias("image_url"))
+    stored = spark.range(30).select(F.concat(F.lit("/img/"), "id", F.lit(".png")).alias("path"))
+    out = aggregates.audit(items, docs.select((F.col("doc_id") % 200).alias("id"), F.col("doc_id").alias("item_id")), stored)
+    shares = ("img_broken_pct", "short_text_pct", "one_source_pct")
+    return out.select("items", "img_missing", "img_broken", "short_text", "title_only", "stories", "one_source", "under_three", *(F.round(c, 6).alias(c) for c in shares), "invalid")
 
 
 _BULLET = "list_filter(list_transform(list_filter(list_transform(string_split(md, chr(10)), lambda x: trim(x)), lambda x: starts_with(x, '- ')), lambda x: trim(regexp_replace(x, '^-+[ ]*', ''))), lambda x: x <> '')"
@@ -378,7 +403,7 @@ _BULLET = "list_filter(list_transform(list_filter(list_transform(string_split(md
 @query(f"with m as (select doc_id, '- ' || replace(coalesce(text, ''), chr(10), chr(10) || ' - ') as md from documents) select doc_id, len({_BULLET}) as n, md5(array_to_string({_BULLET}, '|')) as digest from m")
 def bullets_extract(spark: SparkSession, d: str) -> DataFrame:
     b = text.bullets(F.concat(F.lit("- "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n - "))))
-    return table(spark, d, "documents").select("doc_id", F.size(b).cast("long").alias("n"), F.md5(F.array_join(b, "|")).alias("digest"))
+    return texts(spark, d).select("doc_id", F.size(b).cast("long").alias("n"), F.md5(F.array_join(b, "|")).alias("digest"))
 
 
 _SYN = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in tags._CANONICAL.items()) + "}"
@@ -386,13 +411,13 @@ _SYN = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in tags._CANONICAL.items())
 
 @query(f"{_TAGGED}, e as (select doc_id, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from t), c as (select doc_id, ({_SYN})[regexp_replace(tag, '[^a-z0-9]', ' ', 'g')] as canonical, pos from e) select canonical, count(*) as n, count(distinct doc_id) as docs from c where canonical is not null group by 1")
 def tag_canonicalize(spark: SparkSession, d: str) -> DataFrame:
-    e = _topics(table(spark, d, "documents")).select("doc_id", F.explode("tags").alias("tag")).withColumn("canonical", tags.canonical_tag(F.col("tag"))).where("canonical is not null")
+    e = _topics(texts(spark, d)).select("doc_id", F.explode("tags").alias("tag")).withColumn("canonical", tags.canonical_tag(F.col("tag"))).where("canonical is not null")
     return e.groupBy("canonical").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query(f"{_TAGGED}, e as (select doc_id, ({_SYN})[regexp_replace(tag, '[^a-z0-9]', ' ', 'g')] as tag, pos from (select doc_id, unnest(tags) as tag, generate_subscripts(tags, 1) as pos from t)), c as (select tag, count(*) as n, min(doc_id * 1000 + pos) as first from e where tag is not null group by 1), f as (select tag, i from (select unnest([{', '.join(repr(t) for t in aggregates.HIGH_SIGNAL_TAGS)}]) as tag, generate_subscripts(range({len(aggregates.HIGH_SIGNAL_TAGS)}), 1) as i)) select (row_number() over (order by n desc nulls last, first nulls last, i))::int as rank, f.tag, coalesce(n, 0) as n from f left join c on f.tag = c.tag")
 def onboarding_tags(spark: SparkSession, d: str) -> DataFrame:
-    return aggregates.onboarding_tags(_topics(table(spark, d, "documents")), "tags", "doc_id")
+    return aggregates.onboarding_tags(_topics(texts(spark, d)), "tags", "doc_id")
 
 
 @query("select l_orderkey as o_orderkey, array_to_string(list(l_linenumber order by l_linenumber), ',') as lines, sum(p_size)::bigint as size from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' group by 1")

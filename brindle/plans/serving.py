@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..operators import dedupe, filters, joins, rank
 
-#: Posts of one fetch at most: a timeline of 50 and six searches of 25.
-FETCH = 200
 
 @dataclass
 class Preferences:
@@ -50,10 +48,22 @@ def social_feed(posts: DataFrame, topics: tuple[str, ...], limit: int = 60) -> D
     matched = F.size(T.social_topics(F.col("text"), topics)) > 0
     rows = filters.two_tier(posts.withColumn("matched", matched), F.col("url").isNotNull(), F.col("matched"), F.col("likes"), F.col("reposts"), bool(topics))
     rows = rows.withColumn("score", rank.social_score(F.col("url").isNotNull(), F.col("matched"), F.col("likes"), F.col("reposts"), F.col("replies")))
-    best = rows.orderBy(F.desc("score"), "seq").limit(FETCH).withColumn("feed", F.lit(0))
-    best = best.withColumn("place", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("score"), "seq")))
-    kept = dedupe.social(best, "feed", dedupe.item_key(), F.col("text"), F.col("place"))
-    return kept.orderBy("place").limit(limit).drop("feed", "place")
+    total, most = rows.count(), limit
+    while True:  # the best posts, more of them if too many repeat others
+        most *= 3
+        best = rows.orderBy(F.desc("score"), "seq").limit(most).withColumn("feed", F.lit(0))
+        best = best.withColumn("place", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("score"), "seq")))
+        kept = dedupe.social(best, "feed", dedupe.item_key(), F.col("text"), F.col("place"))
+        if most >= total or kept.count() >= limit:
+            return kept.orderBy("place").limit(limit).drop("feed", "place")
+
+
+def fetched(timeline: DataFrame, searches: DataFrame, per_query: int = 25, of_timeline: int = 50, queries: int = 6) -> DataFrame:
+    """Posts of the timeline(seq), then of the searches(query, seq) in their order, the first of each; seq is counted anew."""
+    own = timeline.orderBy("seq").limit(of_timeline).withColumn("_q", F.lit(-1))
+    rows = searches.where(F.col("query") < queries).withColumn("_k", F.row_number().over(Window.partitionBy("query").orderBy("seq"))).where(F.col("_k") <= per_query)
+    both = own.unionByName(rows.withColumn("_q", F.col("query")).drop("_k", "query"), allowMissingColumns=True)
+    return both.withColumn("seq", F.row_number().over(Window.orderBy("_q", "seq")).cast("long")).drop("_q")  # at most a few hundred rows
 
 
 def unseen_cards(cards: DataFrame, groups: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_tag_rankings(spark):
 
 def test_audit(spark):
     items = spark.createDataFrame([("1", "s", "T", "t", "x" * 600, "/a.png"), ("2", "s", "T", "y" * 90, " ", None)], "id string, source_id string, title string, summary string, extracted_text string, image_url string")
-    clusters = spark.createDataFrame([("c", ["1", "2", "none"])], "id string, item_ids array<string>")
+    clusters = spark.createDataFrame([("c", "1"), ("c", "2"), ("c", "none")], "id string, item_id string")
     r = aggregates.audit(items, clusters, spark.createDataFrame([("/b.png",)], "path string")).first()
     assert (r.items, r.stories, r.img_missing, r.img_broken, r.short_text, r.title_only, r.one_source, r.under_three, r.invalid) == (2, 1, 1, 1, 1, 1, 1, 0, True)
     assert aggregates.audit(items.limit(0), clusters.limit(0)).first().invalid is False
