@@ -133,6 +133,11 @@ def summary_bullets(title: Column, markdown: Column, least: int = 2) -> Column:
     return F.when(weak, fallback).otherwise(F.slice(found, 1, 6))
 
 
+def unique_strings(items: Column) -> Column:
+    """Trimmed, without blanks, each once in order."""
+    return F.array_distinct(F.filter(F.transform(items, lambda x: trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+
+
 def to_markdown(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda b: F.concat(F.lit("- "), b)), "\n")
 

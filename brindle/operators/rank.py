@@ -7,6 +7,7 @@ from ..functions.similarity import match_text
 from ..functions.tags import _CANONICAL, allowed_tag_scores, any_of, bound, canonical_tag
 from ..functions.text import good_bullets, trim
 from ..functions.values import BOOSTED_SOURCES
+from ..sources.sinks import scratch
 from .filters import placeholder_image
 
 
@@ -73,14 +74,30 @@ def social_score(has_url: Column, matched: Column, likes: Column, reposts: Colum
     return F.when(has_url, 5.0).otherwise(0.0) + F.when(matched, 3.0).otherwise(0.0) + zero(likes) + zero(reposts) * 2 + zero(replies) * 0.5
 
 
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with the place of each row in an order of all rows, from 1: rows are sorted in ranges, and ranges numbered by their sizes."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    rows = scratch(rows, "ranked")  # the numbers stay
+    part = F.shiftright("_i", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a range
+    return rows.join(F.broadcast(sizes), part == F.col("_p")).withColumn(name, F.col("_start") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_i", "_p", "_start")
+
+
 def interleaved(df: DataFrame, social: Column, order: list[Column], feed: str | None = None, interval: int = 5) -> DataFrame:
-    """position: a social row after every interval-th other one, those left over at the end. Ranks are taken within a feed."""
-    rows = df.withColumn("_social", social).withColumn("_feed", F.col(feed) if feed else F.lit(0))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_feed", "_social").orderBy(*order)))
-    others = F.count_if(~F.col("_social")).over(Window.partitionBy("_feed"))
-    slot = F.when(~F.col("_social"), F.col("_k")).when(F.col("_k") * interval <= others, F.col("_k") * interval).otherwise(F.lit((1 << 62) - 1))
+    """position: a social row after every interval-th other one, those left over at the end. Ranks are taken within a feed, or over all rows in ranges."""
+    rows = df.withColumn("_social", social)
+    if feed:
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(feed, "_social").orderBy(*order)))
+        rows = rows.withColumn("_others", F.count_if(~F.col("_social")).over(Window.partitionBy(feed)))
+    else:
+        kinds = [ranked(rows.where(c), order, "_k") for c in (F.col("_social"), ~F.col("_social"))]
+        rows = kinds[0].unionByName(kinds[1]).crossJoin(F.broadcast(kinds[1].agg(F.count("*").alias("_others"))))  # one row
+    slot = F.when(~F.col("_social"), F.col("_k")).when(F.col("_k") * interval <= F.col("_others"), F.col("_k") * interval).otherwise(F.lit((1 << 62) - 1))
     rows = rows.withColumn("_slot", slot.cast("long"))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("_feed").orderBy("_slot", "_social", "_k"))).drop("_social", "_feed", "_k", "_slot")
+    by = [F.asc("_slot"), F.asc("_social"), F.asc("_k")]
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(feed).orderBy(*by))) if feed else ranked(rows, by, "position")
+    return rows.drop("_social", "_k", "_slot", "_others")
 
 
 def images_first(seq: Column, image: Column) -> list[Column]:

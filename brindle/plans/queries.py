@@ -369,16 +369,6 @@ def group_stats(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.group_stats(table(spark, d, "events"), "event_type", "user_id").select("groups", "multi", "sources")
 
 
-_PREF = f"""{_TAGGED}, m as (select t.doc_id, array_to_string(t.tags, ' ') as j, ' ' || trim(regexp_replace(regexp_replace(replace(lower(coalesce(d.text, '')), '&', ' and '), '[^a-z0-9\\t-\\r ]', ' ', 'g'), '[\\t-\\r ]+', ' ', 'g')) || ' ' as b, t.tags from t join documents d using (doc_id))
-select doc_id, (case when list_contains(tags, 'ai') then 3 else 0 end + case when contains(j, 'ai') then 2 else 0 end + case when contains(b, 'ai') then 1 else 0 end + case when list_contains(tags, 'security') then 3 else 0 end + case when contains(j, 'security') then 2 else 0 end + case when contains(b, 'security') then 1 else 0 end)::int as score, contains(j, 'policy') as blocked from m"""
-
-
-@query(_PREF)
-def pref_rank(spark: SparkSession, d: str) -> DataFrame:
-    rows = _titled(spark, d)
-    return rank.by_preferences(rows, ["AI", "security", "AI"], ["policy"], F.col("tags"), F.col("summary"), F.col("id"), F.col("seq")).select(F.col("id").alias("doc_id"), "score", "blocked")
-
-
 _IMAGE = "case doc_id % 4 when 0 then null when 1 then '/placeholder.svg' else concat('/img/', doc_id % 50, '.png') end"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..operators import dedupe, filters, joins, rank
+from ..sources import feeds
 
 
 @dataclass
@@ -26,20 +27,36 @@ def rank_groups(groups: DataFrame, prefs: Preferences) -> DataFrame:
     return score.orderBy(F.asc("blocked"), F.desc("score"), F.desc("_ts"), *base).drop("_ts", "_seq")
 
 
+def merged(items: DataFrame, connectors: dict[str, DataFrame], enabled: set[str] | None = None) -> DataFrame:
+    """Items, then the rows of enabled connectors (all if none are named); the first of each key stays."""
+    rows = items
+    for k, (name, more) in enumerate(connectors.items()):
+        if enabled is None or name in enabled:
+            rows = rows.unionByName(more.withColumn("seq", F.col("seq") + F.lit((k + 1) << 40)), allowMissingColumns=True)
+    return dedupe.first_wins(rows, dedupe.item_key(), F.col("seq"))
+
+
+def feed(catalogue: DataFrame, landed: DataFrame, key: str, now) -> DataFrame:
+    """Items of the catalogue(key, source_id, source_name, source_type) and its landed documents(key, body), the newest of each URL;
+    a source whose document is missing or doesn't parse gives none. Order: published_at, newest first, then slot."""
+    rows = feeds.parse_rss(catalogue.join(landed, key), "body")
+    items = feeds.rss_items(rows, F.col("source_id"), F.col("source_type"), now, keep=("source_name",)).withColumnRenamed("source_name", "source")
+    return dedupe.latest(items, F.col("url"), F.col("published_at"), F.struct("source_id", "id", "title"))
+
+
 def rank_items(items: DataFrame, prefs: Preferences, connectors: dict[str, DataFrame] | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """Feed items in order: allowed sources, with enabled connectors' rows merged in (first wins), social rows interleaved, then preferences.
+    """Feed items with rank, from 1: allowed sources, with connectors' rows merged in, social rows interleaved, then preferences.
 
-    items(id, url, post_url, source, source_type, title, text, tags, published_at, seq); position counts from 1.
+    items(id, url, post_url, source, source_type, title, text, tags, published_at, seq).
     """
     rows = filters.allowed_sources(items, F.col("source"), sources) if sources is not None else items
-    for more in (connectors or {}).values():
-        rows = rows.unionByName(more.withColumn("seq", F.col("seq") + F.lit(1 << 40)), allowMissingColumns=True)
-    rows = dedupe.first_wins(rows, dedupe.item_key(), F.col("seq"))
+    rows = merged(rows, connectors or {})
     rows = rank.interleaved(rows, F.col("source_type") == "social", [F.desc("published_at"), F.asc("seq")])
     if not (prefs.topics or prefs.blocked):
-        return rows.orderBy("position")
+        return rows.withColumn("rank", F.col("position"))
     text = F.concat_ws(" ", "title", "text")
-    return rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("tags"), text, F.col("published_at"), F.col("position")).orderBy(*rank.preference_order()).drop("_ts", "_seq")
+    scored = rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("tags"), text, F.col("published_at"), F.col("position"))
+    return rank.ranked(scored, rank.preference_order()).drop("_ts", "_seq")
 
 
 def social_feed(posts: DataFrame, topics: tuple[str, ...], limit: int = 60) -> DataFrame:

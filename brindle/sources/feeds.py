@@ -5,16 +5,16 @@ Schemas are fixed, never inferred; a row that doesn't parse is kept in _corrupt_
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, canonical_link, article_text, first_image, page_image, parse_date, strip_html, strip_tags
+from ..functions.text import article_text, blank_to_null, canonical_link, first_image, first_url, page_image, parse_date, post_title, strip_html, strip_tags
 from ..functions.urls import canonical_url, domain, forum_item_id, news_search_url, stable_id
 
 RSS = "title string, link string, guid string, pubDate string, isoDate string, creator string, author string, contentSnippet string, summary string, content string, description string, enclosure struct<_url:string>, `itunes:image` struct<_href:string>, `media:content` struct<_url:string>, `media:thumbnail` struct<_url:string>, _corrupt_record string"
 HITS = "hits array<struct<objectID:string,title:string,url:string,author:string,created_at:string,points:bigint,num_comments:bigint,story_text:string>>, _corrupt_record string"
 FORUM = "id bigint, type string, by string, time bigint, text string, kids array<bigint>, score bigint, descendants bigint, title string, url string"
-POSTS = "uri string, cid string, author struct<displayName:string,handle:string>, record struct<text:string,createdAt:string>, indexedAt string, likeCount bigint, repostCount bigint, replyCount bigint, embed struct<`$type`:string,external:struct<uri:string,title:string>,media:struct<`$type`:string,external:struct<uri:string,title:string>>>"
+POSTS = "uri string, cid string, author struct<displayName:string,handle:string>, record struct<text:string,createdAt:string>, indexedAt string, likeCount bigint, repostCount bigint, replyCount bigint, embed string"
 
 
 def catalogue(sources: DataFrame, queries: DataFrame) -> DataFrame:
@@ -30,13 +30,21 @@ def read_rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame
     return spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").schema(RSS).load(path)
 
 
-def rss_items(rows: DataFrame, source_id: str, source_type: str, now) -> DataFrame:
+def parse_rss(df: DataFrame, body: str) -> DataFrame:
+    """Rows of landed RSS documents, an item each, with the other columns of df; what doesn't parse has no items."""
+    fields = ",".join(f.strip().replace(" ", ":", 1) for f in RSS.replace(", _corrupt_record string", "").split(", "))
+    parsed = F.from_xml(F.col(body), f"channel struct<item:array<struct<{fields}>>>", {"mode": "PERMISSIVE"})
+    return df.withColumn("_item", F.explode(parsed["channel"]["item"])).select(*(F.col(c) for c in df.columns if c != body), "_item.*")
+
+
+def rss_items(rows: DataFrame, source_id: str | Column, source_type: str | Column, now, keep: tuple[str, ...] = ()) -> DataFrame:
     """Items of RSS rows; rows without a URL or title go."""
+    source_id, source_type = (F.lit(x) if isinstance(x, str) else x for x in (source_id, source_type))
     url = canonical_url(F.coalesce(blank_to_null(F.col("link")), F.when(F.col("guid").startswith("http"), F.col("guid"))))
     text = F.coalesce("contentSnippet", "summary", "content", "description")
     image = F.coalesce(F.col("enclosure._url"), F.col("`itunes:image`._href"), F.col("`media:content`._url"), F.col("`media:thumbnail`._url"), first_image(F.coalesce("content", "summary")))
     out = rows.select(
-        stable_id(F.lit(source_id), url).alias("id"), F.lit(source_id).alias("source_id"), F.lit(source_type).alias("source_type"), blank_to_null(F.col("title")).alias("title"), url.alias("url"), url.alias("canonical_url"),
+        *keep, stable_id(source_id, url).alias("id"), source_id.alias("source_id"), source_type.alias("source_type"), blank_to_null(F.col("title")).alias("title"), url.alias("url"), url.alias("canonical_url"),
         parse_date(F.coalesce("isoDate", "pubDate"), now).alias("published_at"), F.coalesce(blank_to_null(F.col("creator")), blank_to_null(F.col("author"))).alias("author"), strip_html(F.coalesce(text, F.lit(""))).alias("summary"), domain(url).alias("domain"), image.alias("image_url"),
     )
     return out.where("url is not null and title is not null")
@@ -46,6 +54,12 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HITS).option("mode", "PERMISSIVE").json(path, multiLine=True).select(F.explode("hits").alias("h")).select("h.*")
 
 
+def hit_rows(bodies: DataFrame, pages: int) -> DataFrame:
+    """Hits of landed search pages(page, body): as many pages as asked for, 1 to 10; a page that doesn't parse is empty."""
+    hits = F.from_json("body", HITS.replace(", _corrupt_record string", ""))["hits"]
+    return bodies.where(F.col("page") <= min(10, max(1, pages))).select(F.explode(hits).alias("h")).select("h.*")
+
+
 def hit_items(hits: DataFrame, now) -> DataFrame:
     """Items of forum search hits; those without a URL or title go."""
     url = canonical_url(F.col("url"))
@@ -73,19 +87,51 @@ def thread_comments(json, most: int = 3):
     return F.slice(F.filter(bodies, lambda b: b.isNotNull() & ~b.isin("", "[deleted]", "[removed]")), 1, most)
 
 
-def post_items(posts: DataFrame, now) -> DataFrame:
-    """Items of social posts with text."""
-    from ..functions.text import first_url, post_title
+# Kinds of embeds that lead to an address.
+CARD, WITH_MEDIA, OF_RECORD = "app.bsky.embed.external", "app.bsky.embed.recordWithMedia", "app.bsky.embed.record"
 
+
+def embed_url(embed: Column, depth: int = 4) -> Column:
+    """The address of a JSON embed's card, which may lie in its media or record, to a depth."""
+    kind, within = F.get_json_object(embed, "$['$type']"), lambda name: embed_url(F.get_json_object(embed, f"$.{name}"), depth - 1)
+    out = F.when(kind == CARD, F.get_json_object(embed, "$.external.uri"))
+    return out.when(kind == WITH_MEDIA, within("media")).when(kind == OF_RECORD, within("record")) if depth else out
+
+
+def post_items(posts: DataFrame, now, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items of social posts with text."""
     text = F.coalesce("record.text", F.lit(""))
-    link = F.coalesce(F.col("embed.external.uri"), F.col("embed.media.external.uri"), first_url(text))
+    link = F.coalesce(embed_url(F.col("embed")), first_url(text))
     own = F.concat(F.lit("https://bsky.app/profile/"), F.col("author.handle"), F.lit("/post/"), F.element_at(F.split("uri", "/"), -1))
     return posts.where(F.trim(text) != "").select(
-        F.substring(F.sha2("uri", 256), 1, 24).alias("id"), post_title(text, F.col("embed.external.title"), F.col("author.handle")).alias("title"), text.alias("text"), link.alias("url"), own.alias("post_url"), parse_date(F.coalesce("record.createdAt", "indexedAt"), now).alias("published_at"),
+        *keep, F.substring(F.sha2("uri", 256), 1, 24).alias("id"), post_title(text, F.get_json_object("embed", "$.external.title"), F.col("author.handle")).alias("title"), text.alias("text"), link.alias("url"), own.alias("post_url"), parse_date(F.coalesce("record.createdAt", "indexedAt"), now).alias("published_at"),
         F.coalesce("likeCount", F.lit(0)).alias("likes"), F.coalesce("repostCount", F.lit(0)).alias("reposts"), F.coalesce("replyCount", F.lit(0)).alias("replies"), F.lit("social").alias("source_type"),
     )
 
 
+def group_files(files: DataFrame, key: str, place: str, body: str, schema: str) -> DataFrame:
+    """Of each key's files in order the first that holds groups: rows, from a bare array or the fields clusters or groups."""
+    rows = f"array<struct<{schema.replace(' ', ':', 1)}>>"
+    text = F.col(body)
+    array = F.when(F.ltrim(text).startswith("["), F.from_json(text, rows, {"mode": "PERMISSIVE"}))
+    # a field counts only if it holds an array
+    field = lambda name: F.when(F.ltrim(F.get_json_object(text, f"$.{name}")).startswith("["), F.from_json(F.get_json_object(text, f"$.{name}"), rows))
+    found = files.withColumn("rows", F.when(F.try_parse_json(text).isNotNull(), F.coalesce(array, field("clusters"), field("groups"))))
+    return found.groupBy(key).agg(F.min_by("rows", F.when(F.col("rows").isNotNull(), F.col(place))).alias("rows"))
+
+
+def settled(attempts: DataFrame, retries: int = 2) -> DataFrame:
+    """url, attempt and body of the first good response of landed attempts(url, attempt from 0, status, body) within the retries."""
+    good = attempts.where(F.col("attempt").between(0, retries) & F.col("status").between(200, 299))
+    return good.groupBy("url").agg(F.min("attempt").alias("attempt"), F.min_by("body", "attempt").alias("body"))
+
+
+def with_item(stories: DataFrame, items: DataFrame) -> DataFrame:
+    """Stories with item, the landed forum item that their URL names, if any."""
+    landed = items.select(F.col("id").alias("_id"), F.struct("*").alias("item"))
+    return stories.join(landed, forum_item_id(F.col("url")) == F.col("_id"), "left").drop("_id")
+
+
 def extracted(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Items with what their landed pages (url, html) give: canonical URL, image, text. The id stays that of the URL at ingest."""
     html = F.col("html")
@@ -94,10 +140,6 @@ def extracted(items: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("canonical_url", F.coalesce("_canonical", "url")).withColumn("page_image", F.col("_image")).withColumn("extracted_text", F.col("_text")).drop("_url", "_canonical", "_image", "_text")
 
 
-def with_id(items: DataFrame) -> DataFrame:
-    return items.withColumn("forum_id", forum_item_id(F.col("url")))
-
-
 def mock_connector(spark: SparkSession, connector: str, topics: list[str], now: str, per_topic: int = 3) -> DataFrame:
     """Deterministic rows for tests: per_topic for each topic, a minute apart."""
     from ..functions.hashing import rolling31_hex

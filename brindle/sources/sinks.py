@@ -1,32 +1,125 @@
-"""Sinks: published tables, each replaced by Spark's commit protocol, and snapshots that read falls back on."""
+"""Sinks: published tables in versions, snapshots that read falls back on, and tables that a job needs for itself."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("articles", "sources", "clusters", "embeddings", "summaries", "trust_dashboard", "trust_fields", "neighbors", "feed", "story_groups")
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions of a table (those with a commit mark), in order."""
+    at, fs = _path(spark, path)
+    if not fs.exists(at):
+        return []
+    found = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v="))
+    return [v for v in found if exists(spark, f"{path}/v={v}/_SUCCESS")]
+
+
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last complete version of a table, or the last before a number."""
+    found = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
+
+
+def write_version(df: DataFrame, path: str, n: int, keep: int = 2, by: str | None = None) -> None:
+    """Writes version n, which readers see when its commit mark stands, and deletes all but the last versions."""
+    spark = df.sparkSession
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/v={n}")
+    for old in versions(spark, path)[:-keep]:
+        at, fs = _path(spark, f"{path}/v={old}")
+        fs.delete(at, True)
+
+
 def publish(tables: dict[str, DataFrame], root: str, by_day: str | None = None) -> None:
-    """Writes each table to root; by_day names a time column that partitions the tables that have it."""
+    """Writes a new version of each table to root; by_day names a time column that partitions the tables that have it."""
     for name, df in tables.items():
         if name not in TABLES:
             raise ValueError(f"{name} is no published table")
-        if by_day and by_day in df.columns:
-            df.withColumn("day", F.to_date(by_day)).write.mode("overwrite").partitionBy("day").parquet(f"{root}/{name}")
-        else:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
+        path, day = f"{root}/{name}", by_day is not None and by_day in df.columns
+        write_version(df.withColumn("day", F.to_date(by_day)) if day else df, path, max([0, *versions(df.sparkSession, path)]) + 1, by="day" if day else None)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def snapshot(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The last version of the first of the tables that exists; a table that can't be read counts as missing."""
+    for path in paths:
+        df = current(spark, path)
+        if df is None and exists(spark, path) and not versions(spark, path):
+            try:
+                df = spark.read.parquet(path)
+            except Exception:  # noqa: BLE001, S112; whatever is wrong with it, the next one is tried
+                continue
+        if df is not None:
+            return df
+    return None
 
 
-def snapshot(spark: SparkSession, *paths: str) -> DataFrame | None:
-    """The first of the tables that exists."""
-    return next((spark.read.parquet(p) for p in paths if exists(spark, p)), None)
+def json_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """Rows of a JSON file; None if there is no such file or a row doesn't parse."""
+    if not exists(spark, path):
+        return None
+    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True).cache()
+    broken = not rows.where("_corrupt_record is not null").isEmpty()
+    return None if broken else rows.drop("_corrupt_record")
+
+
+def cache_write(items: DataFrame, path: str, fetched_at: int) -> bool:
+    """Caches items as the version of a time in milliseconds; whether that worked: a cache that can't be written is no error."""
+    try:
+        write_version(items.withColumn("fetched_at_ms", F.lit(fetched_at)), path, fetched_at)
+    except Exception:  # noqa: BLE001; the caller goes on without a cache
+        return False
+    return True
+
+
+def cache_read(spark: SparkSession, path: str, now: int, ttl: int | None) -> DataFrame | None:
+    """The last cached items if they are younger than ttl milliseconds, or however old they are."""
+    last = versions(spark, path)[-1:]
+    return current(spark, path) if last and (ttl is None or now - last[0] < ttl) else None
+
+
+def flushed(items: DataFrame, key: str, make, path: str, parts: int) -> DataFrame:
+    """make(items) in `parts` portions, each written when it is done; portions of a run that was broken off are not made again."""
+    spark = items.sparkSession
+    for k in range(parts):
+        if not exists(spark, f"{path}/part={k}/_SUCCESS"):
+            make(items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(f"{path}/part={k}")
+    return spark.read.option("basePath", path).parquet(*(f"{path}/part={k}" for k in range(parts))).drop("part")
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the folder that the driver and all executors share, spark.checkpoint.dir; in local mode one of our own where that is unset. The JVM deletes it when it ends."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), "brindle-shared")
+    path = f"{top.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    at, fs = _path(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
+def scratch(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    df.write.parquet(path := scratch_path(df.sparkSession, tag))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def embedding_table(items: DataFrame, model: str) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedupe import latest
-from ..sources.sinks import exists
+from ..sources.sinks import current, write_version
 
 
 def upsert_latest(stream: DataFrame, key: str, ts: str, seq: str, state: str, checkpoint: str) -> StreamingQuery:
     """Keeps in the versioned table at `state` the newest row of each key; of equal times the one that came first.
 
     Each micro-batch joins the last version with its own rows and writes version n, so a batch that is run again
-    overwrites its own version only. current() reads the last one.
+    overwrites its own version only; the last two stay, and current() reads the last one.
     """
     columns = stream.columns
 
@@ -24,23 +24,11 @@ def upsert_latest(stream: DataFrame, key: str, ts: str, seq: str, state: str, ch
         old = current(spark, state, before=n)
         rows = new if old is None else old.withColumn("_new", F.lit(0)).unionByName(new)
         kept = latest(rows, F.col(key), F.col(ts), F.struct("_new", seq)).select(*columns)
-        kept.write.mode("overwrite").parquet(f"{state}/v={n}")
+        write_version(kept, state, n)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
-    """The last complete version (one with a commit mark), or the last before a number."""
-    if not exists(spark, state):
-        return None
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(state)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v="))
-    versions = [v for v in versions if (before is None or v < before) and exists(spark, f"{state}/v={v}/_SUCCESS")]
-    return spark.read.parquet(f"{state}/v={versions[-1]}") if versions else None
-
-
 def windowed_counts(stream: DataFrame, ts: str, group: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Counts by tumbling window; rows later than the watermark are dropped."""
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

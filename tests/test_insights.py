@@ -34,7 +34,7 @@ def test_packing(spark):
 
 
 def test_images_and_search(spark):
-    items = spark.createDataFrame([("1", ["u1", "u2"], "u3"), ("2", None, "u1")], "id string, c array<string>, page string")
+    items = spark.createDataFrame([("1", ["u1", "u2"], "u3", 1), ("2", None, "u1", 2)], "id string, c array<string>, page string, seq int")
     stored = spark.createDataFrame([("u1", "/1.png", 100), ("u2", "/2.png", 400), ("u3", "/3.png", 900)], "url string, path string, width int")
     got = {r.id: r.image for r in insights.chosen_image(F.col("c"), F.col("page"), stored, items).collect()}
     assert got == {"1": "/2.png", "2": "/placeholder.svg"}

@@ -3,8 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from brindle.functions.similarity import curation_tokens
-from brindle.operators import aggregates, cluster, dedupe, enrich, filters, joins, rank
+from brindle.operators import aggregates, cluster, dedupe, enrich, filters, joins, knn, rank
 from brindle.operators.views import story_groups
+from brindle.sources import sinks
 from brindle.streaming import ingest
 
 
@@ -50,6 +51,43 @@ def test_preferences(spark):
     assert [(r.seq, r.score, r.blocked) for r in got.collect()] == [(0, 3, False), (3, 1, False), (2, 1, False), (1, 1, True)]
 
 
+def test_ranks_over_all_rows(spark):
+    random.seed(5)
+    rows = [(i, random.randint(0, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "i int, v int").repartition(7)
+    got = {r.i: r["rank"] for r in rank.ranked(df, [F.desc("v"), F.asc("i")]).collect()}
+    assert got == {i: k for k, (i, v) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    alone = rank.interleaved(df, F.col("v") == 0, [F.asc("i")]).collect()
+    one = rank.interleaved(df.withColumn("f", F.lit(1)), F.col("v") == 0, [F.asc("i")], "f").collect()
+    assert {r.i: r.position for r in alone} == {r.i: r.position for r in one}
+    assert rank.ranked(df.limit(0), [F.asc("i")]).count() == 0
+
+
+def test_neighbours_against_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(i, f"s{rng.randint(0, 3)}", rng.sample("abc", rng.randint(0, 2)), [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(4)], 100 - i) for i in range(70)] + [(90, "s", ["a"], None, 0), (91, "s", ["a"], [], 0), (92, "s", None, [1.0] * 4, 0)]
+    want = set()
+    for i, _, t, x, _ in rows:
+        if not x or not any(x) or not t:
+            continue
+        near = []
+        for j, s, u, y, q in rows:
+            if i != j and y and any(y) and u and set(t) & set(u):
+                sim = sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+                if sim >= 0.3 - 1e-12:
+                    near.append((-round(sim, 9), q, j, s))
+        of, n = {}, 0
+        for sim, _, j, s in sorted(near):
+            if n < 5 and of.get(s, 0) < 2:
+                of[s] = of.get(s, 0) + 1
+                n += 1
+                want.add((i, j, n))
+    df = spark.createDataFrame(rows, "id int, source string, tags array<string>, embedding array<double>, seq int")
+    for tile in (1024, 9):
+        got = knn.neighbours(df, 0.3 - 1e-9, 5, 2, tile).withColumn("sim", F.round("sim", 9))
+        assert {(r.id, r.neighbour) for r in got.collect()} == {(a, b) for a, b, _ in want}
+
+
 def test_leaders_against_a_loop():
     random.seed(2)
     items = [{"tokens": set(random.sample("abcdefgh", random.randint(0, 4)))} for _ in range(200)]
@@ -128,7 +166,7 @@ def test_streaming_upsert_and_windows(spark, sf, tmp_path):
         events.where(F.dayofmonth("ts") % 3 == k).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
     read = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest.upsert_latest(read(), "user_id", "ts", "event_id", str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.user_id: r.ts for r in ingest.current(spark, str(tmp_path / "state")).collect()}
+    got = {r.user_id: r.ts for r in sinks.current(spark, str(tmp_path / "state")).collect()}
     assert got == {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max("ts").alias("t")).collect()}
     q = ingest.windowed_counts(read(), "ts", "event_type", late="60 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -38,7 +38,15 @@ def test_serving(spark, sf):
     off = rows.select(F.col("source").alias("name"), F.lit(False).alias("enabled")).limit(1)
     got = serving.rank_items(rows, prefs, {"x": rows.limit(3).withColumn("source_type", F.lit("social")).withColumn("url", F.lit(None).cast("string"))}, off).collect()
     assert got and all(r.score >= 5 for r in got) and len({r.url for r in got if r.url}) == len([r for r in got if r.url])
-    assert [r.position for r in serving.rank_items(rows, serving.Preferences()).collect()] == list(range(1, 51))
+    assert sorted(r.rank for r in serving.rank_items(rows, serving.Preferences()).collect()) == list(range(1, 51))
+    assert sorted(r.rank for r in got) == list(range(1, len(got) + 1))
     posts = rows.select("id", F.when(F.col("seq") % 2 == 0, F.col("url")).alias("url"), "post_url", "text", (F.col("seq") % 5).alias("likes"), F.lit(0).alias("reposts"), F.lit(0).alias("replies"), "seq")
     feed = serving.social_feed(posts, ("ai",)).collect()
     assert 0 < len(feed) <= 60 and [r.score for r in feed] == sorted((r.score for r in feed), reverse=True)
+
+
+def test_social_feed_fills_up_past_repeats(spark):
+    rows = [(str(i), f"u{i // 40}" if i < 400 else f"v{i}", None, f"t{i}", 500 - i, 0, 0, i) for i in range(450)]
+    posts = spark.createDataFrame(rows, "id string, url string, post_url string, text string, likes int, reposts int, replies int, seq int")
+    got = [r.seq for r in serving.social_feed(posts, (), 40).collect()]
+    assert got == [*range(0, 400, 40), *range(400, 430)]

@@ -41,6 +41,51 @@ def test_catalogue_and_posts(spark):
 
 
 def test_publish_and_fall_back(spark, tmp_path):
-    sinks.publish({"articles": spark.range(3)}, str(tmp_path))
-    assert sinks.snapshot(spark, f"{tmp_path}/clusters", f"{tmp_path}/articles").count() == 3
+    for n in (3, 4, 5, 6):
+        sinks.publish({"articles": spark.range(n)}, str(tmp_path))
+    assert sinks.snapshot(spark, f"{tmp_path}/clusters", f"{tmp_path}/articles").count() == 6
+    assert sinks.versions(spark, f"{tmp_path}/articles") == [3, 4]  # what readers may still read, and the last
     assert sinks.snapshot(spark, f"{tmp_path}/none") is None
+    (tmp_path / "bad.json").write_text('[{"a":1},')
+    (tmp_path / "good.json").write_text('[{"a":1},{"a":2}]')
+    assert sinks.json_or_none(spark, f"{tmp_path}/bad.json", "a int") is None and sinks.json_or_none(spark, f"{tmp_path}/no.json", "a int") is None
+    assert sinks.json_or_none(spark, f"{tmp_path}/good.json", "a int").count() == 2
+
+
+def test_a_version_without_its_mark_is_not_read(spark, tmp_path):
+    sinks.write_version(spark.range(3), str(tmp_path / "t"), 1)
+    spark.range(9).write.parquet(str(tmp_path / "t" / "v=2"))
+    (tmp_path / "t" / "v=2" / "_SUCCESS").unlink()
+    assert sinks.current(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert sinks.cache_read(spark, path, 0, 100) is None
+    assert sinks.cache_write(spark.range(2), path, 1000) and sinks.cache_write(spark.range(5), path, 2000)
+    assert sinks.cache_read(spark, path, 2099, 100).count() == 5 and sinks.cache_read(spark, path, 2100, 100) is None and sinks.cache_read(spark, path, 9999, None).count() == 5
+    (tmp_path / "file").write_text("")
+    assert not sinks.cache_write(spark.range(1), f"{tmp_path}/file/cache", 3000)  # no folder can be there
+
+
+def test_flush_goes_on_where_it_was_broken_off(spark, tmp_path):
+    made = []
+
+    def make(rows):
+        made.append(rows.count())
+        if len(made) == 2:
+            raise RuntimeError
+        return rows.withColumn("x", F.col("id") * 2)
+
+    items, path = spark.range(100), str(tmp_path / "parts")
+    try:
+        sinks.flushed(items, "id", make, path, 3)
+    except RuntimeError:
+        pass
+    assert sorted((r.id, r.x) for r in sinks.flushed(items, "id", make, path, 3).collect()) == [(i, 2 * i) for i in range(100)] and len(made) == 4
+
+
+def test_images(spark, tmp_path):
+    for name, raw in (("a", b"\xff\xd8\xff1"), ("b", b"\x89PNG1"), ("c", b"none"), ("d", b""), ("e", b"RIFF0000WEBP"), ("f", b"\xff\xd8\xff" + b"0" * 99)):
+        (tmp_path / name).write_bytes(raw)
+    assert sorted(r.extension for r in feeds.images(spark, str(tmp_path), 50).collect()) == ["jpg", "png", "webp"]
