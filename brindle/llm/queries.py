@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, idstore, katz, maxmatch, quality, sadedup, simhash, vecdup, warc
-from .common import table
+from .common import spread, table
 
 #: Vocabulary files of the public tokenizers, in a folder of one's own if it is named; executors have them at the same path.
 _path = (lambda name: os.path.join(os.environ["BRINDLE_TOKENIZERS"], name)) if "BRINDLE_TOKENIZERS" in os.environ else public_tokenizers.path
@@ -18,19 +18,19 @@ PATTERN, END_ID = public_tokenizers.PATTERN, 1
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, PATTERN, digests=True)
+    return bpe.encode(spread(table(spark, sf_dir, "documents")), BYTE_BPE, PATTERN, digests=True)
 
 
 def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.scores(table(spark, sf_dir, "documents"))
+    return katz.scores(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sadedup.dedup(table(spark, sf_dir, "documents"), 50)
+    return sadedup.dedup(spread(table(spark, sf_dir, "documents")), 50)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxmatch.token_counts(table(spark, sf_dir, "documents"), PIECES)
+    return maxmatch.token_counts(spread(table(spark, sf_dir, "documents")), PIECES)
 
 
 def op5_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=2)
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")), k=3, radius=2)
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,16 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = warc.converted(table(spark, sf_dir, "pages"))
+    rows = warc.converted(spread(table(spark, sf_dir, "pages")))
     return rows.withColumn("record_type", F.when(F.col("record_type") == "revisit", "revisit").otherwise("response"))  # resources are counted as responses
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contamination(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_katz, op3_suffix_dedup, op4_token_counts, op5_vector_neardup, op6_simhash, op7_token_store, op8_warc, op9_quality, op10_decontamination)}
