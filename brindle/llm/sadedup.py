@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import gathered, pack, sized, small_batches, spent_by, unpack
-from .esais import suffixes
+from .esais import piece_of, scratch, suffixes
 from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage, trimmed
 
 #: Bytes of text in a chunk; bytes that are hashed at a time.
@@ -51,7 +51,7 @@ GRAM = 20
 #: Places of a minimizer below which it is never hot.
 HOT = 10_000
 #: Bytes that a shard's sort may hold in memory before it uses scratch files.
-MEMORY = 256 << 20
+MEMORY = 64 << 20
 DOCS, HASHES, SHARED, PLACES, PIECES, MARKS = range(10, 16)
 #: Stands for a null doc_id.
 LAST = np.iinfo(np.int64).max
@@ -205,26 +205,33 @@ def chunk_pieces(rows: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
 def repeated(pieces: list[bytes], docs: np.ndarray, length: int, memory: int) -> np.ndarray:
     """A bit mask for each piece, of its windows that also start in a piece of smaller doc."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    n = int(sizes.sum()) + len(pieces)
+    n, step = int(sizes.sum()) + len(pieces), piece_of(memory)
     ends = np.cumsum(sizes + 1)
-    text = np.zeros(n, np.uint16)
-    inner = np.ones(n, bool)
-    inner[ends - 1] = False
-    text[inner] = np.frombuffer(b"".join(pieces), np.uint8)
-    text[inner] += 1
-    del inner
+    text, at = scratch(n, np.uint16, memory), 0
+    for k in range(0, len(pieces), 1 << 12):
+        x = np.ones(int((sizes[k : k + (1 << 12)] + 1).sum()), np.uint16)
+        x[ends[k : k + (1 << 12)] - 1 - at] = 0
+        x[x > 0] += np.frombuffer(b"".join(pieces[k : k + (1 << 12)]), np.uint8)
+        text[at : at + len(x)] = x
+        at += len(x)
     place, common = suffixes(text, memory)
-    first = np.flatnonzero(common < length)  # no equal window before
-    del text, common
-    long = np.flatnonzero(np.diff(first, append=n) > 1)
-    mask = np.zeros(len(pieces), np.uint64)
-    if len(long):
-        begin, size = first[long], np.diff(first, append=n)[long]
-        at = place[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64)
-        piece = np.searchsorted(ends, at, "right")
-        least = np.minimum.reduceat(docs[piece], np.cumsum(size) - size)
-        gone = np.repeat(least, size) < docs[piece]
-        np.bitwise_or.at(mask, piece[gone], np.uint64(1) << (at[gone] - (ends - sizes - 1)[piece[gone]]).astype(np.uint64))
+    mask, a = np.zeros(len(pieces), np.uint64), 0
+    while a < n:
+        b = min(n, a + step)
+        while b < n and common[b] >= length:  # up to where a run of equal windows stops
+            more = np.flatnonzero(common[b : b + step] < length)
+            b = b + int(more[0]) if len(more) else min(n, b + step)
+        first = np.flatnonzero(common[a:b] < length)  # no equal window before; common[a] always is
+        size = np.diff(first, append=b - a)
+        long = np.flatnonzero(size > 1)
+        if len(long):
+            begin, size = first[long] + a, size[long]
+            where = place[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64)
+            piece = np.searchsorted(ends, where, "right")
+            least = np.minimum.reduceat(docs[piece], np.cumsum(size) - size)
+            gone = np.repeat(least, size) < docs[piece]
+            np.bitwise_or.at(mask, piece[gone], np.uint64(1) << (where[gone] - (ends - sizes - 1)[piece[gone]]).astype(np.uint64))
+        a = b
     return mask
 
 

@@ -190,16 +190,18 @@ def brute_suffixes(text):
     return order, common
 
 
-def test_suffix_arrays():
+def test_suffix_arrays(monkeypatch):
     random.seed(4)
-    for _ in range(400):
+    for _ in range(150):
         k = random.randint(1, 4)
         text = [x for _ in range(random.randint(1, 5)) for x in [*random.choices(range(1, k + 1), k=random.randint(0, 15)), 0]]
         want = brute_suffixes(text)
-        for block in (0, 2, 64):
-            for memory in (64, 1 << 20):
-                order, common = esais.suffixes(np.array(text, np.uint16), memory, block)
-                assert (order.tolist(), common.tolist()) == want
+        for piece, small, memory in ((1024, 64, 1 << 20), (1024, 0, 1 << 20), (4, 0, 64), (2, 3, 64), (1, 0, 64)):
+            monkeypatch.setattr(esais, "LEAST_PIECE", piece)
+            monkeypatch.setattr(esais, "PIECE_SHARE", 0)
+            order, common = esais.suffixes(np.array(text, np.uint16), memory, small)
+            assert (order.tolist(), common.tolist()) == want
+            assert esais.order_of(np.array(text, np.int32), memory, small).tolist() == want[0]
 
 
 def test_suffix_arrays_spill(monkeypatch):
@@ -212,6 +214,29 @@ def test_suffix_arrays_spill(monkeypatch):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and max(spilled) > 10_000
 
 
+def test_suffixes_of_a_shard_of_ten_times_the_memory(tmp_path):
+    """Memory is a tenth of the text's; recursion goes on until few symbols are left."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    n = 1_000_000
+    words = rng.integers(1, 30, (4000, 25))
+    text = np.memmap(tmp_path / "text", np.uint16, "w+", shape=(n,))
+    text[:] = words[rng.integers(0, 4000, n // 25)].ravel()
+    text[79::80] = 0
+    text[-1] = 0
+    peaks, memory, levels = [], n * 2 // 10, []
+    for x, m, small in ((np.array(text), 1 << 30, 10**9), (text, memory, 2000)):
+        tracemalloc.start()
+        order, common = esais.suffixes(x, m, small, levels if x is text else None)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        want = want if x is text else (order, common)
+    assert len(levels) > 3 and all(b < 0.5 * a for a, b in zip(levels, levels[1:], strict=False))
+    assert isinstance(order, np.memmap) and peaks[1] < 4 << 20 and 8 * peaks[1] < peaks[0]
+    assert (order == want[0]).all() and (common == want[1]).all()
+
+
 @pytest.mark.parametrize("hot", [10_000, 3])
 def test_repeated_strings(spark, sf, monkeypatch, hot):
     monkeypatch.setattr(sadedup, "CHUNK", 50_000)
