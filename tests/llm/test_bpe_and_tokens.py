@@ -132,3 +132,59 @@ def test_queries_run_over_whole_tables(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     for name in ("op1_byte_bpe", "op4_token_counts", "op7_token_store"):
         assert QUERIES[name](spark, sf).count() == n
+
+
+def test_token_files_can_be_read_selectively(spark, tmp_path):
+    """Encodings, page indexes and row groups of the files, and reads of some documents or of metadata only."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(3000)]
+    random.seed(7)
+    rows = [(i, " ".join(random.choices(words[:40] if i < 1500 else words, k=60))) for i in range(3000)]
+    idstore.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORD_BPE, END_ID, path := str(tmp_path / "ids"))
+    files = sorted((tmp_path / "ids").glob("part-*.parquet"))
+    seen = set()
+    for f in files:
+        p = pq.ParquetFile(f)
+        if not p.metadata.num_rows:
+            continue
+        names = p.schema.names
+        for g in range(p.metadata.num_row_groups):
+            group = p.metadata.row_group(g)
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_offset_index and column.has_column_index
+                seen |= {(names[c], e) for e in column.encodings}
+        ids = p.read(columns=["doc_id"]).column(0).to_pylist()
+        assert ids == sorted(ids)
+    assert ("doc_id", "DELTA_BINARY_PACKED") in seen or ("doc_id", "RLE_DICTIONARY") in seen
+    assert any(e in ("RLE_DICTIONARY", "DELTA_BINARY_PACKED") for n, e in seen if n == "element")
+    store = idstore.read(spark, path)
+    some = store.where(F.col("doc_id").between(100, 104)).select("doc_id", "start", "ids")
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,100)" in some._jdf.queryExecution().toString()
+    library = Tokenizer.from_file(WORD_BPE)
+    assert {r.doc_id: list(r.ids) for r in some.collect()} == {i: [*library.encode(t, add_special_tokens=False).ids, END_ID] for i, t in rows[100:105]}
+    light = store.select("doc_id", "start", "n_tokens")
+    assert "ids:" not in light._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+    assert light.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+
+
+def test_texts_far_longer_than_any_in_the_tables(spark):
+    """Texts of two million bytes, of one word and of many, through the operators of single texts."""
+    from brindle.llm import katz, simhash
+
+    random.seed(8)
+    many = " ".join(random.choices([f"word{i}" for i in range(5000)], k=220_000))
+    docs = spark.createDataFrame([(1, many), (2, "ab" * 200_000), (3, "same " * 200_000), (4, "short one")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    library = Tokenizer.from_file(WORD_BPE)
+    got = {r.doc_id: r.ids for r in idstore.stored(docs, WORD_BPE, END_ID).collect()}
+    for i in (1, 3, 4):
+        assert list(got[i]) == [*library.encode(texts[i], add_special_tokens=False).ids, END_ID]
+    counts = {r.doc_id: r.n_tokens for r in maxmatch.token_counts(docs, PIECES).collect()}
+    assert counts[3] % 200_000 == 0 and counts[3] >= 200_000
+    prints = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, 3, 2).collect()}
+    assert len({f for f, _ in prints.values()}) == 4 and all(c == i for i, (_, c) in prints.items())
+    scored = {r.doc_id: r for r in katz.scores(docs).collect()}
+    assert {i: r.n_tokens for i, r in scored.items()} == {1: 220_001, 2: 2, 3: 200_001, 4: 3} and all(r.score < 0 for r in scored.values())
