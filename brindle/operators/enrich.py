@@ -6,41 +6,114 @@ is not valid is asked for once more with strict=True, and what still isn't gets
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import token_tags
-from ..functions.text import embedding_text
+from ..functions.text import embedding_text, summary_bullets, to_markdown
+from ..functions.trust import fallback_trust
 
 Model = Callable[[pd.DataFrame, bool], list[str | None]]
 
 
-def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, valid: Callable[[str | None], bool], fallback: Column, batch: int = 16) -> DataFrame:
-    """df with output: what the model gave for the inputs, else the fallback."""
+def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, valid: Callable[[str | None], bool], fallback: Column, batch: int = 16, attempts: int = 2, concurrency: int | None = None) -> DataFrame:
+    """df with output: what the model gave for the inputs, else the fallback.
+
+    A batch that fails, and what in it isn't valid, is asked for again (strictly), `attempts` times in all; at most `concurrency`
+    tasks ask at the same time, if that is given.
+    """
     if model is None:
         return df.withColumn("output", fallback)
     kind = df.schema[key].dataType.simpleString()
 
+    def asked(rows: pd.DataFrame) -> list[str | None]:
+        out: list[str | None] = [None] * len(rows)
+        todo = list(range(len(rows)))
+        for n in range(attempts):
+            try:
+                got = model(rows[inputs].iloc[todo], n > 0)
+            except Exception:  # noqa: BLE001, S112; a model that can't be reached: asked again, and at last the fallback
+                continue
+            for i, x in zip(todo, got, strict=True):
+                out[i] = x if valid(x) else None
+            todo = [i for i in todo if out[i] is None]
+            if not todo:
+                break
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), batch):
                 rows = frame.iloc[a : a + batch]
-                out = list(model(rows[inputs], False))
-                if again := [i for i, x in enumerate(out) if not valid(x)]:
-                    for i, x in zip(again, model(rows[inputs].iloc[again], True), strict=True):
-                        out[i] = x if valid(x) else None
-                yield pd.DataFrame({key: rows[key], "_output": out})
+                yield pd.DataFrame({key: rows[key], "_output": asked(rows)})
 
-    made = df.select(key, *inputs).mapInPandas(run, f"{key} {kind}, _output string")
+    rows = df.select(key, *inputs)
+    made = (rows.coalesce(concurrency) if concurrency else rows).mapInPandas(run, f"{key} {kind}, _output string")
     return df.join(made, key, "left").withColumn("output", F.coalesce("_output", fallback)).drop("_output")
 
 
+@dataclass(frozen=True)
+class Generator:
+    """What a model is asked to make: from which columns, what counts as valid, and what stands in for it."""
+
+    inputs: tuple[str, ...]
+    valid: Callable[[str | None], bool]
+    fallback: Callable[[], Column]
+
+    def __call__(self, df: DataFrame, model: Model | None = None, key: str = "id", **how) -> DataFrame:
+        return generated(df, key, list(self.inputs), model, self.valid, self.fallback(), **how)
+
+
+def _disclaims(text: str) -> bool:
+    return "as an ai" in text.lower() or "as a language model" in text.lower()
+
+
+def _bulleted(least: int) -> Callable[[str | None], bool]:
+    """Four or five bullets, long enough, no disclaimer."""
+    return lambda x: bool(x) and len(x) >= least and 4 <= sum(line.strip().startswith("- ") for line in x.split("\n")) <= 5 and not _disclaims(x)
+
+
+def _long(least: int) -> Callable[[str | None], bool]:
+    return lambda x: bool(x) and len(x) >= least and not _disclaims(x)
+
+
+def _object(*fields: str) -> Callable[[str | None], bool]:
+    """A JSON object with these fields."""
+
+    def valid(x: str | None) -> bool:
+        try:
+            return set(fields) <= set(json.loads(x or ""))
+        except (ValueError, TypeError):
+            return False
+
+    return valid
+
+
+#: Generators over items(id, title, summary, extracted_text, comments); the texts asked of them are the model's own affair.
+GENERATORS = {
+    "tags": Generator(("title", "summary"), bool, lambda: F.to_json(token_tags(F.concat_ws(" ", "title", "summary")))),
+    "summary": Generator(("title", "extracted_text"), _bulleted(120), lambda: to_markdown(summary_bullets(F.col("title"), F.col("summary")))),
+    "lite_summary": Generator(("title", "summary"), _bulleted(80), lambda: to_markdown(summary_bullets(F.col("title"), F.col("summary")))),
+    "title_only": Generator(("title",), bool, lambda: F.array_join(title_only(F.col("title")), "\n")),
+    "bundle": Generator(("title", "extracted_text"), _object("summary", "bias"), lambda: F.to_json(F.struct(summary_bullets(F.col("title"), F.col("summary")).alias("summary")))),
+    "trust": Generator(("title", "extracted_text"), _object("whats_missing", "so_what", "framing"), lambda: F.to_json(fallback_trust())),
+    "reaction": Generator(("title", "comments"), bool, lambda: reaction(F.col("comments"))),
+    "bias": Generator(("title", "extracted_text"), _object("vestedInterests", "framingBias", "confidence"), lambda: F.lit("")),
+    "missing": Generator(("title", "extracted_text"), _long(1), lambda: F.lit("")),
+    "impact": Generator(("title", "extracted_text"), _object("shortTerm", "longTerm"), lambda: F.lit("")),
+    "claims": Generator(("title", "extracted_text"), _object("claims"), lambda: F.lit('{"claims":[]}')),
+    "long_text": Generator(("title", "extracted_text"), _long(400), lambda: F.lit("")),
+}
+
+
 def with_tags(items: DataFrame, model: Model | None = None) -> DataFrame:
     """Tags as JSON; by single words without a model."""
-    return generated(items, "id", ["title", "summary"], model, bool, F.to_json(token_tags(F.concat_ws(" ", "title", "summary"))))
+    return GENERATORS["tags"](items, model)
 
 
 def with_vectors(items: DataFrame, vectors: DataFrame | None = None, model: Model | None = None) -> DataFrame:
@@ -48,7 +121,7 @@ def with_vectors(items: DataFrame, vectors: DataFrame | None = None, model: Mode
     if vectors is not None:
         return items.join(vectors, "id", "left")
     text = items.withColumn("_text", embedding_text(F.col("title"), F.col("description"), F.col("summary"), F.col("extracted_text")))
-    return generated(text, "id", ["_text"], model, bool, F.lit(None).cast("string")).withColumn("embedding", F.from_json("output", "array<double>")).drop("_text", "output")
+    return generated(text, "id", ["_text"], model, bool, F.lit(None).cast("string"), attempts=3).withColumn("embedding", F.from_json("output", "array<double>")).drop("_text", "output")
 
 
 def title_only(title: Column) -> Column:

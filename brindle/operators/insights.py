@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,16 +79,19 @@ def pack(perspectives: list[dict], least: float = 0.06, most: int = 3) -> list[l
 
 
 def subgroups(groups: DataFrame, keep: int = 5) -> DataFrame:
-    """group_id, subgroup, ids: groups of at most `keep` perspectives as they are, larger ones packed. A group is one task's fold."""
-    rows = groups.select(F.col("id").alias("group_id"), F.explode("perspectives").alias("p"), F.size("perspectives").alias("n"))
-    rows = rows.select("group_id", "n", F.col("p.id").cast("string").alias("id"), F.col("p.source").alias("source"), "p.published_at", tokens(F.col("p.title"), False).alias("tokens"), good_bullets(F.col("p.summary")).alias("good"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("published_at", ascending=False, kind="stable")
-        sets = [pdf["id"].tolist()] if pdf["n"].iloc[0] <= keep else pack(pdf.to_dict("records"))
-        return pd.DataFrame({"group_id": pdf["group_id"].iloc[0], "subgroup": range(len(sets)), "ids": sets})
-
-    return rows.groupBy("group_id").applyInPandas(run, f"group_id {groups.schema['id'].dataType.simpleString()}, subgroup int, ids array<string>")
+    """group_id, subgroup, ids: groups of at most `keep` perspectives as they are, newest first; larger ones, a row each, are packed."""
+    one = lambda p, i: F.struct(p["published_at"].alias("at"), (-i).alias("i"), p["id"].cast("string").alias("id"), p["source"].alias("source"), p["title"].alias("title"), p["summary"].alias("summary"))
+    rows = groups.select(F.col("id").alias("group_id"), F.sort_array(F.transform("perspectives", one), asc=False).alias("ps"))
+    whole = rows.where(F.size("ps").between(1, keep)).select("group_id", F.lit(0).alias("subgroup"), F.col("ps.id").alias("ids"))
+    parts = F.transform("ps", lambda p: F.struct(p["id"].alias("id"), p["source"].alias("source"), tokens(p["title"], False).alias("tokens"), good_bullets(p["summary"]).alias("good")))
+    kind = f"group_id {groups.schema['id'].dataType.simpleString()}, subgroup int, ids array<string>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(g, k, ids) for g, ps in zip(frame["group_id"], frame["ps"], strict=True) for k, ids in enumerate(pack(list(ps)))]
+            yield pd.DataFrame(found, columns=["group_id", "subgroup", "ids"])
+
+    return whole.unionByName(rows.where(F.size("ps") > keep).select("group_id", parts.alias("ps")).mapInPandas(run, kind))
 
 
 def chosen_image(candidates: Column, page_image: Column, stored: DataFrame, items: DataFrame, placeholder: str = "/placeholder.svg", least_width: int = 300, most: int = 4000, favicon: Column | None = None) -> DataFrame:

@@ -301,8 +301,8 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
 def _folded(tokens: str) -> str:
     """Leader clustering of all documents in order of their ids, a row a step: leads(doc_id, lead). Similar pairs are found first."""
     return f"""
-with recursive t as (select doc_id, {tokens} as tok, row_number() over (order by doc_id) as pos from documents), e as (select doc_id, unnest(tok) as w, len(tok) as n from t),
-p as (select a, b, m / (na + nb - m) as sim from (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by all) where m / (na + nb - m) >= 0.25),
+with recursive t as materialized (select doc_id, {tokens} as tok, row_number() over (order by doc_id) as pos from documents), e as (select doc_id, unnest(tok) as w, len(tok) as n from t),
+p as materialized (select a, b, m / (na + nb - m) as sim from (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as m from e a join e b on a.w = b.w and a.doc_id < b.doc_id group by all) where m / (na + nb - m) >= 0.25),
 s(pos, doc_id, lead, leaders) as (
  select 0::bigint, null::bigint, null::bigint, []::bigint[]
  union all
@@ -318,14 +318,6 @@ def title_leader_cluster(spark: SparkSession, d: str) -> DataFrame:
     return cluster.title_leaders(rows, 0.25).select("id", "leader")
 
 
-@query()
-def topic_cluster(spark: SparkSession, d: str) -> DataFrame:
-    """Topic clustering with moving mean vectors, all rows in one fold; rows only, as SQL has no such fold."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = _titled(spark, d).join(v, "id", "left").withColumn("tokens", similarity.tokens(F.col("title"))).withColumn("domain", F.col("source"))
-    return cluster.topic_leaders(rows)
-
-
 _COLON = r"regexp_replace(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '\[[^\]]*\]', ' ', 'g'), '\([^)]*\)', ' ', 'g')"
 _CURATION = _TOK.replace(_TITLE, rf"(case when strpos({_COLON}, ':') between 2 and 30 then regexp_replace(substr({_COLON}, strpos({_COLON}, ':') + 1), '^\s+|\s+$', '', 'g') else {_COLON} end)")
 _GROUP_IMAGE = "case when doc_id % 3 = 0 then concat('/img/', doc_id, '.png') when doc_id % 3 = 1 then '/placeholder.svg' end"

@@ -6,12 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import tags, text, trust, urls
+from ..functions import similarity, tags, text, trust, urls
 from ..functions.values import BOOSTED_SOURCES, SOURCE_TYPES
-from ..operators import aggregates, dedupe, enrich, filters, insights, joins, rank, views
+from ..operators import aggregates, cluster, dedupe, enrich, filters, insights, joins, rank, views
 from ..sources import feeds, sinks
+from ..streaming import ingest
 from . import build, serving
-from .queries import _HAY, _TAGGED, words_in
+from .queries import _HAY, _TAGGED, _TOK, words_in
 from .registry import NOW, table, texts
 from .registry import query as registered
 
@@ -671,3 +672,129 @@ def cached_batches(spark: SparkSession, d: str) -> DataFrame:
     if expired is not None:
         raise ValueError("an expired batch was read")
     return fresh.select("id", "v", F.lit("fresh").alias("kind")).unionByName(old.select("id", "v", F.lit("stale").alias("kind")))
+
+
+# -- folds, packs, generators, streams
+
+
+@query("with p as (select l_orderkey as g, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber desc) - 1 as k, count(*) over (partition by l_orderkey) as n from lines), s as (select g, case when n <= 5 then 0 else k // 3 end as sub, list(k::varchar order by k) as ids, count(*) as m, first(n) as n from p group by 1, 2) select g, (row_number() over (partition by g order by sub) - 1)::int as sub, array_to_string(ids, '|') as ids from s where n <= 5 or m > 1")
+def subgroup_packs(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of over five perspectives packed by threes of like titles and unlike sources; a single one left over goes."""
+    from pyspark.sql import Window
+
+    p = _lines(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"))) - 1)
+    title = F.concat_ws(" ", *(F.concat(F.lit(w), F.floor(F.col("k") / 3)) for w in ("aaa", "bbb")))
+    fields = F.struct(F.col("k").cast("string").alias("id"), F.concat(F.lit("S"), F.col("k") % 3).alias("source"), title.alias("title"), F.lit("- one\n- two").alias("summary"), (-F.col("k")).alias("published_at"))
+    out = insights.subgroups(p.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(fields).alias("perspectives")))
+    return out.select(F.col("group_id").alias("g"), F.col("subgroup").alias("sub"), F.array_join("ids", "|").alias("ids"))
+
+
+@query("with c as (select event_id as id, case when event_id % 3 > 0 then 'v' || event_id % 7 else 't' || event_id % 11 end as c from events), l as (select c, min(id) as leader from c group by 1) select id, leader from c join l using (c)")
+def near_duplicate_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicates by vector where there is one, else by tokens: seven vectors and eleven titles, told apart."""
+    vector = F.when(F.col("event_id") % 3 > 0, F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(i == F.col("event_id") % 7, 1.0).otherwise(0.0)))
+    tokens = F.when(F.col("event_id") % 3 == 0, F.array(F.concat(F.lit("title"), F.col("event_id") % 11))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("seq"), tokens.alias("tokens"), vector.alias("embedding"))
+    return cluster.near_leaders(rows).select("id", "leader")
+
+
+@query(
+    f"""with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), g as ({_TAGGED.removeprefix('with t as (').removesuffix(')')}),
+w as (select doc_id, unnest(tok) as w, len(tok) as n from (select doc_id, {_TOK} as tok from documents)), likely as (select b.doc_id, map(list(a.doc_id order by a.doc_id), list(m / (a.n + b.n - m) order by a.doc_id)) as likes from (select a.doc_id as a, b.doc_id as b, count(*) as m from w a join w b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2) p
+ join (select distinct doc_id, n from w) a on a.doc_id = p.a join (select distinct doc_id, n from w) b on b.doc_id = p.b group by 1),
+t as materialized (select d.doc_id, likes, list_filter(g.tags, lambda x: x not in ('ai', 'general', 'frontend', 'devtools', 'data')) as tags, d.source as dom, v.e, sqrt(list_dot_product(v.e, v.e)) as size, row_number() over (order by d.doc_id) as pos from documents d join g using (doc_id) left join likely using (doc_id) left join v on vec_id = d.doc_id),
+s(pos, doc_id, lead, state) as (
+ select 0::bigint, null::bigint, null::bigint, []::struct(lead bigint, tags varchar[], dom varchar, mean double[], size double, n bigint)[]
+ union all
+ select t.pos, t.doc_id, coalesce(b.lead, t.doc_id), case when b.lead is null then list_append(s.state, {{'lead': t.doc_id, 'tags': t.tags, 'dom': t.dom, 'mean': t.e, 'size': t.size, 'n': 1::bigint}}) else s.state[1:b.i - 1] || [b.changed] || s.state[b.i + 1:] end
+ from s join t on t.pos = s.pos + 1
+ left join lateral (select lead, i, {{'lead': lead, 'tags': list_distinct(list_concat(x.tags, t.tags)), 'dom': x.dom, 'mean': moved, 'size': sqrt(list_dot_product(moved, moved)), 'n': x.n + 1}} as changed from (
+   select *, case when t.e is null then x.mean when x.mean is null then t.e else list_transform(list_zip(x.mean, t.e), lambda z: z[1] + (z[2] - z[1]) / (x.n + 1)) end as moved from (
+    select lead, i, x, vec, least(1, least(1, base + case when common >= 2 then 0.25 * common / greatest(1, least(len(t.tags), len(x.tags))) else 0 end) + case when x.dom = t.dom then 0.05 else 0 end) as score from (
+     select x.lead as lead, i, x, len(list_intersect(x.tags, t.tags)) as common, x.mean is not null and t.e is not null as vec, case when x.mean is not null and t.e is not null then list_dot_product(x.mean, t.e) / (x.size * t.size) else coalesce(t.likes[x.lead], 0) end as base
+     from (select unnest(s.state) as x, generate_subscripts(s.state, 1) as i)) order by score desc, i limit 1) where score >= case when vec then 0.78 else 0.22 end)) b on true
+), l as (select doc_id, lead from s where pos > 0), n as (select lead, count(*) as n from l group by 1)
+select l.doc_id as id, l.lead as leader from l join n using (lead) where n.n >= 2"""
+)
+def topic_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """Topic clustering of all documents with moving mean vectors, tag and domain bonuses."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = texts(spark, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), similarity.tokens(F.substring_index("text", "\n", 1)).alias("tokens"), F.col("source").alias("domain"), tags.topic_tags(F.col("text"), F.lit("")).alias("tags"))
+    return cluster.topic_leaders(rows.join(v, "id", "left")).select("id", "leader")
+
+
+@query(
+    """with k as (select doc_id as id, doc_id % 4 as k from documents) select id, case k when 0 then '- a' || chr(10) || '- b' || chr(10) || '- c' || chr(10) || '- ' || repeat('d', 120) when 1 then 'T' when 2 then '- one' || chr(10) || '- two' else '- one' || chr(10) || '- two' end as summary,
+case k when 0 then '{"claims":[1]}' else '{"claims":[]}' end as claims, case when k = 3 then 'third time' else '- T' || chr(10) || '- Only the headline was available for this item.' end as title_only from k""".replace("when 1 then 'T' when 2", "when 1 then '- T' when 2")
+)
+def generated_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Generators with a model that fails at first, gives what isn't valid, or needs a third attempt."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("T").alias("title"), F.when(F.col("doc_id") % 4 == 1, "").otherwise("- one\n- two").alias("summary"), F.col("doc_id").cast("string").alias("extracted_text"))
+    good = "- a\n- b\n- c\n- " + "d" * 120
+
+    def summaries(rows, strict):
+        if not strict:
+            raise ConnectionError
+        return [good if int(t) % 4 == 0 else "As an AI" if int(t) % 4 == 2 else "- too short" for t in rows["extracted_text"]]
+
+    def claims(rows, strict):
+        return ['{"claims":[1]}' if int(t) % 4 == 0 else "none" for t in rows["extracted_text"]]
+
+    of = enrich.GENERATORS
+    a = of["summary"](docs, summaries, concurrency=2).select("id", F.col("output").alias("summary"))
+    b = of["claims"](docs, claims).select("id", F.col("output").alias("claims"))
+    asked: dict = {}
+
+    def third(rows, strict):
+        out = []
+        for t in rows["x"]:
+            asked[t] = asked.get(t, 0) + 1
+            out.append("third time" if int(t) % 4 == 3 and asked[t] == 3 else None)
+        return out
+
+    named = docs.withColumn("x", F.col("extracted_text"))
+    c = enrich.generated(named, "id", ["x"], third, bool, F.array_join(enrich.title_only(F.col("title")), "\n"), attempts=3).select("id", F.col("output").alias("title_only"))
+    return a.join(b, "id").join(c, "id")
+
+
+@query("select doc_id as id, case doc_id % 6 when 0 then 'jpg' when 1 then 'png' when 2 then 'gif' else 'webp' end as extension from documents where doc_id % 6 < 4 and doc_id % 50 > 0")
+def image_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Stored images by their content; empty and too large ones and other files go."""
+    content = F.expr("case doc_id % 6 when 0 then unhex('FFD8FF00') when 1 then unhex('89504E470D0A') when 2 then unhex('4749463839') when 3 then unhex('524946460000000057454250') when 4 then unhex('25504446') else unhex('') end")
+    files = table(spark, d, "documents").select(F.col("doc_id").alias("id"), content.alias("content"), F.when(F.col("doc_id") % 50 == 0, 600_001).otherwise(F.length(content)).alias("length"))
+    return feeds.image_kinds(files).select("id", "extension")
+
+
+@query("select kind, n from (values ('good', 2), ('broken', -1), ('missing', -1)) as v(kind, n)")
+def json_files(spark: SparkSession, d: str) -> DataFrame:
+    """JSON files: one that parses, one that is cut short, one that isn't there."""
+    out = []
+    for kind, body in (("good", '[{"a":1},{"a":2}]'), ("broken", '[{"a":1},'), ("missing", None)):
+        path = sinks.scratch_path(spark, kind)
+        if body is not None:
+            spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
+        rows = sinks.json_or_none(spark, path, "a int")
+        out.append((kind, -1 if rows is None else rows.count()))
+    return spark.createDataFrame(out, "kind string, n int")
+
+
+@query(
+    """with recursive k as (select r_name as topic, (row_number() over (order by r_regionkey) - 1)::int as t, unnest([0, 1, 2]) as i from region), w as (select topic, t, i, 'hn-' || topic || '-' || i as s from k), f(topic, t, i, s, n, r) as (select topic, t, i, s, 0, 0::hugeint from w union all select topic, t, i, s, n + 1, (r * 31 + ascii(s[n + 1])) % 4294967296 from f where n < length(s))
+select 'hn-' || lower(to_hex(r::bigint)) as id, topic || ' #' || (i + 1) as title, 1704067200 - 60 * (t * 5 + i) as published from f where n = length(s)"""
+)
+def mock_connector_rows(spark: SparkSession, d: str) -> DataFrame:
+    topics = [r[0] for r in table(spark, d, "region").orderBy("r_regionkey").select("r_name").limit(100).collect()]  # the reader's topics, a parameter
+    rows = feeds.mock_connector(spark, "hn", topics, "2024-01-01 00:00:00")
+    start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rows.select("id", "title", (F.unix_seconds("published_at") - start + 1704067200).alias("published"))
+
+
+@query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id) as r from events) where r = 1")
+def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The latest row of each key, kept by a stream that reads the table as it lands."""
+    events = table(spark, d, "events")
+    events.repartition(3).write.parquet(landed := sinks.scratch_path(spark, "landed"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    state = sinks.scratch_path(spark, "state")
+    ingest.upsert_latest(stream, "user_id", "ts", "event_id", state, sinks.scratch_path(spark, "progress")).awaitTermination()
+    return sinks.current(spark, state).select("user_id", "event_id", "ts")

@@ -150,8 +150,12 @@ def mock_connector(spark: SparkSession, connector: str, topics: list[str], now:
     return rows.select(F.concat(F.lit(f"{connector}-"), rolling31_hex(seed)).alias("id"), F.concat_ws(" ", F.col("topic"), F.concat(F.lit("#"), (F.col("i") + 1).cast("string"))).alias("title"), published.alias("published_at"))
 
 
-def images(spark: SparkSession, path: str, most_bytes: int = 600_000) -> DataFrame:
-    """Landed images that are neither empty nor too large, by content."""
+def image_kinds(files: DataFrame, most_bytes: int = 600_000) -> DataFrame:
+    """Of files(content, length) the images that are neither empty nor too large, with the extension that their content shows."""
     kinds = F.when(F.hex(F.substring("content", 1, 3)) == "FFD8FF", "jpg").when(F.hex(F.substring("content", 1, 4)) == "89504E47", "png").when(F.hex(F.substring("content", 1, 4)) == "47494638", "gif").when(F.hex(F.substring("content", 9, 4)) == "57454250", "webp")
-    rows = spark.read.format("binaryFile").load(path).where(F.col("length").between(1, most_bytes))
-    return rows.withColumn("extension", kinds).where("extension is not null")
+    return files.where(F.col("length").between(1, most_bytes)).withColumn("extension", kinds).where("extension is not null")
+
+
+def images(spark: SparkSession, path: str, most_bytes: int = 600_000) -> DataFrame:
+    """Landed images."""
+    return image_kinds(spark.read.format("binaryFile").load(path), most_bytes)
