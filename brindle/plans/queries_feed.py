@@ -13,6 +13,7 @@ from ..sources import feeds, sinks
 from ..streaming import ingest
 from . import build, serving
 from .queries import _HAY, _TAGGED, _TOK, words_in
+from .queries_text import NOW_S
 from .registry import NOW, table, texts
 from .registry import query as registered
 
@@ -63,7 +64,7 @@ r as (select *, row_number() over (partition by url order by since desc, source,
 def serving_feed(spark: SparkSession, d: str) -> DataFrame:
     """The serving catalogue's feeds as one: a feed that failed or can't be parsed is left out, the newest item of each URL stays."""
     p = table(spark, d, "pages").withColumn("source", F.col("page_id") % 5)
-    item = F.expr("concat('<item><title>T', page_id, '</title><link>', case when page_id % 3 > 0 then concat('https://x.org/', page_id % 40) else concat('https://y.org/', page_id) end, '</link><isoDate>', date_format(timestamp_seconds(1704067200 + page_id % 50), \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z</isoDate></item>')")
+    item = F.expr("concat('<item><title>T', page_id, '</title><link>', case when page_id % 3 > 0 then concat('https://x.org/', page_id % 40) else concat('https://y.org/', page_id) end, '</link><isoDate>2024-01-01T00:00:', lpad(page_id % 50, 2, '0'), 'Z</isoDate></item>')")
     bad = F.expr("case when page_id % 11 = 0 then '<item><title></title></item>' end")
     body = p.groupBy("source").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", F.coalesce(bad, item).alias("x")))), lambda s: s["x"]), ""), F.lit("</channel></rss>")).alias("body"))
     landed = body.withColumn("body", F.when(F.col("source") == 2, "<rss><chan").otherwise(F.col("body")))
@@ -617,7 +618,7 @@ def _built_rows(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return docs.join(vectors, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("seq"), F.col("source").alias("source_id"), F.lit("editorial").alias("source_type"), F.substring_index("text", "\n", 1).alias("title"), F.expr(_BUILT["url"]).alias("url"), F.expr(_BUILT["url"]).alias("canonical_url"), F.col("text").alias("summary"), F.col("text").alias("extracted_text"),
-        F.lit("site.org").alias("domain"), F.timestamp_seconds(F.expr(_BUILT["at"])).alias("published_at"), "embedding", F.lit(None).cast("string").alias("image_url"),
+        F.lit("site.org").alias("domain"), (F.lit(NOW).cast("timestamp") + F.make_dt_interval(secs=F.expr(_BUILT["at"]) - NOW_S)).alias("published_at"), "embedding", F.lit(None).cast("string").alias("image_url"),
     )
 
 
@@ -630,7 +631,8 @@ def built_items(spark: SparkSession, d: str) -> DataFrame:
     """Items merged with the last snapshot: unseen addresses, the latest of each, recent ones, the newest 250, without blocked terms."""
     rows = _built_rows(spark, d).drop("embedding")
     out = build.items(rows.where("seq % 3 > 0"), rows.where("seq % 3 = 0"), NOW, most=250)
-    return out.select("id", "url", F.unix_seconds("published_at").alias("published"))
+    since = F.unix_seconds("published_at") - F.unix_seconds(F.lit(NOW).cast("timestamp")) + NOW_S  # NOW is of the session's time zone
+    return out.select("id", "url", since.alias("published"))
 
 
 @query(
@@ -780,7 +782,7 @@ def json_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """with recursive k as (select r_name as topic, (row_number() over (order by r_regionkey) - 1)::int as t, unnest([0, 1, 2]) as i from region), w as (select topic, t, i, 'hn-' || topic || '-' || i as s from k), f(topic, t, i, s, n, r) as (select topic, t, i, s, 0, 0::hugeint from w union all select topic, t, i, s, n + 1, (r * 31 + ascii(s[n + 1])) % 4294967296 from f where n < length(s))
-select 'hn-' || lower(to_hex(r::bigint)) as id, topic || ' #' || (i + 1) as title, 1704067200 - 60 * (t * 5 + i) as published from f where n = length(s)"""
+select 'hn-' || lower(to_hex(r::bigint)) as id, topic || ' #' || (i + 1) as title, (1704067200 - 60 * (t * 5 + i))::bigint as published from f where n = length(s)"""
 )
 def mock_connector_rows(spark: SparkSession, d: str) -> DataFrame:
     topics = [r[0] for r in table(spark, d, "region").orderBy("r_regionkey").select("r_name").limit(100).collect()]  # the reader's topics, a parameter
