@@ -76,7 +76,8 @@ def social_score(has_url: Column, matched: Column, likes: Column, reposts: Colum
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with the place of each row in an order of all rows, from 1: rows are sorted in ranges, and ranges numbered by their sizes."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
+    rows = scratch(df, "unranked")  # ranges are found by a scan of their own, which should not compute the rows again
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
     rows = scratch(rows, "ranked")  # the numbers stay
     part = F.shiftright("_i", 33)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

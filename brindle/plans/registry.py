@@ -27,7 +27,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     """A table whose rows cost much work each: dealt to all cores if its files are too few for them."""
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
