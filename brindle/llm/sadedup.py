@@ -51,7 +51,7 @@ GRAM = 20
 #: Places of a minimizer below which it is never hot.
 HOT = 10_000
 #: Bytes that a shard's sort may hold in memory before it uses scratch files.
-MEMORY = 64 << 20
+MEMORY = 256 << 20
 DOCS, HASHES, SHARED, PLACES, PIECES, MARKS = range(10, 16)
 #: Stands for a null doc_id.
 LAST = np.iinfo(np.int64).max
