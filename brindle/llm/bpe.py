@@ -28,7 +28,7 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 NO_RANK = np.int64(1 << 40)
 WIDE = 512
 #: Cells of a matrix, and text parts whose ids are remembered by a worker; what came first stays.
-CELLS, WORDS = 1 << 20, 600_000
+CELLS, WORDS = 1 << 20, 300_000
 
 
 class PairTable:

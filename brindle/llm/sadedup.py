@@ -46,7 +46,7 @@ from .esais import piece_of, scratch, suffixes
 from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage, trimmed
 
 #: Bytes of text in a chunk; bytes that are hashed at a time.
-CHUNK, STEP = 8 << 20, 1 << 19
+CHUNK, STEP = 6 << 20, 1 << 19
 GRAM = 20
 #: Places of a minimizer below which it is never hot.
 HOT = 10_000
