@@ -93,14 +93,16 @@ def drop_spent(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-#: Bytes of text whose share of a corpus-wide table is a bucket, which a task holds whole.
-BUCKET = 24 << 20
+#: Bytes of text whose share of a corpus-wide table is a bucket, which a task holds whole: at least, at most; between them
+#: it grows with the root of the input, so that messages between chunks and buckets don't grow with its square.
+BUCKET, LARGEST_BUCKET = 8 << 20, 64 << 20
 
 
 def sized(docs: DataFrame) -> tuple[int, int]:
     """Bytes of all texts, and how many buckets they ask for: at least spark.sql.shuffle.partitions."""
     n = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    return n, max(shuffle_partitions(docs.sparkSession), -(-n // BUCKET))
+    size = min(LARGEST_BUCKET, max(BUCKET, int(BUCKET * (n / (64 * BUCKET)) ** 0.5)))
+    return n, max(shuffle_partitions(docs.sparkSession), -(-n // size))
 
 
 def pack(a: np.ndarray, delta: bool = False, level: int = 1) -> bytes:

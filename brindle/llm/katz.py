@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gathered, pack, sized, small_batches, unpack
-from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage
+from .stages import ROWS, drop_kind, frame, grouped, join, record_batch, rows_of, split, stage
 
 #: Bytes of text in a chunk.
 CHUNK = 12 << 20
@@ -288,10 +288,11 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each document."""
     spark = docs.sparkSession
     small_batches(spark)
-    _, buckets = sized(docs)
+    total, buckets = sized(docs)
+    chunks = -(-total // CHUNK)
 
     a = stage(_tokenise(docs, buckets), "katz-words")
-    b = stage(rows_of(a, WORDS).groupBy("bucket").applyInPandas(bucket_words, ROWS), "katz-unigrams")
+    b = stage(grouped(rows_of(a, WORDS), "bucket", buckets).applyInPandas(bucket_words, ROWS), "katz-unigrams")
     drop_kind(a, WORDS)
     sums = {r.bucket: np.frombuffer(r.data, np.int64) for r in rows_of(b, SUMS).collect()}  # a few numbers a bucket
     start = np.concatenate(([0], np.cumsum([sums[k][0] if k in sums else 0 for k in range(buckets)])))
@@ -301,8 +302,8 @@ def scores(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(whole[3:], int(whole[1]), int(whole[2]))
     hot = max(1000, unigrams.total // (8 * buckets))  # so there are at most 8 * buckets hot contexts
     start = start[:-1]
-    pairs = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).groupBy("chunk").applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS)
-    pairs = pairs.groupBy("bucket").applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS)
+    pairs = grouped(rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)), "chunk", chunks).applyInPandas(lambda x: chunk_pairs(x, start, buckets, hot), ROWS)
+    pairs = grouped(pairs, "bucket", buckets).applyInPandas(lambda x: bucket_pairs(x, unigrams, hot), ROWS)
     d = stage(pairs, "katz-bigrams")
     n = np.sum([*(np.frombuffer(r.data, np.int64) for r in rows_of(d, SUMS).collect()), np.zeros(K + 3, np.int64)], axis=0)
     of_pairs = discounts(n)
@@ -313,4 +314,4 @@ def scores(docs: DataFrame) -> DataFrame:
             hot_contexts[i] = hot_contexts.get(i, 0) + x
     known = spark.sparkContext.broadcast((start, hot_contexts))
     out = rows_of(a, DOCS).unionByName(rows_of(b, WORD_REPLY)).unionByName(rows_of(d, PAIR_REPLY))
-    return out.groupBy("chunk").applyInPandas(lambda x: chunk_scores(x, known.value[0], buckets, hot, unigrams, of_pairs, known.value[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return grouped(out, "chunk", chunks).applyInPandas(lambda x: chunk_scores(x, known.value[0], buckets, hot, unigrams, of_pairs, known.value[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

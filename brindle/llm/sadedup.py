@@ -43,7 +43,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import gathered, pack, sized, small_batches, spent_by, unpack
 from .esais import piece_of, scratch, suffixes
-from .stages import ROWS, drop_kind, frame, join, record_batch, rows_of, split, stage, trimmed
+from .stages import ROWS, drop_kind, frame, grouped, join, record_batch, rows_of, split, stage, trimmed
 
 #: Bytes of text in a chunk; bytes that are hashed at a time.
 CHUNK, STEP = 6 << 20, 1 << 19
@@ -296,7 +296,7 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_te
     spark = docs.sparkSession
     small_batches(spark)
     total, buckets = sized(docs)
-    hot = max(HOT, total // (GRAM * 8 * buckets))
+    hot, chunks = max(HOT, total // (GRAM * 8 * buckets)), -(-total // CHUNK)
     doc, raw = F.col("doc_id").cast("long"), F.col("text").cast("string")
     kept = docs.select(*(F.col(f"`{c}`") for c in keep)).schema if keep else None
     rows = docs.select(doc.alias("doc"), F.coalesce(raw, F.lit("")).alias("text"), raw.isNull().alias("none"), *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
@@ -328,10 +328,10 @@ def dedup(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), with_te
     fields = [StructField("doc_id", LongType()), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())]
     fields += [StructField("text", StringType())] * with_text + ([StructField("row", kept)] if keep else [])
     a = stage(rows.mapInArrow(hashes, ROWS), "sadedup-hashes")
-    b = stage(rows_of(a, HASHES).groupBy("bucket").applyInPandas(lambda x: bucket_shared(x, hot), ROWS), "sadedup-shared")
+    b = stage(grouped(rows_of(a, HASHES), "bucket", buckets).applyInPandas(lambda x: bucket_shared(x, hot), ROWS), "sadedup-shared")
     drop_kind(a, HASHES)
-    c = stage(rows_of(a, DOCS).unionByName(rows_of(b, SHARED)).groupBy("chunk").applyInPandas(lambda x: chunk_pieces(x, length, buckets), ROWS), "sadedup-pieces")
-    d = stage(rows_of(c, PIECES).groupBy("bucket").applyInPandas(lambda x: bucket_marks(x, length, memory), ROWS), "sadedup-marks")
+    c = stage(grouped(rows_of(a, DOCS).unionByName(rows_of(b, SHARED)), "chunk", chunks).applyInPandas(lambda x: chunk_pieces(x, length, buckets), ROWS), "sadedup-pieces")
+    d = stage(grouped(rows_of(c, PIECES), "bucket", buckets).applyInPandas(lambda x: bucket_marks(x, length, memory), ROWS), "sadedup-marks")
     drop_kind(c, PIECES)
     parts = rows_of(a, DOCS).unionByName(rows_of(c, PLACES)).unionByName(rows_of(d, MARKS))
-    return spent_by(parts.groupBy("chunk").applyInArrow(finish, StructType(fields)), None, a, b, c, d)
+    return spent_by(grouped(parts, "chunk", chunks).applyInArrow(finish, StructType(fields)), None, a, b, c, d)

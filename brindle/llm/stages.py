@@ -11,10 +11,10 @@ import struct
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import drop_path, new_path, tidy
+from .common import drop_path, new_path, shuffle_partitions, tidy
 
 ROWS = "chunk long, kind int, bucket int, data binary"
 ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
@@ -68,3 +68,8 @@ def rows_of(df: DataFrame, *kinds: int) -> DataFrame:
     if path := getattr(df, "_brindle_path", None):  # a file listing of its own: other kinds may be deleted
         df = spark.read.schema(ROWS).parquet(path)
     return df.where(F.col("kind").isin(*kinds)).select("chunk", "kind", "bucket", "data")
+
+
+def grouped(df: DataFrame, key: str, tasks: int) -> GroupedData:
+    """df by chunk or bucket, in so many tasks: what a task reads doesn't grow with the input."""
+    return df.repartition(max(shuffle_partitions(df.sparkSession), tasks), key).groupBy(key)
