@@ -799,4 +799,4 @@ def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
     state = sinks.scratch_path(spark, "state")
     ingest.upsert_latest(stream, "user_id", "ts", "event_id", state, sinks.scratch_path(spark, "progress")).awaitTermination()
-    return sinks.current(spark, state).select("user_id", "event_id", "ts")
+    return ingest.latest_table(spark, state, "user_id").select("user_id", "event_id", "ts")

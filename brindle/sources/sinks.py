@@ -22,6 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions of a table (those with a commit mark), in order."""
     at, fs = _path(spark, path)
@@ -43,8 +48,7 @@ def write_version(df: DataFrame, path: str, n: int, keep: int = 2, by: str | Non
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/v={n}")
     for old in versions(spark, path)[:-keep]:
-        at, fs = _path(spark, f"{path}/v={old}")
-        fs.delete(at, True)
+        remove(spark, f"{path}/v={old}")
 
 
 def publish(tables: dict[str, DataFrame], root: str, by_day: str | None = None) -> None:

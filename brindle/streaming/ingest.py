@@ -1,32 +1,79 @@
-"""Streaming ingest: upserts of the latest row of each key, and windowed counts with a watermark."""
+"""Streaming ingest: the latest row of each key in keyed state, and windowed counts with a watermark.
+
+The state lives in Spark's state store (RocksDB, whose checkpoints are logs of changes), so a micro-batch reads and writes the
+keys that it brings, however many there are already. What changed is appended to the table as version n of its changes; readers
+take the last change of each key. fold() puts the changes into a base from time to time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedupe import latest
-from ..sources.sinks import current, write_version
+from ..sources.sinks import current, remove, versions, write_version
+
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextlib.contextmanager
+def _with_store(spark: SparkSession) -> Iterator[None]:
+    """Settings that a streaming query takes over when it starts."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
 
+def latest_rows(stream: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
+    """The newest row of each key so far; of equal times the one of least seq, whichever micro-batch brought it. Null times are the oldest."""
+    newest = F.max_by(F.struct(*(F.col(f"`{c}`") for c in stream.columns)), F.struct(F.col(ts), -F.col(seq)))
+    return stream.groupBy(F.col(key).alias("_key")).agg(newest.alias("_row")).select("_row.*")
 
-def upsert_latest(stream: DataFrame, key: str, ts: str, seq: str, state: str, checkpoint: str) -> StreamingQuery:
-    """Keeps in the versioned table at `state` the newest row of each key; of equal times the one that came first.
 
-    Each micro-batch joins the last version with its own rows and writes version n, so a batch that is run again
-    overwrites its own version only; the last two stay, and current() reads the last one.
+def upsert_latest(stream: DataFrame, key: str, ts: str, seq: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Keeps in the table the newest row of each key, as latest_rows() has it; latest_table() reads it.
+
+    A micro-batch n writes the rows of its own keys as version n of the table's changes. Run again, it overwrites that version
+    with the same rows.
     """
-    columns = stream.columns
 
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("_new", F.lit(1))
-        old = current(spark, state, before=n)
-        rows = new if old is None else old.withColumn("_new", F.lit(0)).unionByName(new)
-        kept = latest(rows, F.col(key), F.col(ts), F.struct("_new", seq)).select(*columns)
-        write_version(kept, state, n)
+    def append(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{table}/changes/v={n}")
+
+    with _with_store(stream.sparkSession):
+        return latest_rows(stream, key, ts, seq).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_table(spark: SparkSession, table: str, key: str) -> DataFrame | None:
+    """The table's rows: of each key the last change, else its row in the base. None if nothing was written yet."""
+    base = versions(spark, f"{table}/base")[-1:]
+    new = [v for v in versions(spark, f"{table}/changes") if not base or v > base[0]]
+    old = current(spark, f"{table}/base")
+    if not new:
+        return old
+    rows = spark.read.option("basePath", f"{table}/changes").parquet(*(f"{table}/changes/v={v}" for v in new)).withColumn("v", F.col("v").cast("long"))
+    columns = [c for c in rows.columns if c != "v"]
+    if old is not None:
+        rows = rows.unionByName(old.withColumn("v", F.lit(-1).cast("long")))
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in columns)), "v").alias("_row")).select("_row.*")
+
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def fold(spark: SparkSession, table: str, key: str) -> None:
+    """Writes the table as a base, after which readers need no change up to now. Changes that the base before needs stay until the next fold."""
+    new, before = versions(spark, f"{table}/changes"), versions(spark, f"{table}/base")
+    if new and (not before or new[-1] > before[-1]):
+        write_version(latest_table(spark, table, key), f"{table}/base", new[-1])
+        for v in new:
+            if before and v <= before[-1]:
+                remove(spark, f"{table}/changes/v={v}")
 
 
 def windowed_counts(stream: DataFrame, ts: str, group: str, window: str = "1 day", late: str = "1 hour") -> DataFrame:

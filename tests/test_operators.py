@@ -166,7 +166,7 @@ def test_streaming_upsert_and_windows(spark, sf, tmp_path):
         events.where(F.dayofmonth("ts") % 3 == k).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
     read = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest.upsert_latest(read(), "user_id", "ts", "event_id", str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.user_id: r.ts for r in sinks.current(spark, str(tmp_path / "state")).collect()}
+    got = {r.user_id: r.ts for r in ingest.latest_table(spark, str(tmp_path / "state"), "user_id").collect()}
     assert got == {r.user_id: r.t for r in events.groupBy("user_id").agg(F.max("ts").alias("t")).collect()}
     q = ingest.windowed_counts(read(), "ts", "event_type", late="60 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
