@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .article import article_of
+
 # White space as JavaScript's \s has it, and HTML entities in the order of decoding.
 SPACE = r"[\t-\r    -     　﻿]"
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
@@ -76,9 +78,8 @@ def head_html(html: Column, limit: int = 64_000) -> Column:
 
 
 def article_text(html: Column, limit: int = 8000) -> Column:
-    """Paragraphs if they hold enough text, else all text; at most limit characters, null if empty."""
-    body = F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"), 1), " ")
-    text = F.when(F.length(strip_html(body)) >= 200, strip_html(body)).otherwise(strip_html(html, entities=False))
+    """The article by its blocks' density, else all text; at most limit characters, null if empty."""
+    text = F.coalesce(article_of(html), strip_html(html, entities=False))
     return F.nullif(F.substring(text, 1, limit), F.lit(""))
 
 

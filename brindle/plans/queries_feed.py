@@ -22,9 +22,9 @@ from .registry import query as registered
 LINES = "(select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey, min(l_shipdate) as l_shipdate, min(l_extendedprice) as l_extendedprice from lineitem group by 1, 2)"
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     """Registers SQL in which lines stands for LINES."""
-    return registered(sql.replace("from lines", f"from {LINES}"))
+    return registered(sql and sql.replace("from lines", f"from {LINES}"))
 
 
 # -- sources
@@ -57,6 +57,15 @@ def rss_items_parsed(spark: SparkSession, d: str) -> DataFrame:
     return items.select("page_id", "id", "title", "url", F.unix_seconds("published_at").alias("published"), "author", "summary", "domain", F.coalesce("image_url", F.lit("none")).alias("image"))
 
 
+@query()  # SQL has no parser; tests compare with a tree of the page
+def article_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What each address's last landed page gives: canonical URL, image, article."""
+    pages = texts(spark, d, "pages").select("page_id", "url", "html")
+    landed = dedupe.latest(pages, F.col("url"), F.col("page_id"), F.col("page_id"))
+    out = feeds.extracted(pages.select("page_id", "url"), landed.select("url", "html"))
+    return out.select("page_id", "canonical_url", F.coalesce("page_image", F.lit("none")).alias("image"), F.length("extracted_text").cast("long").alias("n"), F.md5("extracted_text").alias("digest"))
+
+
 @query(
     """with s as (select s_suppkey as k, s_suppkey % 5 as source, 's' || s_suppkey % 5 as name from supplier), i as (select page_id, page_id % 5 as source, case when page_id % 3 > 0 then 'https://x.org/' || page_id % 40 else 'https://y.org/' || page_id end as url, 1704067200 + page_id % 50 as since from pages where page_id % 5 <> 2 and page_id % 11 > 0),
 r as (select *, row_number() over (partition by url order by since desc, source, page_id) as r from i) select substr(sha256('k' || source || '|' || url), 1, 24) as id, url, since as published, 'Source ' || source as source from r where r = 1"""
