@@ -57,6 +57,28 @@ def rss_items_parsed(spark: SparkSession, d: str) -> DataFrame:
     return items.select("page_id", "id", "title", "url", F.unix_seconds("published_at").alias("published"), "author", "summary", "domain", F.coalesce("image_url", F.lit("none")).alias("image"))
 
 
+#: A document a page: RSS 2.0, Atom, RSS 1.0 in turn, or Atom with a prefix; of Atom, links of several kinds and texts of three types.
+_MIXED = """concat(case page_id % 4 when 0 then '<rss xmlns:atom="http://www.w3.org/2005/Atom"><channel><atom:link href="http://self.org/"/><item>' when 1 then '<feed xmlns="http://www.w3.org/2005/Atom"><link href="http://feed.org/"/><entry>'
+ when 2 then '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Feed</title></channel><item>' else '<x:feed xmlns:x="http://www.w3.org/2005/Atom"><x:entry>' end,
+ case when page_id % 4 = 3 then concat('<x:title>Story ', page_id, '</x:title><x:link href="http://site.org/', page_id, '"/><x:published>2024-01-02T03:04:05Z</x:published><x:author><x:name>Ann</x:name></x:author><x:summary type="html">&lt;i&gt;Some&lt;/i&gt; text</x:summary>')
+ when page_id % 4 = 1 then concat('<title type="html">Story ', page_id, '</title><link rel="edit" href="http://edit.org/"/>', case when page_id % 3 = 0 then '' else concat('<link rel="alternate" href="http://site.org/', page_id, '"/>') end, '<id>http://id.org/', page_id, '</id><updated>2024-01-02T03:04:05Z</updated><author><name> Ann </name></author>',
+  case page_id % 5 when 0 then '<content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>Some</p> <b>text</b></div></content>' when 1 then '<content type="html">&lt;p&gt;Some&lt;/p&gt; text</content>' else '<summary>Some &lt;p&gt; text</summary>' end)
+ else concat('<title>Story ', page_id, '</title><link>http://site.org/', page_id, '</link><description>Some text</description>', case page_id % 4 when 0 then '<pubDate>Tue, 2 Jan 2024 03:04:05 +0000</pubDate><author>Ann</author>' else '<dc:date>2024-01-02T03:04:05Z</dc:date><dc:creator>Ann</dc:creator>' end) end,
+ case page_id % 4 when 0 then '</item></channel></rss>' when 1 then '</entry></feed>' when 2 then '</item></rdf:RDF>' else '</x:entry></x:feed>' end)"""
+
+
+@query(
+    """with p as (select page_id, case when page_id % 4 = 1 and page_id % 3 = 0 then 'http://edit.org/' else 'http://site.org/' || page_id end as url from pages)
+select page_id, case page_id % 4 when 0 then 'rss' when 2 then 'rdf' else 'atom' end as format, substr(sha256('feed|' || url), 1, 24) as id, 'Story ' || page_id as title, url, 1704164645::bigint as published, 'Ann' as author,
+case when page_id % 4 = 1 and page_id % 5 > 1 then 'Some <p> text' else 'Some text' end as summary from p"""
+)
+def mixed_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Landed documents of three formats in one scan."""
+    rows = feeds.parse_rss(texts(spark, d, "pages").select("page_id", F.expr(_MIXED).alias("body")), "body")
+    items = feeds.rss_items(rows, "feed", "editorial", F.timestamp_seconds(F.lit(0)), keep=("page_id", "format"))
+    return items.select("page_id", "format", "id", "title", "url", F.unix_seconds("published_at").alias("published"), "author", "summary")
+
+
 @query()  # SQL has no parser; tests compare with a tree of the page
 def article_texts(spark: SparkSession, d: str) -> DataFrame:
     """What each address's last landed page gives: canonical URL, image, article."""

@@ -25,16 +25,64 @@ def catalogue(sources: DataFrame, queries: DataFrame) -> DataFrame:
     return feeds.unionByName(forum).unionByName(news)
 
 
-def read_rss(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Rows of landed RSS (item) or Atom (entry) files."""
-    return spark.read.format("xml").options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").schema(RSS).load(path)
+def read_rss(spark: SparkSession, path: str) -> DataFrame:
+    """Items of landed feed files of any of the formats, a document each."""
+    return parse_rss(spark.read.text(path, wholetext=True).withColumnRenamed("value", "body"), "body")
+
+
+# Name spaces of Atom and of RSS 1.0, and the roots of their documents.
+ATOM_SPACE, RSS1_SPACE = r"http://www\.w3\.org/2005/Atom", r"http://purl\.org/rss/1\.0/"
+FEED_ROOT, RDF_ROOT = r"<(?:[\w.-]+:)?feed[\s>]", r"<(?:[\w.-]+:)?RDF[\s>]"
+_TYPED = "struct<_VALUE:string,_type:string,div:string>"
+ENTRY = f"title {_TYPED}, link array<struct<_href:string,_rel:string>>, id string, published string, updated string, author array<struct<name:string>>, content {_TYPED}, summary {_TYPED}, `media:thumbnail` struct<_url:string>, `media:content` struct<_url:string>"
+_RDF = "`dc:date` string, `dc:creator` string, `content:encoded` string"
+
+
+def _fields(schema: str) -> str:
+    return ",".join(f.replace(" ", ":", 1) for f in schema.replace(", _corrupt_record string", "").split(", "))
+
+
+def _unprefixed(body: Column) -> Column:
+    """A document with the elements of its feed's name space without a prefix, if that name space has one."""
+    out = body
+    for space, root in ((ATOM_SPACE, FEED_ROOT), (RSS1_SPACE, RDF_ROOT)):
+        prefix = F.regexp_extract(body, rf"xmlns:([\w.-]+)\s*=\s*[\"']{space}[\"']", 1)
+        bare = F.regexp_replace(out, F.concat(F.lit(r"<(/?)\Q"), prefix, F.lit(r"\E:")), F.lit("<$1"))
+        out = F.when((prefix != "") & body.rlike(root), bare).otherwise(out)
+    return out
+
+
+def _typed(c: Column) -> Column:
+    """An Atom text as HTML: plain text is escaped, as tags in it are none."""
+    plain = F.replace(F.replace(c["_VALUE"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.coalesce(c["div"], F.when(c["_type"].isin("html", "xhtml"), c["_VALUE"]).otherwise(plain))
+
+
+def _link(links: Column) -> Column:
+    """The address of the alternate link, which needs no mark, else of the first."""
+    alternate = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return F.coalesce(F.get(alternate, F.lit(0)), F.get(links, F.lit(0)))["_href"]
 
 
 def parse_rss(df: DataFrame, body: str) -> DataFrame:
-    """Rows of landed RSS documents, an item each, with the other columns of df; what doesn't parse has no items."""
-    fields = ",".join(f.strip().replace(" ", ":", 1) for f in RSS.replace(", _corrupt_record string", "").split(", "))
-    parsed = F.from_xml(F.col(body), f"channel struct<item:array<struct<{fields}>>>", {"mode": "PERMISSIVE"})
-    return df.withColumn("_item", F.explode(parsed["channel"]["item"])).select(*(F.col(c) for c in df.columns if c != body), "_item.*")
+    """Rows of landed RSS 2.0, RSS 1.0 (RDF) and Atom documents, an item each, with the other columns of df and format; what doesn't parse has no items.
+
+    One scan with one schema reads all three. An Atom entry's link is that of its alternate page, its text is HTML by its type.
+    """
+    rss = _fields(RSS)
+    parsed = F.from_xml(_unprefixed(F.col(body)), f"channel struct<item:array<struct<{rss}>>>, item array<struct<{rss},{_fields(_RDF)}>>, entry array<struct<{_fields(ENTRY)}>>", {"mode": "PERMISSIVE"})
+    names = [f.split(" ")[0].strip("`") for f in RSS.split(", ")][:-1]
+    nothing = {n: F.lit(None) for n in names}
+
+    def item(kind: str, x: Column, **own: Column) -> Column:
+        return F.struct(F.lit(kind).alias("format"), *((own[n] if n in own else x[n] if kind != "atom" else nothing[n]).alias(n) for n in names))
+
+    rdf = lambda x: item("rdf", x, isoDate=F.coalesce(x["isoDate"], x["dc:date"]), creator=F.coalesce(x["creator"], x["dc:creator"]), content=F.coalesce(x["content"], x["content:encoded"]))
+    atom = lambda x: item("atom", x, title=F.coalesce(x["title"]["_VALUE"], strip_tags(x["title"]["div"])), link=_link(x["link"]), guid=x["id"], isoDate=F.coalesce(x["published"], x["updated"]), author=F.get(x["author"], F.lit(0))["name"], content=_typed(x["content"]), summary=_typed(x["summary"]), **{m: x[m] for m in ("media:content", "media:thumbnail")})
+    found = (F.transform(parsed["channel"]["item"], lambda x: item("rss", x)), F.transform(parsed["item"], rdf), F.transform(parsed["entry"], atom))
+    kind = f"array<struct<format:string,{rss}>>"
+    rows = F.concat(*(F.coalesce(f.cast(kind), F.array().cast(kind)) for f in found))
+    return df.withColumn("_item", F.explode(rows)).select(*(F.col(f"`{c}`") for c in df.columns if c != body), "_item.*")
 
 
 def rss_items(rows: DataFrame, source_id: str | Column, source_type: str | Column, now, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -68,6 +68,16 @@ def test_cache(spark, tmp_path):
     assert not sinks.cache_write(spark.range(1), f"{tmp_path}/file/cache", 3000)  # no folder can be there
 
 
+def test_feeds_of_three_formats_in_one_folder(spark, tmp_path):
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A</title><link rel="self" href="http://no/"/><link href="http://a.org/1"/><content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">one <b>two</b></div></content></entry><entry><title>no link</title><id>urn:1</id></entry></feed>'
+    rdf = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:r="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><r:channel/><r:item><r:title>D</r:title><r:link>http://d.org/1</r:link><dc:creator>Dan</dc:creator></r:item></rdf:RDF>'
+    rss = '<rss xmlns:atom="http://www.w3.org/2005/Atom"><channel><item><title>R</title><atom:link href="http://no/"/><link>http://r.org/1</link></item></channel></rss>'
+    for name, body in (("a", atom), ("d", rdf), ("r", rss), ("broken", "<feed><entry>"), ("empty", ""), ("page", "<html><entry/></html>")):
+        (tmp_path / f"{name}.xml").write_text(body)
+    rows = feeds.rss_items(feeds.read_rss(spark, str(tmp_path)), "s", "editorial", now(), keep=("format",)).collect()
+    assert sorted((r.format, r.title, r.url, r.author, r.summary) for r in rows) == [("atom", "A", "http://a.org/1", None, "one two"), ("rdf", "D", "http://d.org/1", "Dan", ""), ("rss", "R", "http://r.org/1", None, "")]
+
+
 def test_flush_goes_on_where_it_was_broken_off(spark, tmp_path):
     made = []
 
