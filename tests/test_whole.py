@@ -121,3 +121,29 @@ def test_title_pairs_of_all_languages_and_sources(spark, sf):
     search = QUERIES["doc_jaccard_pairs"](spark, sf).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard").distinct()
     assert search.exceptAll(got).count() == 0
     assert both.where("sa <> sb").count() > 0 and both.where("la <> 'en'").count() > 0
+
+
+def test_tiles_out_of_reach_never_meet(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(24, 12))
+    rows = [(int(k), int(k % 2), (centres[c] + rng.normal(size=12) * 0.15).tolist()) for k, c in enumerate(rng.integers(0, 24, 4000))]
+    rows += [(4000 + k, 0, rows[0][2]) for k in range(300)] + [(5000, 1, [1e200] * 12), (5001, 1, [1e-200] * 12), (5002, 3, [1.0] * 12), (5003, 0, [1.0, 2.0])]  # a band of copies
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {(r.a, r.b) for r in knn.cosine_pairs(v, 0.95, tile=100).collect()}
+    want = set()
+    for label in (0, 1, 3):
+        own = [(i, e) for i, x, e in rows if x == label and len(e) == 12]
+        m = np.array([e for _, e in own])
+        m = m / np.abs(m).max(1, keepdims=True)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        want |= {(own[i][0], own[j][0]) for i, j in zip(*np.nonzero(np.triu(m @ m.T >= 0.95, 1)), strict=True)}
+    assert got == want and len(got) > 100_000
+    placed = knn.tiles(v.withColumn("size", F.size("embedding")), "vec_id", ["label", "size"], 100)
+    sizes = {(r.label, r.size, r.tile): r["count"] for r in placed.groupBy("label", "size", "tile").count().collect()}
+    pairs = [((r.label, r.size, r.low), (r.label, r.size, r.high)) for r in knn.near_tiles(placed, ["label", "size"], 0.95).collect()]
+    n = [sum(k[:2] == (label, 12) for k in sizes) for label in (0, 1)]
+    every = sum(k * (k + 1) // 2 for k in n)
+    moved = sum(sizes[t] for p in pairs for t in set(p))
+    print(len(pairs), every, moved, sum(sizes.values()))
+    assert len(pairs) < 0.35 * every and moved < 0.35 * sum(sizes[t] * n[t[0]] for t in sizes if t[0] < 2 and t[1] == 12)
+    assert max(sizes.values()) < 300
