@@ -195,9 +195,8 @@ def sentence_chunks(text: Column, target: int = 700) -> Column:
 
 def json_object(text: Column) -> Column:
     """The text if it is JSON, else from its first { to its last } if that is, else null."""
-    inner = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
-    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(valid(text), valid(inner))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)  # noqa: E731; "" is no JSON
+    return F.coalesce(valid(text), bound(F.regexp_extract(text, r"(?s)\{.*\}", 0), valid))
 
 
 def embedding_text(title: Column, description: Column, summary: Column, body: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..functions.hashing import fnv1a, fnv1a_abs
 from ..functions.similarity import tokens
-from ..functions.text import good_bullets, json_object, strip_html, trim
+from ..functions.text import bound, good_bullets, json_object, strip_html, trim
 from ..functions.trust import claim_status, final_status, soft_citations
 from ..functions.urls import domain, redirect_target, web_url
 from .cluster import _jaccard
@@ -141,17 +141,19 @@ def verified(articles: DataFrame, searches: DataFrame, most: int = 3, citations:
     answer = F.from_json(json_object(F.col("answer")), "claims array<struct<claim:string,status:string,citations:array<string>>>")
     claims = articles.select("id", F.col("url").alias("_own"), F.posexplode(F.slice(answer["claims"], 1, most)).alias("pos", "_c"))
     claims = claims.withColumn("claim", trim(F.coalesce("_c.claim", F.lit(""))))
-    of = lambda urls: F.slice(distinct_domains(soft_citations(urls, F.col("_own"), web_url), domain(F.col("_own"))), 1, citations)
+    claims = claims.withColumn("_site", domain(F.col("_own")))
     found = searches.where("claim is not null").select(F.col("id").alias("_i"), F.col("claim").alias("_q"), F.col("urls").alias("_found"))
     titles = searches.where("claim is null").select(F.col("id").alias("_t"), F.col("urls").alias("_title"))
     rows = claims.join(found, (F.col("id") == F.col("_i")) & (F.col("claim") == F.col("_q")), "left").join(titles, F.col("id") == F.col("_t"), "left")
+    # of each list once: whether it has any, and what it has
+    of = lambda urls: bound(F.slice(distinct_domains(soft_citations(urls, F.col("_own"), web_url), F.col("_site")), 1, citations), lambda x: F.when(F.size(x) > 0, x))
     none = F.array().cast("array<string>")
-    own, search, title = (of(F.coalesce(c, none)) for c in (F.col("_c.citations"), F.col("_found"), F.col("_title")))
-    rows = rows.withColumn("citations", F.when(F.size(own) > 0, own).when((F.col("claim") != "") & (F.size(search) > 0), search).otherwise(title))
+    rows = rows.withColumn("citations", F.coalesce(of(F.col("_c.citations")), F.when(F.col("claim") != "", of(F.col("_found"))), of(F.col("_title")), none))
     return rows.select("id", "pos", "claim", final_status(claim_status(F.col("_c.status")), F.col("citations")).alias("status"), "citations")
 
 
 def distinct_domains(urls: Column, own: Column) -> Column:
-    """The first address of each domain but one's own; those without a domain go."""
-    known = F.filter(urls, lambda u: domain(u).isNotNull() & ~domain(u).eqNullSafe(own))
-    return F.filter(known, lambda u, i: F.array_position(F.transform(known, domain), domain(u)) == i + 1)
+    """The first address of each domain but one's own; those without a domain go. Each domain is computed once."""
+    pairs = F.filter(F.transform(urls, lambda u: F.struct(u.alias("url"), domain(u).alias("site"))), lambda p: p["site"].isNotNull() & ~p["site"].eqNullSafe(own))
+    start = F.array().cast("array<struct<url:string,site:string>>")
+    return F.aggregate(pairs, start, lambda seen, p: F.when(F.exists(seen, lambda s: s["site"] == p["site"]), seen).otherwise(F.concat(seen, F.array(p))))["url"]

@@ -568,7 +568,7 @@ case when pos = 0 and id % 3 > 0 then 'https://a.org/1|https://b.org/x' when pos
 def claims_verified(spark: SparkSession, d: str) -> DataFrame:
     """Claims of a model's answer with their citations: the model's, else a search's for the claim, else one for the title."""
     answer = F.expr("""concat('Here: {"claims":[{"claim":" c0 ","status":"maybe","citations":[', case when id % 3 > 0 then '"https://own.org/other","https://a.org/1#f","ftp://z","https://www.a.org/2","https://b.org/x","https://c.org"' else '"https://own.org/p"' end, ']},{"claim":"c1","status":"', case when id % 2 = 0 then 'Incorrect' else 'x' end, '"},{"claim":"c2","status":"verified"},{"claim":"c3"}]}')""")
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    o = texts(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
     articles = o.select("id", F.lit("https://own.org/p").alias("url"), answer.alias("answer"))
     searches = o.select("id", F.lit("c1").alias("claim"), F.array(F.lit("https://www.own.org/q"), F.concat(F.lit("https://s"), F.col("id") % 4, F.lit(".org/"))).alias("urls")).unionByName(o.where("id % 5 = 0").select("id", F.lit(None).cast("string").alias("claim"), F.array(F.lit("https://t.org/2")).alias("urls")))
     return insights.verified(articles, searches).select("id", F.col("pos").cast("int").alias("pos"), "claim", "status", F.array_join("citations", "|").alias("citations"))
