@@ -99,11 +99,21 @@ def cache_read(spark: SparkSession, path: str, now: int, ttl: int | None) -> Dat
 
 
 def flushed(items: DataFrame, key: str, make, path: str, parts: int) -> DataFrame:
-    """make(items) in `parts` portions, each written when it is done; portions of a run that was broken off are not made again."""
+    """make(items) in `parts` portions, each written when it is done; portions of a run that was broken off are not made again.
+
+    The items are read once: dealt by their key into a folder for each portion, which a run that goes on finds there, and which
+    goes when all portions are done.
+    """
     spark = items.sparkSession
-    for k in range(parts):
-        if not exists(spark, f"{path}/part={k}/_SUCCESS"):
-            make(items.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)).write.mode("overwrite").parquet(f"{path}/part={k}")
+    todo = [k for k in range(parts) if not exists(spark, f"{path}/part={k}/_SUCCESS")]
+    if todo and not exists(spark, f"{path}/_dealt/_SUCCESS"):
+        dealt = items.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+        dealt.hint("rebalance", "_part").write.mode("overwrite").partitionBy("_part").parquet(f"{path}/_dealt")
+    for k in todo:
+        one = f"{path}/_dealt/_part={k}"
+        rows = spark.read.schema(items.schema).parquet(one) if exists(spark, one) else items.sparkSession.createDataFrame([], items.schema)  # no item fell to it
+        make(rows).write.mode("overwrite").parquet(f"{path}/part={k}")
+    remove(spark, f"{path}/_dealt")
     return spark.read.option("basePath", path).parquet(*(f"{path}/part={k}" for k in range(parts))).drop("part")
 
 

@@ -1,4 +1,7 @@
 import json
+import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -79,20 +82,40 @@ def test_feeds_of_three_formats_in_one_folder(spark, tmp_path):
 
 
 def test_flush_goes_on_where_it_was_broken_off(spark, tmp_path):
-    made = []
-
-    def make(rows):
-        made.append(rows.count())
-        if len(made) == 2:
-            raise RuntimeError
-        return rows.withColumn("x", F.col("id") * 2)
-
-    items, path = spark.range(100), str(tmp_path / "parts")
-    try:
-        sinks.flushed(items, "id", make, path, 3)
-    except RuntimeError:
-        pass
-    assert sorted((r.id, r.x) for r in sinks.flushed(items, "id", make, path, 3).collect()) == [(i, 2 * i) for i in range(100)] and len(made) == 4
+    """A process that dies in its third portion; the next one makes the rest from what the first has dealt, without another scan."""
+    spark.range(0, 5000, 1, 4).selectExpr("id", "repeat('x', 20) as text").write.parquet(str(tmp_path / "items"))
+    script = f"""
+import os
+from pyspark.sql import SparkSession, functions as F
+from brindle.sources import sinks
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+made = []
+def make(rows):
+    made.append(rows.count())
+    if len(made) == 3:
+        os._exit(9)
+    return rows.withColumn("x", F.col("id") * 2)
+sinks.flushed(spark.read.parquet({str(tmp_path / "items")!r}), "id", make, {str(tmp_path / "parts")!r}, 5)
+"""
+    died = subprocess.run([sys.executable, "-c", script], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, timeout=120)
+    assert died.returncode == 9 and sorted(p.name for p in tmp_path.glob("parts/part=*")) == ["part=0", "part=1"]
+    kept = {p: p.stat().st_mtime_ns for p in tmp_path.glob("parts/part=*/*")}
+    scanned = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            scanned.add(len(f))
+            yield f
+
+    made, items = [], spark.read.parquet(str(tmp_path / "items")).mapInPandas(seen, "id long, text string")
+    make = lambda rows: made.append(rows.count()) or rows.withColumn("x", F.col("id") * 2)
+    got = sinks.flushed(items, "id", make, str(tmp_path / "parts"), 5)
+    assert sorted((r.id, r.x) for r in got.collect()) == [(i, 2 * i) for i in range(5000)] and len(made) == 3 and scanned.value == 0
+    assert {p: p.stat().st_mtime_ns for p in kept} == kept and not (tmp_path / "parts" / "_dealt").exists()
+    assert sinks.flushed(items, "id", make, str(tmp_path / "parts"), 5).count() == 5000 and len(made) == 3
+    sinks.flushed(items, "id", make, str(tmp_path / "more"), 7)
+    assert scanned.value == 5000 and len(made) == 10  # one scan, seven portions
+    assert sinks.flushed(items.where("id < 2"), "id", make, str(tmp_path / "few"), 6).count() == 2
 
 
 def test_images(spark, tmp_path):
