@@ -7,6 +7,8 @@ is not valid is asked for once more with strict=True, and what still isn't gets
 from __future__ import annotations
 
 import json
+import random
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,23 +23,74 @@ from ..functions.trust import fallback_trust
 Model = Callable[[pd.DataFrame, bool], list[str | None]]
 
 
-def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, valid: Callable[[str | None], bool], fallback: Column, batch: int = 16, attempts: int = 2, concurrency: int | None = None) -> DataFrame:
+class Throttled(Exception):
+    """The model asks for fewer calls (429), and perhaps for a wait of so many seconds."""
+
+    def __init__(self, after: float | None = None) -> None:
+        super().__init__(after)
+        self.after = after
+
+
+class Refused(Exception):
+    """What was asked is at fault (another 4xx): asking again is no use."""
+
+
+@dataclass(frozen=True)
+class Pace:
+    """Seconds of the wait after a first failure, which doubles up to `most`, within 30 % at random; and calls a second of all
+    tasks together, none for any number. A throttled task waits as long as it is told to, if that is longer, and halves its rate."""
+
+    wait: float = 0.5
+    most: float = 60.0
+    rate: float | None = None
+
+    def delay(self, failures: int) -> float:
+        return min(self.most, self.wait * 2**failures) * random.uniform(0.7, 1.3)
+
+
+class _Calls:
+    """The calls of one task."""
+
+    def __init__(self, model: Model, pace: Pace, tasks: int) -> None:
+        self.model, self.pace, self.due = model, pace, 0.0
+        self.gap = tasks / pace.rate if pace.rate else 0.0
+
+    def __call__(self, rows: pd.DataFrame, strict: bool) -> list[str | None]:
+        now = time.monotonic()
+        time.sleep(max(0.0, self.due - now))
+        self.due = max(now, self.due) + self.gap
+        return self.model(rows, strict)
+
+    def failed(self, error: Exception, failures: int) -> None:
+        wait = self.pace.delay(failures)
+        if isinstance(error, Throttled):
+            wait, self.gap = max(wait, error.after or 0.0), 2 * self.gap
+        time.sleep(wait)
+
+
+def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, valid: Callable[[str | None], bool], fallback: Column, batch: int = 16, attempts: int = 2, concurrency: int | None = None, pace: Pace = Pace(wait=0.0)) -> DataFrame:
     """df with output: what the model gave for the inputs, else the fallback.
 
-    A batch that fails, and what in it isn't valid, is asked for again (strictly), `attempts` times in all; at most `concurrency`
-    tasks ask at the same time, if that is given.
+    A batch that fails, and what in it isn't valid, is asked for again (strictly), `attempts` times in all, at the given pace. With
+    `concurrency`, the rows are dealt to so many tasks, which alone call the model; what they come from is read by as many as ever.
     """
     if model is None:
         return df.withColumn("output", fallback)
     kind = df.schema[key].dataType.simpleString()
+    if pace.rate and not concurrency:
+        raise ValueError("a rate is shared by the tasks that call: say how many there are")
 
-    def asked(rows: pd.DataFrame) -> list[str | None]:
+    def asked(rows: pd.DataFrame, call: _Calls) -> list[str | None]:
         out: list[str | None] = [None] * len(rows)
         todo = list(range(len(rows)))
         for n in range(attempts):
             try:
-                got = model(rows[inputs].iloc[todo], n > 0)
-            except Exception:  # noqa: BLE001, S112; a model that can't be reached: asked again, and at last the fallback
+                got = call(rows[inputs].iloc[todo], n > 0)
+            except Refused:
+                break
+            except Exception as e:  # noqa: BLE001; a model that can't be reached: asked again, and at last the fallback
+                if n + 1 < attempts:
+                    call.failed(e, n)
                 continue
             for i, x in zip(todo, got, strict=True):
                 out[i] = x if valid(x) else None
@@ -47,13 +100,14 @@ def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, v
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = _Calls(model, pace, concurrency or 1)
         for frame in frames:
             for a in range(0, len(frame), batch):
                 rows = frame.iloc[a : a + batch]
-                yield pd.DataFrame({key: rows[key], "_output": asked(rows)})
+                yield pd.DataFrame({key: rows[key], "_output": asked(rows, call)})
 
     rows = df.select(key, *inputs)
-    made = (rows.coalesce(concurrency) if concurrency else rows).mapInPandas(run, f"{key} {kind}, _output string")
+    made = (rows.repartition(concurrency) if concurrency else rows).mapInPandas(run, f"{key} {kind}, _output string")
     return df.join(made, key, "left").withColumn("output", F.coalesce("_output", fallback)).drop("_output")
 
 

@@ -187,6 +187,23 @@ def group_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return feeds.group_files(cases, "kind", "place", "body", "id string").select("kind", F.coalesce(F.size("rows"), F.lit(-1)).alias("n"))
 
 
+#: Attempts k of a page: some answer at once, some in time, some too late, never, or with what asking again doesn't change.
+_STATUS = """case page_id % 7 when 0 then 200 when 1 then case when k >= page_id % 3 then 204 else 503 end when 2 then 404 when 3 then 429 when 4 then case when k > 2 then 200 else 500 end when 5 then case when k = 0 then 429 else 301 end end"""
+
+
+@query(
+    f"""with a as (select page_id, k, {_STATUS} as status from pages, range(0, 5) t(k) where k <= page_id % 5), r as (select *, row_number() over (partition by page_id order by k desc) as r from a where k <= 2),
+s as (select page_id, k, status, case when status between 200 and 299 then 'good' when status is not null and status <> 429 and status < 500 then 'refused' when k = 2 then 'exhausted' else 'waiting' end as state from r where r = 1)
+select page_id, state, k::int as attempt, coalesce(status, 0)::int as status, case when state = 'waiting' then 1000000 + 60000 * k + greatest(floor(500 * pow(2, k) * (('0x' || substr(md5(page_id || '|' || k), 1, 4))::int / 65536 * 0.6 + 0.7)), case when status = 429 then coalesce(case when page_id % 2 = 0 then page_id % 3 end, 0) * 1000 else 0 end) else 0 end::bigint as due_ms from s"""
+)
+def fetch_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """What the landed attempts of each page's address come to, and when those that are left are due again."""
+    p = table(spark, d, "pages").select("page_id", F.explode(F.sequence(F.lit(0), (F.col("page_id") % 5).cast("int"))).alias("k"))
+    attempts = p.select(F.col("page_id").cast("string").alias("url"), F.col("k").alias("attempt"), F.expr(_STATUS).alias("status"), (F.col("k") * 60000 + 1000000).alias("at_ms"), F.expr("case when page_id % 2 = 0 then page_id % 3 end").alias("retry_after"))
+    out = feeds.fetch_states(attempts)
+    return out.select(F.col("url").cast("long").alias("page_id"), "state", "attempt", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("due_ms", F.lit(0)).alias("due_ms"))
+
+
 @query("select event_id, case when event_id % 4 = 0 then event_id % 3 + 1 else 0 end as attempts, event_id % 4 = 0 as settled from events where event_id % 4 < 3")
 def settled_fetches(spark: SparkSession, d: str) -> DataFrame:
     """The first good response among a request and its two retries; a fourth attempt doesn't count, a failed request gives none."""

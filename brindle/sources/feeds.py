@@ -174,6 +174,23 @@ def settled(attempts: DataFrame, retries: int = 2) -> DataFrame:
     return good.groupBy("url").agg(F.min("attempt").alias("attempt"), F.min_by("body", "attempt").alias("body"))
 
 
+def fetch_states(attempts: DataFrame, retries: int = 2, base_ms: int = 500) -> DataFrame:
+    """url, state, attempt, status and due_ms of each address of attempts(url, attempt from 0, status, at_ms, retry_after seconds).
+
+    Its last attempt within the retries decides. good: 2xx; refused: another answer that asking again doesn't change; else no
+    answer (null), 5xx or 429, which is exhausted after the last retry, and before it waiting until due_ms. The wait doubles with
+    each attempt, within 30 % by the address; a 429 waits as long as it was told to, if that is longer.
+    """
+    last = attempts.where(F.col("attempt").between(0, retries)).groupBy("url").agg(F.max_by(F.struct("attempt", "status", "at_ms", "retry_after"), "attempt").alias("_l")).select("url", "_l.*")
+    status = F.coalesce("status", F.lit(0))
+    again = (status == 0) | (status == 429) | status.between(500, 599)
+    state = F.when(status.between(200, 299), "good").when(~again, "refused").when(F.col("attempt") == retries, "exhausted").otherwise("waiting")
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", "url", "attempt")), 1, 4), 16, 10).cast("double") / 65536
+    wait = F.floor(F.lit(base_ms) * F.pow(F.lit(2.0), F.col("attempt")) * (share * 0.6 + 0.7))
+    told = F.when(status == 429, F.coalesce(F.col("retry_after"), F.lit(0)) * 1000).otherwise(0)
+    return last.select("url", state.alias("state"), "attempt", "status", F.when(state == "waiting", F.col("at_ms") + F.greatest(wait, told)).cast("long").alias("due_ms"))
+
+
 def with_item(stories: DataFrame, items: DataFrame) -> DataFrame:
     """Stories with item, the landed forum item that their URL names, if any."""
     landed = items.select(F.col("id").alias("_id"), F.struct("*").alias("item"))
