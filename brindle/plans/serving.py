@@ -65,14 +65,9 @@ def social_feed(posts: DataFrame, topics: tuple[str, ...], limit: int = 60) -> D
     matched = F.size(T.social_topics(F.col("text"), topics)) > 0
     rows = filters.two_tier(posts.withColumn("matched", matched), F.col("url").isNotNull(), F.col("matched"), F.col("likes"), F.col("reposts"), bool(topics))
     rows = rows.withColumn("score", rank.social_score(F.col("url").isNotNull(), F.col("matched"), F.col("likes"), F.col("reposts"), F.col("replies")))
-    total, most = rows.count(), limit
-    while True:  # the best posts, more of them if too many repeat others
-        most *= 3
-        best = rows.orderBy(F.desc("score"), "seq").limit(most).withColumn("feed", F.lit(0))
-        best = best.withColumn("place", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("score"), "seq")))
-        kept = dedupe.social(best, "feed", dedupe.item_key(), F.col("text"), F.col("place"))
-        if most >= total or kept.count() >= limit:
-            return kept.orderBy("place").limit(limit).drop("feed", "place")
+    best = F.struct((-F.col("score")).alias("score"), F.col("seq").alias("seq"))
+    kept = dedupe.social(rows.withColumn("feed", F.lit(0)), "feed", dedupe.item_key(), F.col("text"), best)
+    return kept.drop("feed").orderBy(F.desc("score"), "seq").limit(limit)
 
 
 def fetched(timeline: DataFrame, searches: DataFrame, per_query: int = 25, of_timeline: int = 50, queries: int = 6) -> DataFrame:

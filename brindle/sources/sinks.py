@@ -133,7 +133,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder."""
     df.write.parquet(path := scratch_path(df.sparkSession, tag))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._brindle_path = path
+    return out
+
+
+def unscratch(df: DataFrame) -> None:
+    """Drops a table of scratch() that nobody reads any more."""
+    remove(df.sparkSession, df._brindle_path)
 
 
 def embedding_table(items: DataFrame, model: str) -> DataFrame:

@@ -171,3 +171,21 @@ def test_streaming_upsert_and_windows(spark, sf, tmp_path):
     q = ingest.windowed_counts(read(), "ts", "event_type", late="60 days").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_social_dedupe_of_random_clashes_equals_the_loop(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 1, None]), i, f"k{rng.randrange(60)}" if rng.random() < 0.95 else None, rng.choice([" ", None, *(f"T  {rng.randrange(40)}" for _ in range(9))])) for i in range(900)]
+    rows += [(2, 1000 + i, f"c{(i + 1) // 2}", f"chain {i // 2}") for i in range(24)]  # each clashes with the one before
+    rows += [(3, 2000 + i, f"u{i}", "hot text") for i in range(2000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "b int, seq long, k string, t string")
+    want, keys, texts = [], set(), set()
+    for b, i, k, t in sorted(rows, key=lambda r: r[1]):
+        t = " ".join((t or "").lower().split())
+        if (b, k) not in keys and (not t or (b, t) not in texts):
+            want.append(i)
+            keys.add((b, k))
+            texts.add((b, t))
+    assert sorted(r.seq for r in dedupe.social(df, "b", F.col("k"), F.col("t"), F.col("seq")).collect()) == want
+    assert dedupe.social(df.limit(0), "b", F.col("k"), F.col("t"), F.col("seq")).collect() == []
