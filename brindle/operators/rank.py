@@ -75,30 +75,35 @@ def social_score(has_url: Column, matched: Column, likes: Column, reposts: Colum
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with the place of each row in an order of all rows, from 1: rows are sorted in ranges, and ranges numbered by their sizes."""
-    rows = scratch(df, "unranked")  # ranges are found by a scan of their own, which should not compute the rows again
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_i", F.monotonically_increasing_id())
-    rows = scratch(rows, "ranked")  # the numbers stay
+    """df with the place of each row in an order of all rows, from 1.
+
+    Row numbers and the values that order are sorted in ranges, and ranges numbered by their sizes; all other columns join last.
+    """
+    rows = scratch(df.withColumn("_row", F.monotonically_increasing_id()), "unranked")  # written: the numbers stay
+    places = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_row", F.monotonically_increasing_id().alias("_i"))
+    places = scratch(places, "ranked")
     part = F.shiftright("_i", 33)
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a range
-    return rows.join(F.broadcast(sizes), part == F.col("_p")).withColumn(name, F.col("_start") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_i", "_p", "_start")
+    sizes = places.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row a range
+    places = places.join(F.broadcast(sizes), part == F.col("_p")).select("_row", (F.col("_start") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
+    return rows.join(places, "_row").drop("_row")
 
 
 def interleaved(df: DataFrame, social: Column, order: list[Column], feed: str | None = None, interval: int = 5) -> DataFrame:
     """position: a social row after every interval-th other one, those left over at the end. Ranks are taken within a feed, or over all rows in ranges."""
-    rows = df.withColumn("_social", social)
+    rows = df.withColumn("_social", F.coalesce(social, F.lit(False)))
     if feed:
         rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(feed, "_social").orderBy(*order)))
-        rows = rows.withColumn("_others", F.count_if(~F.col("_social")).over(Window.partitionBy(feed)))
-    else:
-        kinds = [ranked(rows.where(c), order, "_k") for c in (F.col("_social"), ~F.col("_social"))]
-        rows = kinds[0].unionByName(kinds[1]).crossJoin(F.broadcast(kinds[1].agg(F.count("*").alias("_others"))))  # one row
-    slot = F.when(~F.col("_social"), F.col("_k")).when(F.col("_k") * interval <= F.col("_others"), F.col("_k") * interval).otherwise(F.lit((1 << 62) - 1))
-    rows = rows.withColumn("_slot", slot.cast("long"))
-    by = [F.asc("_slot"), F.asc("_social"), F.asc("_k")]
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(feed).orderBy(*by))) if feed else ranked(rows, by, "position")
-    return rows.drop("_social", "_k", "_slot", "_others")
+        of = Window.partitionBy(feed)
+        rows = rows.withColumn("_others", F.count_if(~F.col("_social")).over(of)).withColumn("_more", F.count_if("_social").over(of))
+    else:  # others first, in one order of all rows
+        counts = rows.agg(F.count_if(~F.col("_social")).alias("_others"), F.count_if("_social").alias("_more"))
+        rows = ranked(rows, [F.asc("_social"), *order], "_k").crossJoin(F.broadcast(counts))  # one row
+        rows = rows.withColumn("_k", F.col("_k") - F.when(F.col("_social"), F.col("_others")).otherwise(0))
+    k, others = F.col("_k"), F.col("_others")
+    of_social = F.when(k * interval <= others, k * interval + k).otherwise(others + k)
+    of_other = k + F.least(F.floor((k - 1) / interval), F.col("_more"))
+    return rows.withColumn("position", F.when(F.col("_social"), of_social).otherwise(of_other).cast("long")).drop("_social", "_k", "_others", "_more")
 
 
 def images_first(seq: Column, image: Column) -> list[Column]:

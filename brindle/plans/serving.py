@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as T
 from ..operators import dedupe, filters, joins, rank
 from ..sources import feeds
+from ..sources.sinks import scratch
 
 
 @dataclass
@@ -50,13 +51,16 @@ def rank_items(items: DataFrame, prefs: Preferences, connectors: dict[str, DataF
     items(id, url, post_url, source, source_type, title, text, tags, published_at, seq).
     """
     rows = filters.allowed_sources(items, F.col("source"), sources) if sources is not None else items
-    rows = merged(rows, connectors or {})
-    rows = rank.interleaved(rows, F.col("source_type") == "social", [F.desc("published_at"), F.asc("seq")])
-    if not (prefs.topics or prefs.blocked):
-        return rows.withColumn("rank", F.col("position"))
+    rows = scratch(merged(rows, connectors or {}).withColumn("_item", F.monotonically_increasing_id()), "feed")
     text = F.concat_ws(" ", "title", "text")
-    scored = rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("tags"), text, F.col("published_at"), F.col("position"))
-    return rank.ranked(scored, rank.preference_order()).drop("_ts", "_seq")
+    scored = rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("tags"), text, F.col("published_at"), F.col("seq"))
+    keys = scored.select("_item", "score", "blocked", "_ts", "_seq", (F.col("source_type") == "social").alias("_social"))  # what orders rows, without their texts
+    keys = rank.interleaved(keys, F.col("_social"), [F.desc("_ts"), F.asc("_seq")]).withColumn("_seq", F.col("position"))
+    if prefs.topics or prefs.blocked:
+        keys = rank.ranked(keys, rank.preference_order()).drop("_ts", "_seq", "_social")
+    else:
+        keys = keys.select("_item", "position", F.col("position").alias("rank"))
+    return rows.join(keys, "_item").drop("_item")
 
 
 def social_feed(posts: DataFrame, topics: tuple[str, ...], limit: int = 60) -> DataFrame:

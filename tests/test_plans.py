@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from brindle.functions.urls import canonical_url, domain
+from brindle.operators import rank
 from brindle.plans import build, serving
 from brindle.sources import sinks
 
@@ -50,3 +51,14 @@ def test_social_feed_fills_up_past_repeats(spark):
     posts = spark.createDataFrame(rows, "id string, url string, post_url string, text string, likes int, reposts int, replies int, seq int")
     got = [r.seq for r in serving.social_feed(posts, (), 40).collect()]
     assert got == [*range(0, 400, 40), *range(400, 430)]
+
+
+def test_ranking_leaves_texts_where_they_are(spark, sf, monkeypatch):
+    written = []
+    real = rank.scratch
+    monkeypatch.setattr(rank, "scratch", lambda df, tag: written.append((tag, df.columns)) or real(df, tag))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("post_url"), "source", F.when(F.col("source") == "src0", "social").otherwise("editorial").alias("source_type"), F.lit("").alias("title"), "text", F.array(F.lit("AI")).alias("tags"), F.col("n_chars").alias("published_at"), F.col("doc_id").alias("seq"))
+    out = serving.rank_items(rows, serving.Preferences(["AI"], ["policy"]))
+    assert len(written) == 4 and not any("text" in c or "tags" in c for _, c in written)
+    assert [c for t, c in written if t == "ranked"] == [["_row", "_i"]] * 2
+    assert sorted(r["rank"] for r in out.select("rank").collect()) == list(range(1, rows.count() + 1)) and "text" in out.columns
