@@ -6,12 +6,12 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once; texts average a few KB, so a batch is a few MB.
@@ -28,6 +28,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def as_row(df: DataFrame, columns: Iterable[str] | None = None) -> Column:
+    """Columns of df as one struct `row`, in which Arrow carries any names, those with dots too."""
+    return F.struct(*(df[f"`{c}`"] for c in (df.columns if columns is None else columns))).alias("row")
+
+
+def of_row(columns: Iterable[str]) -> list[Column]:
+    """The columns of as_row() again."""
+    return [F.col(f"row.`{c}`").alias(c) for c in columns]
+
+
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, small_batches, texts, written
+from .common import as_row, batch, of_row, small_batches, texts, written
 
 #: Tokens of the shortest tile, and of the shortest item.
 SEED, LEAST = 5, 3
@@ -218,12 +218,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item is leaked, with all their columns."""
-    name = "_words"
-    while name in docs.columns:
-        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([items.leaks(t, coverage)[0] == 0 for t in texts(b.column(b.num_columns - 1))], pa.bool_()))
+            yield b.filter(pa.array([items.leaks(t, coverage)[0] == 0 for t in texts(b.column("text"))], pa.bool_()))
 
-    return _through(docs.withColumn(name, F.col("text").cast("string")), benchmark, seed, block, run).drop(name)
+    rows = docs.select(as_row(docs), F.col("text").cast("string").alias("text"))
+    return _through(rows, benchmark, seed, block, run).select(*of_row(docs.columns))

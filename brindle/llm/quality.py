@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batch, small_batches, texts
+from .common import as_row, batch, of_row, small_batches, texts
 
 #: The bound of the labelled sample that is learnt from.
 SAMPLE = 12_000
@@ -146,16 +146,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns keep of docs, and the score (0 to 1) as a column of that name."""
     small_batches(docs.sparkSession)
-    columns = [F.col(f"`{c}`") for c in keep]
-    kept = docs.select(*columns).schema
-
+    rows = docs.select(as_row(docs, keep), F.col("text").cast("string").alias(name))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in texts(b.column(b.num_columns - 1))], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(x))], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x))], names=["row", name])
 
-    rows = docs.select(*columns, F.col("text").cast("string").alias(name))
-    return rows.mapInArrow(run, StructType([*kept.fields, StructField(name, DoubleType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField(name, DoubleType())])).select(*of_row(keep), f"`{name}`")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
