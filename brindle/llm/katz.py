@@ -207,7 +207,7 @@ def chunk_pairs(rows: pd.DataFrame, start: np.ndarray, buckets: int, hot: int) -
     order, before, after, bounds = c.distinct(pairs, buckets, hot)
     count = count[order].astype(np.uint32)
     key = c.number[before].astype(np.uint64) << np.uint64(32) | c.number[after].astype(np.uint64)
-    words, contexts = c.count[after].astype(np.uint32), c.count[before].astype(np.uint32)
+    words, contexts = _narrow(c.count[after]), _narrow(c.count[before])
     chunk, out = int(rows["chunk"].iloc[0]), []
     for k in range(buckets):
         if (a := bounds[k]) < (b := bounds[k + 1]):
@@ -215,6 +215,11 @@ def chunk_pairs(rows: pd.DataFrame, start: np.ndarray, buckets: int, hot: int) -
     return frame(out)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Corpus-wide counts in 32 bits where they fit, else as they are."""
+    return counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
+
+
 def _firsts(key: np.ndarray) -> np.ndarray:
     """Where another context begins."""
     h = key >> np.uint64(32)
@@ -241,13 +246,13 @@ def bucket_pairs(rows: pd.DataFrame, unigrams: Unigrams, hot: int) -> pd.DataFra
     n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
     context = (key[begin] >> np.uint64(32)).astype(np.int64)
     of_context = np.zeros(len(context), np.int64)
-    out = [(-1, BIGRAMS, bucket, join(pack(key[total > 0], delta=True), pack(total[total > 0].astype(np.uint32)))), (-1, SUMS, bucket, n.astype(np.int64).tobytes())]
+    out = [(-1, BIGRAMS, bucket, join(pack(key[total > 0], delta=True), pack(_narrow(total[total > 0])))), (-1, SUMS, bucket, n.astype(np.int64).tobytes())]
     ends = np.cumsum(sizes)
     for c, p, a, b in zip(chunks, parts, ends - sizes, ends, strict=True):
         own = p[0][_firsts(p[0])] >> np.uint64(32)
         where = np.searchsorted(context, own.astype(np.int64))
         of_context[where] = p[3]
-        out.append((c, PAIR_REPLY, bucket, join(pack(total[at[a:b]].astype(np.uint32)), *(pack(seen[where, r].astype(np.uint32)) for r in range(K + 1)), pack(mass[where]))))
+        out.append((c, PAIR_REPLY, bucket, join(pack(_narrow(total[at[a:b]])), *(pack(_narrow(seen[where, r])) for r in range(K + 1)), pack(mass[where]))))
     is_hot = np.flatnonzero(of_context >= hot)
     out.append((-1, HOT, bucket, join(pack(context[is_hot]), *(pack(seen[is_hot, r]) for r in range(K + 1)), pack(mass[is_hot]))))
     return frame(out)

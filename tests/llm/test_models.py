@@ -192,3 +192,38 @@ def test_quality_of_odd_tables(spark, sf):
     assert len(rows) == 4 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert quality.classify(docs.limit(0), labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == 4
     assert quality.accepted(docs, labels.limit(0), 0.4).columns == docs.columns
+
+
+def test_counts_beyond_32_bits():
+    """A corpus in which every word stands 2^33 times more often than in this chunk: what the buckets say of words and pairs comes back whole."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from brindle.llm.common import pack, unpack
+    from brindle.llm.stages import join, split
+
+    more = 1 << 33
+    docs = pa.array(["a b a b c", "b a"])
+    words = katz.chunk_words(pa.array([1, 2]), pa.array([False, False]), docs, 1)
+    sent = pd.DataFrame([(0, kind, bucket, data if kind == katz.DOCS else join(split(data)[0], pack(unpack(split(data)[1]) + more))) for kind, bucket, data in words], columns=["chunk", "kind", "bucket", "data"])
+    replies = katz.bucket_words(sent[sent["kind"] == katz.WORDS])
+    rows = pd.concat([sent, replies])
+    start = np.zeros(1, np.int64)
+    chunk = katz.Chunk(rows, start)
+    assert sorted(chunk.count.tolist()) == [more + 1, more + 2, more + 3, more + 3]  # c, the end, a and b
+    pairs = katz.chunk_pairs(rows, start, 1, 1 << 60)
+    key, count, after, contexts = map(unpack, split(pairs["data"].iloc[0]))
+    assert after.min() > more and contexts.min() > more and len(contexts) == 4
+    pairs["data"] = [join(pack(key, delta=True), pack(count.astype(np.int64) + more), pack(after), pack(contexts))]
+    whole = unpack(split(replies.loc[replies["kind"] == katz.UNIGRAMS, "data"].iloc[0])[1])
+    n = np.bincount(np.full(len(whole), katz.K + 2), minlength=katz.K + 3)
+    unigrams = katz.Unigrams(n, int(whole.sum()), len(whole))
+    out = katz.bucket_pairs(pairs, unigrams, more)  # all contexts are hot
+    total, *seen, mass = map(unpack, split(out.loc[out["kind"] == katz.PAIR_REPLY, "data"].iloc[0]))
+    assert (total == count.astype(np.int64) + more).all()
+    assert sum(s.sum() for s in seen) == total.sum() and seen[-1].min() > more
+    context, *stats, _ = map(unpack, split(out.loc[out["kind"] == katz.HOT, "data"].iloc[0]))
+    assert len(context) == 4 and sum(s.sum() for s in stats) == total.sum()
+    assert (unpack(split(out.loc[out["kind"] == katz.BIGRAMS, "data"].iloc[0])[1]) == total).all()
+    want = [sum(whole[w] for w in key[key >> 32 == h] & 0xFFFFFFFF) / whole.sum() for h in np.unique(key >> 32)]
+    assert np.allclose(mass, want)
