@@ -17,9 +17,13 @@ def float_setting(raw: Column, fallback: float) -> Column:
     return F.coalesce(n, F.lit(fallback))
 
 
+# Spellings of true and false.
+TRUE, FALSE = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
+
+
 def bool_setting(raw: Column, fallback: bool) -> Column:
     low = F.lower(trim(raw))
-    return F.when(low.isin("1", "true", "yes", "y", "on"), True).when(low.isin("0", "false", "no", "n", "off"), False).otherwise(fallback)
+    return F.when(low.isin(*TRUE), True).when(low.isin(*FALSE), False).otherwise(fallback)
 
 
 def list_setting(raw: Column, fallback: list[str]) -> Column:

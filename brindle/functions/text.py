@@ -97,6 +97,11 @@ def parse_date(text: Column, otherwise: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss z")), otherwise)
 
 
+def latest_iso(a: Column, b: Column) -> Column:
+    """The later of two ISO times as text; where one is null or empty, the first that isn't null."""
+    return F.when((a != "") & (b != ""), F.greatest(a, b)).otherwise(F.coalesce(a, b))
+
+
 def ago(ts: Column, now: Column) -> Column:
     """Minutes, hours or days before now, as 5m ago."""
     minutes = F.greatest(F.lit(0), F.floor((now.cast("double") - ts.cast("double")) / 60))

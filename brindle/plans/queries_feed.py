@@ -178,13 +178,15 @@ def social_post_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("event_id", "id", "title", F.coalesce("url", F.lit("none")).alias("url"), "post_url", F.unix_seconds("published_at").alias("published"), "likes")
 
 
-@query("select kind, n from (values ('array', 3), ('clusters', 3), ('groups', 3), ('other', -1), ('broken', -1), ('second', 3)) as v(kind, n)")
+@query("select page_id, case when page_id % 6 in (3, 4) then '' when page_id % 6 = 5 then 'a' || page_id || '|second' else 'a' || page_id || '|b|c' end as ids from pages")
 def group_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Group files of each shape; what is no such file is passed over for the next one."""
-    rows = '[{"id":"a","perspectives":[]},{"id":"b"},{"id":"c"}]'
-    bodies = {"array": [rows], "clusters": [f'{{"clusters":{rows}}}'], "groups": [f'{{"groups":{rows}}}'], "other": ['{"items":[]}'], "broken": ["{["], "second": [None, "{[", rows]}
-    cases = spark.createDataFrame([(k, i, b) for k, bs in bodies.items() for i, b in enumerate(bs)], "kind string, place int, body string")
-    return feeds.group_files(cases, "kind", "place", "body", "id string").select("kind", F.coalesce(F.size("rows"), F.lit(-1)).alias("n"))
+    """Each page's group files, of each shape; what is no such file is passed over for the next one."""
+    rows = """concat('[{"id":"a', page_id, '","perspectives":[]},{"id":"b"},{"id":"c"}]')"""
+    first = F.expr(f"""case page_id % 6 when 0 then {rows} when 1 then concat('{{"clusters":', {rows}, '}}') when 2 then concat('{{"groups":', {rows}, '}}') when 3 then '{{"items":[]}}' when 4 then '{{[' end""")
+    second = F.expr("""case when page_id % 6 = 5 then concat('[{"id":"a', page_id, '"},{"id":"second"}]') end""")
+    p = table(spark, d, "pages")
+    files = p.select("page_id", F.lit(0).alias("place"), first.alias("body")).unionByName(p.select("page_id", F.lit(1).alias("place"), second.alias("body")))
+    return feeds.group_files(files, "page_id", "place", "body", "id string").select("page_id", F.coalesce(F.array_join("rows.id", "|"), F.lit("")).alias("ids"))
 
 
 #: Attempts k of a page: some answer at once, some in time, some too late, never, or with what asking again doesn't change.
@@ -815,17 +817,12 @@ def image_kinds(spark: SparkSession, d: str) -> DataFrame:
     return feeds.image_kinds(files).select("id", "extension")
 
 
-@query("select kind, n from (values ('good', 2), ('broken', -1), ('missing', -1)) as v(kind, n)")
+@query("select page_id, case page_id % 4 when 0 then 3 when 1 then 1 else -1 end::int as n, case page_id % 4 when 0 then 3 * page_id + 3 when 1 then page_id else 0 end::bigint as total from pages")
 def json_files(spark: SparkSession, d: str) -> DataFrame:
-    """JSON files: one that parses, one that is cut short, one that isn't there."""
-    out = []
-    for kind, body in (("good", '[{"a":1},{"a":2}]'), ("broken", '[{"a":1},'), ("missing", None)):
-        path = sinks.scratch_path(spark, kind)
-        if body is not None:
-            spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
-        rows = sinks.json_or_none(spark, path, "a int")
-        out.append((kind, -1 if rows is None else rows.count()))
-    return spark.createDataFrame(out, "kind string, n int")
+    """Landed JSON of each page: a list, an object, one that is cut short, one that isn't there."""
+    body = F.expr("""case page_id % 4 when 0 then concat('[{"a":', page_id, '},{"a":', page_id + 1, '},{"a":', page_id + 2, '}]') when 1 then concat('{"a":', page_id, '}') when 2 then concat('[{"a":', page_id, '},') end""")
+    rows = table(spark, d, "pages").select("page_id", sinks.json_rows(body, "a bigint").alias("rows"))
+    return rows.select("page_id", F.coalesce(F.size("rows"), F.lit(-1)).alias("n"), F.aggregate(F.coalesce("rows", F.array().cast("array<struct<a:bigint>>")), F.lit(0).cast("long"), lambda s, x: s + x["a"]).alias("total"))
 
 
 @query(
@@ -833,8 +830,8 @@ def json_files(spark: SparkSession, d: str) -> DataFrame:
 select 'hn-' || lower(to_hex(r::bigint)) as id, topic || ' #' || (i + 1) as title, (1704067200 - 60 * (t * 5 + i))::bigint as published from f where n = length(s)"""
 )
 def mock_connector_rows(spark: SparkSession, d: str) -> DataFrame:
-    topics = [r[0] for r in table(spark, d, "region").orderBy("r_regionkey").select("r_name").limit(100).collect()]  # the reader's topics, a parameter
-    rows = feeds.mock_connector(spark, "hn", topics, "2024-01-01 00:00:00")
+    topics = table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("t"), F.col("r_name").alias("topic"))
+    rows = feeds.mock_connector(topics, "hn", "2024-01-01 00:00:00")
     start = F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return rows.select("id", "title", (F.unix_seconds("published_at") - start + 1704067200).alias("published"))
 

@@ -283,16 +283,18 @@ def trust_records(spark: SparkSession, d: str) -> DataFrame:
 
 # -- settings and small fallbacks
 
-_RAW = [(1, "12"), (2, "-4"), (3, "7x"), (4, "x7"), (5, ""), (6, None), (7, "1.5e2z"), (8, " YES "), (9, "off"), (10, "a, b,,c "), (11, "0"), (12, ".5")]
+#: Settings as texts: numbers, what begins with one, what doesn't, blanks, words for yes and no, lists.
+_RAW = """case page_id % 12 when 0 then concat('', page_id) when 1 then concat('-', page_id) when 2 then concat(page_id, 'x') when 3 then concat('x', page_id) when 4 then '' when 6 then concat(page_id, '.5e2z') when 7 then ' YES ' when 8 then 'off' when 9 then concat('a', page_id, ', b,,c ') when 10 then '0' when 11 then concat('.', page_id) end"""
 
 
 @query(
-    rf"""with {sql_values('c', 'id, raw', _RAW)}, p as (select *, try_cast(nullif(regexp_extract(raw, '^\s*([+-]?\d+)', 1), '') as bigint) as i, try_cast(nullif(regexp_extract(raw, '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1), '') as double) as f, lower(trim(raw)) as b from c)
+    rf"""with c as (select page_id as id, {_RAW} as raw from pages), p as (select *, try_cast(nullif(regexp_extract(raw, '^\s*([+-]?\d+)', 1), '') as bigint) as i, try_cast(nullif(regexp_extract(raw, '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1), '') as double) as f, lower(trim(raw)) as b from c)
 select id, case when i > 0 then i else 6 end as i, coalesce(f, 0.25) as f, case when b in ('1', 'true', 'yes', 'y', 'on') then true when b in ('0', 'false', 'no', 'n', 'off') then false else true end as b, array_to_string(case when coalesce(raw, '') = '' then ['deal'] else list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '') end, '|') as l from p"""
 )
 def setting_values(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
-    return values(spark, "id int, raw string", _RAW).select("id", settings.int_setting(raw, 6).alias("i"), settings.float_setting(raw, 0.25).alias("f"), settings.bool_setting(raw, True).alias("b"), F.array_join(settings.list_setting(raw, ["deal"]), "|").alias("l"))
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.expr(_RAW).alias("raw"))
+    return rows.select("id", settings.int_setting(raw, 6).alias("i"), settings.float_setting(raw, 0.25).alias("f"), settings.bool_setting(raw, True).alias("b"), F.array_join(settings.list_setting(raw, ["deal"]), "|").alias("l"))
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..operators import dedupe, filters, joins, rank
+from ..operators.views import solo_groups
 from ..sources import feeds
 from ..sources.sinks import scratch
 
@@ -21,11 +22,10 @@ class Preferences:
 
 
 def rank_groups(groups: DataFrame, prefs: Preferences) -> DataFrame:
-    """Story groups in order: sources switched off go, then source quality, topics, perspectives and time, then preferences."""
+    """Story groups with rank, from 1: sources switched off go, then source quality, topics, perspectives and time, then preferences."""
     rows = filters.allowed_perspectives(groups, [s.lower().strip() for s in prefs.sources_off]) if prefs.sources_off else groups
     score = rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("topic_tags"), F.col("title"), F.col("created_at"), F.lit(0))
-    base = rank.group_order(prefs.topics)
-    return score.orderBy(F.asc("blocked"), F.desc("score"), F.desc("_ts"), *base).drop("_ts", "_seq")
+    return rank.ranked(score, [F.asc("blocked"), F.desc("score"), F.desc("_ts"), *rank.group_order(prefs.topics), F.asc("id")]).drop("_ts", "_seq")
 
 
 def merged(items: DataFrame, connectors: dict[str, DataFrame], enabled: set[str] | None = None) -> DataFrame:
@@ -87,3 +87,8 @@ def unseen_cards(cards: DataFrame, groups: DataFrame) -> DataFrame:
     seen = groups.select(F.explode("perspectives.url").alias("url")).distinct()
     filled = F.size(F.filter("bullets", lambda b: F.trim(b) != ""))
     return joins.unseen(cards, seen, "url").where(filled >= 4)
+
+
+def with_cards(groups: DataFrame, items: DataFrame, now) -> DataFrame:
+    """Groups, and a group of its own for each item that no group has and that has four bullets or more."""
+    return groups.unionByName(solo_groups(unseen_cards(items, groups), now), allowMissingColumns=True)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("articles", "sources", "clusters", "embeddings", "summaries", "trust_dashboard", "trust_fields", "neighbors", "feed", "story_groups")
@@ -78,9 +78,17 @@ def json_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | Non
     """Rows of a JSON file; None if there is no such file or a row doesn't parse."""
     if not exists(spark, path):
         return None
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True).cache()
-    broken = not rows.where("_corrupt_record is not null").isEmpty()
-    return None if broken else rows.drop("_corrupt_record")
+    rows = scratch(spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path, multiLine=True), "json")  # parsed once
+    if rows.where("_corrupt_record is not null").isEmpty():
+        return rows.drop("_corrupt_record")
+    unscratch(rows)
+    return None
+
+
+def json_rows(body: Column, schema: str) -> Column:
+    """The rows of a landed JSON text, a list or one object; null if it is missing or doesn't parse."""
+    fields = f"array<struct<{','.join(f.strip().replace(' ', ':', 1) for f in schema.split(','))}>>"
+    return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, fields))
 
 
 def cache_write(items: DataFrame, path: str, fetched_at: int) -> bool:

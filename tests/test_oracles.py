@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from brindle.plans import queries_feed, queries_text  # noqa: F401
+from brindle.plans import queries_feed, queries_served, queries_text  # noqa: F401
 from brindle.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
