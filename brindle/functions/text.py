@@ -7,6 +7,7 @@ from .article import article_of
 
 # White space as JavaScript's \s has it, and HTML entities in the order of decoding.
 SPACE = r"[\t-\r    -     　﻿]"
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
@@ -19,6 +20,11 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def bare(c: Column) -> Column:
+    """trim() of long texts: looks at their ends only."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))

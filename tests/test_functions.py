@@ -146,3 +146,11 @@ def test_json_and_dates(spark):
     got = [str(one(spark, text.parse_date(F.col("t"), now), t=t)) for t in ("Mon, 1 Jan 2024 10:00:00 +0000", "2024-01-01T10:00:00Z", "junk")]
     assert got == ["2024-01-01 10:00:00", "2024-01-01 10:00:00", "2024-01-02 00:00:00"]
     assert one(spark, text.ago(F.lit("2024-01-01 22:00:00").cast("timestamp"), now)) == "2h ago"
+
+
+def test_bare_is_trim(spark):
+    cases = ["", " ", "　 a b ﻿\n", "a", "\x0b\x0c\t\r\n x y ", "​ a ​", "é ü "]
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "c string").select(text.trim(F.col("c")).alias("a"), text.bare(F.col("c")).alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+    assert one(spark, text.bare(F.col("c")), c="\x85 a \x85") == "\x85 a \x85"  # no white space there
+    assert all((re.match(text.SPACE, chr(c)) is not None) == (chr(c) in text.SPACES) for c in range(0x10000))
