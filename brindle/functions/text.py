@@ -77,8 +77,11 @@ def page_image(html: Column) -> Column:
 
 
 def head_html(html: Column, limit: int = 64_000) -> Column:
-    """The first bytes of a page, as characters, cut after </head>."""
-    start = F.substring(html, 1, limit)
+    """The first bytes of a page in UTF-8, without a character that they cut, up to the end of </head>."""
+    raw = F.encode(html, "UTF-8")
+    within = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")  # noqa: E731; a byte that goes on with a character
+    end = F.when(~within(limit + 1), limit).when(~within(limit), limit - 1).when(~within(limit - 1), limit - 2).otherwise(limit - 3)
+    start = F.when(F.octet_length(html) <= limit, html).otherwise(F.decode(raw.substr(F.lit(1), end), "UTF-8"))
     end = F.locate("</head>", F.lower(start))
     return F.when(end > 0, start.substr(F.lit(1), end + 6)).otherwise(start)
 

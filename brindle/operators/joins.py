@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import known
+
 
 def with_name(df: DataFrame, key: str, names: DataFrame, name_key: str, name: str, alias: str) -> DataFrame:
     """A dimension's name, else the key itself."""
@@ -14,6 +16,11 @@ def unseen(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(key), key, "left_anti")
 
 
+def unseen_in(new: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """unseen(), of a published table that may be far larger than what is new: only what may hold a new key is read."""
+    return unseen(new, known(new, key, table).select(key), key)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows without a new one, and the new ones."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags, text
 from ..functions.values import SOURCE_TYPES
-from ..operators import aggregates, enrich, knn, views
+from ..operators import aggregates, enrich, joins, knn, views
 from ..sources import sinks
 from . import build, serving
 from .queries import _GROUP_IMAGE, _VEC, _assembled, _group_rows, _grouped_items
@@ -138,6 +138,31 @@ def published_groups(spark: SparkSession, d: str) -> DataFrame:
     return _group_rows(sinks.snapshot(spark, f"{root}/story_groups"))
 
 
+@query("with n as (select page_id * 2 as id, url from pages where page_id % 100 = 0 union all select page_id * 2 + 1, url || '-new' from pages where page_id % 100 = 0) select id from n where url not in (select url from pages where url is not null)")
+def unseen_published(spark: SparkSession, d: str) -> DataFrame:
+    """Which of new rows' addresses a published table doesn't have; every hundredth page and a changed address of each ask."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    path = sinks.scratch_path(spark, "addresses")
+    sinks.write_version(pages, path, 1, key="url")
+    few = pages.where("page_id % 100 = 0")
+    new = few.select((F.col("page_id") * 2).alias("id"), "url").unionByName(few.select((F.col("page_id") * 2 + 1).alias("id"), F.concat("url", F.lit("-new")).alias("url")))
+    return joins.unseen_in(new, sinks.current(spark, path), "url").select("id")
+
+
+@query("select event_type, count(*) as n, count(distinct user_id) as users, true as users_near, true as events_near from events group by 1")
+def distinct_by_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct users and events over three published versions, from the sketches that each left; near: within 3 % of the exact count."""
+    e = table(spark, d, "events")
+    root = sinks.scratch_path(spark, "sketches")
+    for k in range(3):
+        sinks.write_version(aggregates.sketched(e.where(F.col("event_id") % 3 == k), ["event_type"], "user_id", "event_id"), root, k, keep=3)
+    kept = spark.read.parquet(*(f"{root}/v={k}" for k in range(3)))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b) + 1
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("event_id").alias("events"))
+    merged = aggregates.sketches_merged(kept, ["event_type"], "user_id", "event_id").join(exact, "event_type")
+    return merged.select("event_type", "n", "users", near("user_id", "users").alias("users_near"), near("event_id", "events").alias("events_near"))
+
+
 # -- generators
 
 

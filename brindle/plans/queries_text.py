@@ -55,10 +55,11 @@ def page_plain_texts(spark: SparkSession, d: str) -> DataFrame:
     return texts(spark, d, "pages").select("page_id", F.md5(text.strip_html(F.col("html"), False)).alias("undecoded"), F.md5(text.strip_tags(F.col("html"))).alias("without_tags"))
 
 
-LONG = "concat(repeat('a', cast(63980 + page_id % 40 as int)), '</head>', html)"
+#: Pages whose </head> lies about the limit, after characters of one to four bytes.
+LONG = "case page_id % 4 when 0 then concat(repeat('a', cast(63980 + page_id % 40 as int)), '</head>', html) when 1 then concat('ab', repeat('é', cast(31985 + page_id % 23 as int)), '</head>', html) when 2 then concat(repeat('€', cast(21325 + page_id % 17 as int)), '</head>', html) else concat('a', repeat('😀', cast(15995 + page_id % 9 as int)), '</head>', html) end"
 
 
-@query(f"with p as (select page_id, substr({LONG}, 1, 64000) as h from pages), c as (select page_id, case when strpos(lower(h), '</head>') > 0 then substr(h, 1, strpos(lower(h), '</head>') + 6) else h end as h from p) select page_id, length(h) as n, md5(h) as digest from c")
+@query(f"with x as (select page_id, hex(encode({LONG})) as h from pages), b as (select *, list_filter([64000, 63999, 63998, 63997], lambda k: not (substr(h, 2 * k + 1, 2) between '80' and 'BF'))[1] as k from x), p as (select page_id, decode(unhex(substr(h, 1, 2 * k))) as h from b), c as (select page_id, case when strpos(lower(h), '</head>') > 0 then substr(h, 1, strpos(lower(h), '</head>') + 6) else h end as h from p) select page_id, length(h) as n, md5(h) as digest from c")
 def page_heads_cut(spark: SparkSession, d: str) -> DataFrame:
     """Heads of pages whose </head> lies about the limit of 64,000."""
     h = table(spark, d, "pages").select("page_id", text.head_html(F.expr(LONG)).alias("h"))

@@ -42,15 +42,36 @@ def current(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def write_version(df: DataFrame, path: str, n: int, keep: int = 2, by: str | None = None) -> None:
-    """Writes version n, which readers see when its commit mark stands, and deletes all but the last versions."""
+def write_version(df: DataFrame, path: str, n: int, keep: int = 2, by: str | None = None, key: str | None = None) -> None:
+    """Writes version n, which readers see when its commit mark stands, and deletes all but the last versions.
+
+    With a key, files hold ranges of it in order, with Bloom filters, so that a look for some keys skips most of them (see known())."""
     spark = df.sparkSession
+    if key:
+        df = df.repartitionByRange(*([by] if by else []), key).sortWithinPartitions(*([by] if by else []), key)
     writer = df.write.mode("overwrite")
+    if key:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
     (writer.partitionBy(by) if by else writer).parquet(f"{path}/v={n}")
     for old in versions(spark, path)[:-keep]:
         remove(spark, f"{path}/v={old}")
 
 
+#: Keys that are looked up by name; more are joined.
+LOOKUPS = 1000
+
+
+def known(keys: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """The rows of a table whose key is among those of keys(key).
+
+    Some LOOKUPS keys or fewer go into the scan, where ranges and Bloom filters of the files decide what is read at all; more
+    are joined. The keys are counted first, so what passes through the driver is bounded."""
+    few = [r[0] for r in keys.select(key).where(F.col(key).isNotNull()).distinct().limit(LOOKUPS + 1).collect()]
+    if len(few) <= LOOKUPS:
+        return table.where(F.col(key).isin(few)) if few else table.limit(0)
+    return table.join(keys.select(key).distinct(), key, "left_semi")
+
+
 def publish(tables: dict[str, DataFrame], root: str, by_day: str | None = None) -> None:
     """Writes a new version of each table to root; by_day names a time column that partitions the tables that have it."""
     for name, df in tables.items():

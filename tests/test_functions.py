@@ -154,3 +154,12 @@ def test_bare_is_trim(spark):
     assert all(r.a == r.b for r in df.collect())
     assert one(spark, text.bare(F.col("c")), c="\x85 a \x85") == "\x85 a \x85"  # no white space there
     assert all((re.match(text.SPACE, chr(c)) is not None) == (chr(c) in text.SPACES) for c in range(0x10000))
+
+
+def test_heads_are_cut_between_characters(spark):
+    pages = [p + "é€😀"[k % 3] * n + tail for p in ("", "a", "ab", "abc") for k in range(3) for n in (3, 9, 40) for tail in ("", "</HEAD>x")]
+    got = [(r.p, r.h) for r in spark.createDataFrame([(p,) for p in pages], "p string").select("p", text.head_html(F.col("p"), 20).alias("h")).collect()]
+    for p, h in got:
+        want = p.encode()[:20].decode(errors="ignore")
+        at = want.lower().find("</head>")
+        assert h == (want[: at + 7] if at >= 0 else want)

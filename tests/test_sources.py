@@ -5,6 +5,7 @@ import sys
 
 from pyspark.sql import functions as F
 
+from brindle.operators import aggregates, joins
 from brindle.sources import feeds, sinks
 
 def now():
@@ -118,6 +119,55 @@ sinks.flushed(spark.read.parquet({str(tmp_path / "items")!r}), "id", make, {str(
     assert sinks.flushed(items.where("id < 2"), "id", make, str(tmp_path / "few"), 6).count() == 2
 
 
+def _scanned(df):
+    """Rows that the scans of an executed plan gave."""
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.finalPhysicalPlan() if plan.nodeName().startswith("Adaptive") else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            out += node.metrics().apply("numOutputRows").value()
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_a_look_for_some_keys_reads_some_files(spark, tmp_path):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    rows = spark.range(120_000).select(F.sha2(F.col("id").cast("string"), 256).alias("url"), "id", F.to_date(F.lit("2024-01-01")).alias("day"))
+    try:
+        spark.conf.set(name, "500k")
+        sinks.write_version(rows.repartition(8), str(tmp_path / "t"), 1, key="url")
+    finally:
+        spark.conf.set(name, before)
+    table = sinks.current(spark, str(tmp_path / "t"))
+    files = len(table.inputFiles())
+    assert files >= 4
+    there = rows.where("id = 77").select("url")
+    missing = spark.createDataFrame([(f"{k:064x}"[::-1],) for k in range(1, 4)], "url string")  # within the files' ranges: Bloom filters tell
+    assert sinks.known(there, "url", table).select("id").collect()[0].id == 77
+    assert 0 < _scanned(sinks.known(there, "url", table)) <= 120_000 / files * 1.6
+    assert _scanned(sinks.known(missing, "url", table)) < 120_000 / 2
+    for n in (20, 3000):  # as values, and as a join
+        asked = rows.where(F.col("id") < n).select("url").unionByName(missing).unionByName(spark.createDataFrame([(None,)], "url string"))
+        assert sorted(r.id for r in sinks.known(asked, "url", table).collect()) == list(range(n))
+        got = joins.unseen_in(asked.where("url is not null"), table, "url")
+        assert {r.url for r in got.collect()} == {r.url for r in missing.collect()}
+    assert sinks.known(missing.limit(0), "url", table).count() == 0
+
+
+def test_sketches_stand_for_old_versions(spark, tmp_path):
+    days = [spark.range(k * 4000, k * 4000 + 6000).select((F.col("id") % 3).alias("g"), "id", F.lit(k).alias("day")) for k in range(5)]
+    for k, rows in enumerate(days):
+        aggregates.sketched(rows, ["g"], "id").write.parquet(str(tmp_path / f"v={k}"))
+    got = {r.g: (r.n, r.id) for r in aggregates.sketches_merged(spark.read.parquet(str(tmp_path)), ["g"], "id").collect()}
+    assert all(n == 10_000 and abs(x - 22_000 / 3) < 0.03 * 22_000 / 3 for n, x in got.values()) and len(got) == 3
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 600_000
+
+
 def test_images(spark, tmp_path):
     for name, raw in (("a", b"\xff\xd8\xff1"), ("b", b"\x89PNG1"), ("c", b"none"), ("d", b""), ("e", b"RIFF0000WEBP"), ("f", b"\xff\xd8\xff" + b"0" * 99)):
         (tmp_path / name).write_bytes(raw)
