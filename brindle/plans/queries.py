@@ -284,6 +284,12 @@ def vec_cosine_pairs_all(spark: SparkSession, d: str) -> DataFrame:
     return knn.cosine_pairs(table(spark, d, "embeddings"), 0.2).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query(f"{_VEC}, l as (select a.vec_id, count(*) as n from n a join n b on a.label = b.label and a.vec_id <> b.vec_id where list_dot_product(a.e, b.e) / (a.nrm * b.nrm) >= 0.2 group by 1) select v.vec_id, min(v.vec_id) over (partition by label, e) as class_id, coalesce(n, 0) as n_links from v left join l on v.vec_id = l.vec_id")
+def vec_cosine_links(spark: SparkSession, d: str) -> DataFrame:
+    """How many vectors of its label each one is similar to, and its class of equal ones: the whole job, a row a vector."""
+    return knn.cosine_links(table(spark, d, "embeddings"), 0.2)
+
+
 @query(f"{_VEC}, p as (select a.vec_id as id, b.vec_id as neighbour, b.vec_id % 20 as src, list_dot_product(a.e, b.e) / (a.nrm * b.nrm) as sim from n a join n b on a.label = b.label and a.vec_id <> b.vec_id), c as (select *, row_number() over (partition by id, src order by sim desc, neighbour) as r from p where sim >= 0.2), k as (select *, row_number() over (partition by id order by sim desc, neighbour) as rank from c where r <= 3) select id, neighbour, round(sim, 6) as sim, rank from k where rank <= 8")
 def vec_knn_capped(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 20).alias("source"), F.array("label").alias("tags"), "embedding", F.col("vec_id").alias("seq"))

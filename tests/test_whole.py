@@ -147,3 +147,19 @@ def test_tiles_out_of_reach_never_meet(spark):
     print(len(pairs), every, moved, sum(sizes.values()))
     assert len(pairs) < 0.35 * every and moved < 0.35 * sum(sizes[t] * n[t[0]] for t in sizes if t[0] < 2 and t[1] == 12)
     assert max(sizes.values()) < 300
+
+
+def test_links_are_the_pairs_counted(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(k), int(k % 3), rng.integers(-2, 3, 5).astype(float).tolist()) for k in range(500)]
+    rows += [(500 + k, 1, rows[1][2]) for k in range(60)] + [(7, 1, rows[4][2]), (900, None, [1.0] * 5), (901, 1, None), (902, 1, [0.0] * 5), (903, 2, []), (None, 1, rows[1][2]), (904, 0, [float("nan")] * 5)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    pairs = [(r.a, r.b) for r in knn.cosine_pairs(v, 0.71, tile=64).collect()]
+    want = collections.Counter(x for p in pairs for x in p)
+    got = knn.cosine_links(v, 0.71, tile=64).collect()
+    assert len(got) == len(rows) and all(r.n_links == want[r.vec_id] for r in got) and max(want.values()) > 60
+    sound = {i: (x, tuple(e)) for i, x, e in rows if x is not None and e and any(e) and e == e and i not in (7, None)}
+    least = {}
+    for i, k in sorted(sound.items()):
+        least.setdefault(k, i)
+    assert all(r.class_id == (least[sound[r.vec_id]] if r.vec_id in sound and r.vec_id != 904 else r.vec_id) for r in got if r.vec_id not in (7, None))
