@@ -3,7 +3,9 @@
 All of it is DataFrame expressions. URLs that a rule decides are the labelled ones (block: 1); the trees learn from at most
 LABELLED of them, those of least hash. A tree is grown a level at a time: one aggregate sums gradients and Hessians of the log
 loss by node, feature and bin, windows run over its sums, and the best split of each node comes back, some numbers a level.
-Sums are of whole numbers (in 2^-20), so no order of rows changes a tree. A fitted model is an expression of CASEs.
+Sums are of whole numbers (in 2^-20), so no order of rows changes a tree. A fitted model is an expression of CASEs. Allowed and
+blocked URLs weigh the same in sum, as how many of each the rules decide says nothing about other URLs: one without evidence
+scores 0.5.
 
 The features: length of URL and host, depth of the path, digits by length, entropy of the characters in bits, parameters; and of
 the host's last label (the suffix) over the whole table: log2 of its URLs, their mean length and depth, and their share of digits.
@@ -138,10 +140,10 @@ def _node(tree: list[Split], x: Column) -> Column:
 def fit(sample: DataFrame) -> Trees:
     """Trees over sample(y 0 or 1, x array<double>), a bounded table that is read once a level."""
     n, ones = sample.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    share = (ones + 0.5) / (n + 1)
-    base = math.log(share / (1 - share))
     if ones in (0, n):
-        return Trees(base, [])
+        share = (ones + 0.5) / (n + 1)
+        return Trees(math.log(share / (1 - share)), [])
+    weight = F.when(F.col("y") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones)))
     at = [k / BINS for k in range(1, BINS)]
     edges = [sorted(set(e)) for e in sample.agg(*(F.percentile(F.col("x")[k], at) for k in range(len(FEATURES)))).first()]
     x = F.col("x")
@@ -149,8 +151,8 @@ def fit(sample: DataFrame) -> Trees:
     rows = written(sample.sparkSession, sample.select("y", "x", bins.alias("b")), "url-bins")
     trees: list[list[Split]] = []
     for _ in range(ROUNDS):
-        p = Trees(base, trees).score(x)
-        now = rows.select("x", "b", F.round((p - F.col("y")) * UNIT).cast("long").alias("g"), F.round(p * (1 - p) * UNIT).cast("long").alias("h"))
+        p = Trees(0.0, trees).score(x)
+        now = rows.select("x", "b", F.round((p - F.col("y")) * weight * UNIT).cast("long").alias("g"), F.round(p * (1 - p) * weight * UNIT).cast("long").alias("h"))
         tree: list[Split] = []
         for level in range(DEPTH):
             found = {r["node"]: r for r in _splits(now.select(_node(tree, x).alias("node"), "b", "g", "h")).collect()}
@@ -164,7 +166,7 @@ def fit(sample: DataFrame) -> Trees:
                     tree.append(Split(r["f"], edges[r["f"]][r["k"]], value(r["lg"], r["lh"]), value(r["tg"] - r["lg"], r["th"] - r["lh"])))
         trees.append(tree)
     drop_path(sample.sparkSession, rows._brindle_path)
-    return Trees(base, trees)
+    return Trees(0.0, trees)
 
 
 def _splits(rows: DataFrame) -> DataFrame:

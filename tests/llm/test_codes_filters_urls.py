@@ -167,12 +167,12 @@ def plain_features(url, host, path, of):
 def plain_trees(x, y):
     """Boosting with the module's constants, a loop at a time."""
     u = urlfilter
-    share = (sum(y) + 0.5) / (len(y) + 1)
-    margin = [math.log(share / (1 - share))] * len(y)
+    weight = [len(y) / (2 * sum(y)) if b else len(y) / (2 * (len(y) - sum(y))) for b in y]
+    margin = [0.0] * len(y)
     edges = [sorted(set(np.percentile(x[:, f], [100 * k / u.BINS for k in range(1, u.BINS)]).tolist())) for f in range(x.shape[1])]
     for _ in range(u.ROUNDS):
         p = [1 / (1 + math.exp(-m)) for m in margin]
-        g, h = [round((a - b) * u.UNIT) / u.UNIT for a, b in zip(p, y, strict=True)], [round(a * (1 - a) * u.UNIT) / u.UNIT for a in p]
+        g, h = [round((a - b) * w * u.UNIT) / u.UNIT for a, b, w in zip(p, y, weight, strict=True)], [round(a * (1 - a) * w * u.UNIT) / u.UNIT for a, w in zip(p, weight, strict=True)]
 
         def grow(rows, level):
             tg, th = sum(g[i] for i in rows), sum(h[i] for i in rows)
