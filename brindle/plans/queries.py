@@ -231,11 +231,11 @@ def orders_anti_existing(spark: SparkSession, d: str) -> DataFrame:
     return joins.unseen(table(spark, d, "orders"), old, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query("with old as (select o_custkey as id, max(o_totalprice) as v from orders where o_orderstatus = 'F' group by 1), new as (select o_custkey as id, max(o_totalprice) as v from orders where o_orderstatus = 'O' group by 1), u as (select * from old where id not in (select id from new) union all select * from new) select id, v from u where id in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+@query("with old as (select o_custkey as id, max(o_totalprice) as v from orders where o_orderstatus = 'F' group by 1), new as (select o_custkey as id, max(o_totalprice) as v from orders where o_orderstatus <> 'F' group by 1), u as (select * from old where id not in (select id from new) union all select * from new) select id, v from u where id in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
 def trust_semi_upsert(spark: SparkSession, d: str) -> DataFrame:
     """New records replace old ones; those of unknown items go."""
     o = table(spark, d, "orders")
-    old, new = (o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v")) for s in "FO")
+    old, new = (o.where(c).groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_totalprice").alias("v")) for c in ("o_orderstatus = 'F'", "o_orderstatus <> 'F'"))
     known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"))
     return joins.present(joins.upsert(old, new, "id"), known, "id").select("id", "v")
 
@@ -408,10 +408,10 @@ def onboarding_tags(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.onboarding_tags(_topics(texts(spark, d)), "tags", "doc_id")
 
 
-@query("select l_orderkey as o_orderkey, array_to_string(list(l_linenumber order by l_linenumber), ',') as lines, sum(p_size)::bigint as size from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R' group by 1")
+@query("select l_orderkey as o_orderkey, array_to_string(list(l_linenumber order by l_linenumber), ',') as lines, sum(p_size)::bigint as size from lineitem join part on l_partkey = p_partkey group by 1")
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
     """Member ids of a cluster to their rows, in order."""
-    li = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    li = table(spark, d, "lineitem")
     c = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("xs"))
     c = c.select("o_orderkey", F.col("xs.l_linenumber").alias("numbers"), F.col("xs.l_partkey").alias("ids"))
     m = joins.members(c, "ids", table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")

@@ -206,14 +206,14 @@ def fetch_schedule(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("url").cast("long").alias("page_id"), "state", "attempt", F.coalesce("status", F.lit(0)).alias("status"), F.coalesce("due_ms", F.lit(0)).alias("due_ms"))
 
 
-@query("select event_id, case when event_id % 4 = 0 then event_id % 3 + 1 else 0 end as attempts, event_id % 4 = 0 as settled from events where event_id % 4 < 3")
+@query("select event_id, case when event_id % 4 = 0 then event_id % 3 + 1 else 0 end as attempts, event_id % 4 = 0 as settled from events")
 def settled_fetches(spark: SparkSession, d: str) -> DataFrame:
     """The first good response among a request and its two retries; a fourth attempt doesn't count, a failed request gives none."""
-    e = table(spark, d, "events").where("event_id % 4 < 3").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    e = table(spark, d, "events").withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(4))))
     good = F.expr("(event_id % 4 = 0 and attempt >= event_id % 3) or (event_id % 4 = 1 and attempt > 2)")
     attempts = e.select(F.col("event_id").alias("url"), "attempt", F.when(good, 200).otherwise(503).alias("status"), F.concat(F.lit("b"), "attempt").alias("body"))
     out = feeds.settled(attempts, retries=2)
-    every = table(spark, d, "events").where("event_id % 4 < 3").select(F.col("event_id").alias("url")).join(out, "url", "left")
+    every = table(spark, d, "events").select(F.col("event_id").alias("url")).join(out, "url", "left")
     return every.select(F.col("url").alias("event_id"), F.coalesce(F.col("attempt") + 1, F.lit(0)).cast("long").alias("attempts"), F.col("body").isNotNull().alias("settled"))
 
 
@@ -263,19 +263,20 @@ def articles_and_feed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with t as (select event_id, row_number() over (order by event_id) as k from events where event_type = 'view'), q as (select event_id, user_id % 8 as query, row_number() over (partition by user_id % 8 order by event_id) as k from events where event_type = 'click'),
+    """with t as (select event_id, row_number() over (order by event_id) as k from events where event_type <> 'click'), q as (select event_id, user_id % 8 as query, row_number() over (partition by user_id % 8 order by event_id) as k from events where event_type = 'click'),
 u as (select event_id, -1 as query, k from t where k <= 50 union all select event_id, query, k from q where query < 6 and k <= 25) select event_id, row_number() over (order by query, k) as seq from u"""
 )
 def timeline_and_searches(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("seq", F.col("event_id"))
     searches = e.where("event_type = 'click'").withColumn("query", F.col("user_id") % 8).select("event_id", "query", "seq")
-    return serving.fetched(e.where("event_type = 'view'").select("event_id", "seq"), searches).select("event_id", "seq")
+    return serving.fetched(e.where("event_type <> 'click'").select("event_id", "seq"), searches).select("event_id", "seq")
 
 
-@query("with c as (select event_id, user_id, ts, event_type from events where event_type in ('view', 'click')), r as (select *, row_number() over (partition by user_id order by event_type = 'click', event_id) as r from c) select event_id, user_id from r where r = 1")
+@query("with c as (select event_id, user_id, ts, event_type from events where event_type <> 'purchase'), r as (select *, row_number() over (partition by user_id order by event_type = 'click', event_id) as r from c) select event_id, user_id from r where r = 1")
 def connectors_merged(spark: SparkSession, d: str) -> DataFrame:
     """Rows of enabled connectors after the feed's own; the first of each key stays."""
     e = table(spark, d, "events")
+    e = e.withColumn("event_type", F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type")).otherwise("view"))
     row = lambda kind: e.where(F.col("event_type") == kind).select("event_id", "user_id", "event_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("post_url"), F.col("user_id").cast("string").alias("id"), "event_type")
     rows = {kind: row(kind).toDF("event_id", "user_id", "seq", "url", "post_url", "id", "event_type") for kind in ("view", "click", "purchase")}
     out = serving.merged(rows["view"], {"clicks": rows["click"], "purchases": rows["purchase"]}, enabled={"clicks"})
@@ -425,10 +426,10 @@ def summaries_reused(spark: SparkSession, d: str) -> DataFrame:
     return reused.join(forced, "id")
 
 
-@query("select c_custkey as id, case when c_custkey % 4 = 0 then 'kept' when c_custkey % 4 = 1 then 'replaced' else 'new' end as kind from customer where c_custkey % 4 < 3")
+@query("select c_custkey as id, case when c_custkey % 4 = 0 then 'kept' when c_custkey % 4 = 1 then 'replaced' else 'new' end as kind from customer")
 def trust_backfilled(spark: SparkSession, d: str) -> DataFrame:
     """Records of known items: good ones stay, placeholders are made again, missing ones made."""
-    items = table(spark, d, "customer").where("c_custkey % 4 < 3").select(F.col("c_custkey").alias("id"))
+    items = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     one = lambda word: F.from_json(F.lit(f'{{"whats_missing":["{word}"],"so_what":{{"near_term":["n"],"long_term":["l"]}},"framing":{{"lens":"human impact","emphasis":["e"],"downplays":[],"language_notes":[]}}}}'), trust.TRUST)
     old = items.where("id % 4 < 2").select("id", F.when(F.col("id") % 4 == 0, one("kept")).otherwise(trust.fallback_trust()).alias("trust"))
     old = old.unionByName(spark.range(5).select((-F.col("id") - 1).alias("id"), one("stale").alias("trust")))
@@ -836,12 +837,36 @@ def mock_connector_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "title", (F.unix_seconds("published_at") - start + 1704067200).alias("published"))
 
 
+def _landing(rows: DataFrame) -> DataFrame:
+    """rows as a stream of three files, one in each micro-batch."""
+    rows.repartition(3).write.parquet(path := sinks.scratch_path(rows.sparkSession, "landed"))
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("select floor(epoch(ts) / 86400)::bigint as day, event_type, count(*) as n from events group by 1, 2")
+def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of each day, kept while rows land within a year of the latest."""
+    at = F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit(NOW).cast("timestamp")) + NOW_S)  # whatever the session's time zone
+    counts = ingest.windowed_counts(_landing(table(spark, d, "events").withColumn("ts", at)), "ts", "event_type", late="366 days")
+    out = sinks.scratch_path(spark, "counts")
+    ingest.changes_to(counts, out, sinks.scratch_path(spark, "progress")).awaitTermination()
+    return ingest.latest_table(spark, out, "start", "event_type").select(F.floor(F.unix_seconds("start") / 86400).alias("day"), "event_type", "n")
+
+
+@query("select user_id, event_type, true as once from events group by 1, 2")
+def streamed_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The first row of each user and kind within a year, written once whichever batch brings it."""
+    first = ingest.distinct_within(_landing(table(spark, d, "events")), "ts", ["user_id", "event_type"], "366 days")
+    out = sinks.scratch_path(spark, "first")
+    ingest.changes_to(first, out, sinks.scratch_path(spark, "progress"), "append").awaitTermination()
+    rows = spark.read.option("basePath", f"{out}/changes").parquet(*(f"{out}/changes/v={v}" for v in sinks.versions(spark, f"{out}/changes")))
+    return rows.groupBy("user_id", "event_type").agg((F.count("*") == 1).alias("once"))
+
+
 @query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id) as r from events) where r = 1")
 def streamed_latest(spark: SparkSession, d: str) -> DataFrame:
     """The latest row of each key, kept by a stream that reads the table as it lands."""
-    events = table(spark, d, "events")
-    events.repartition(3).write.parquet(landed := sinks.scratch_path(spark, "landed"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    stream = _landing(table(spark, d, "events"))
     state = sinks.scratch_path(spark, "state")
     ingest.upsert_latest(stream, "user_id", "ts", "event_id", state, sinks.scratch_path(spark, "progress")).awaitTermination()
     return ingest.latest_table(spark, state, "user_id").select("user_id", "event_id", "ts")

@@ -39,20 +39,22 @@ def latest_rows(stream: DataFrame, key: str, ts: str, seq: str) -> DataFrame:
 
 
 def upsert_latest(stream: DataFrame, key: str, ts: str, seq: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps in the table the newest row of each key, as latest_rows() has it; latest_table() reads it.
+    """Keeps in the table the newest row of each key, as latest_rows() has it; latest_table() reads it."""
+    return changes_to(latest_rows(stream, key, ts, seq), table, checkpoint)
 
-    A micro-batch n writes the rows of its own keys as version n of the table's changes. Run again, it overwrites that version
-    with the same rows.
-    """
 
-    def append(rows: DataFrame, n: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{table}/changes/v={n}")
+def changes_to(rows: DataFrame, table: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
+    """Writes what each micro-batch n of a stateful stream changes as version n of the table's changes. Run again, it overwrites
+    that version with the same rows."""
 
-    with _with_store(stream.sparkSession):
-        return latest_rows(stream, key, ts, seq).writeStream.outputMode("update").foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def append(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/changes/v={n}")
 
+    with _with_store(rows.sparkSession):
+        return rows.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def latest_table(spark: SparkSession, table: str, key: str) -> DataFrame | None:
+
+def latest_table(spark: SparkSession, table: str, *key: str) -> DataFrame | None:
     """The table's rows: of each key the last change, else its row in the base. None if nothing was written yet."""
     base = versions(spark, f"{table}/base")[-1:]
     new = [v for v in versions(spark, f"{table}/changes") if not base or v > base[0]]
@@ -63,14 +65,14 @@ def latest_table(spark: SparkSession, table: str, key: str) -> DataFrame | None:
     columns = [c for c in rows.columns if c != "v"]
     if old is not None:
         rows = rows.unionByName(old.withColumn("v", F.lit(-1).cast("long")))
-    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in columns)), "v").alias("_row")).select("_row.*")
+    return rows.groupBy(F.struct(*(F.col(f"`{k}`") for k in key)).alias("_key")).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in columns)), "v").alias("_row")).select("_row.*")
 
 
-def fold(spark: SparkSession, table: str, key: str) -> None:
+def fold(spark: SparkSession, table: str, *key: str) -> None:
     """Writes the table as a base, after which readers need no change up to now. Changes that the base before needs stay until the next fold."""
     new, before = versions(spark, f"{table}/changes"), versions(spark, f"{table}/base")
     if new and (not before or new[-1] > before[-1]):
-        write_version(latest_table(spark, table, key), f"{table}/base", new[-1])
+        write_version(latest_table(spark, table, *key), f"{table}/base", new[-1])
         for v in new:
             if before and v <= before[-1]:
                 remove(spark, f"{table}/changes/v={v}")
