@@ -205,11 +205,12 @@ def extracted(items: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.withColumn("canonical_url", F.coalesce("_canonical", "url")).withColumn("page_image", F.col("_image")).withColumn("extracted_text", F.col("_text")).drop("_url", "_canonical", "_image", "_text")
 
 
-def mock_connector(topics: DataFrame, connector: str, now: str, per_topic: int = 3) -> DataFrame:
-    """Deterministic rows for tests: per_topic for each of topics(t, topic), t from 0, a minute apart."""
+def mock_connector(spark: SparkSession, connector: str, topics: list[str] | DataFrame, now: str, per_topic: int = 3) -> DataFrame:
+    """Deterministic rows for tests: per_topic for each topic, a minute apart. topics: names, or a table (t, topic) with t from 0."""
     from ..functions.hashing import rolling31_hex
 
-    rows = topics.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_topic - 1))))
+    rows = spark.createDataFrame(list(enumerate(topics)), "t int, topic string") if isinstance(topics, list) else topics
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(per_topic - 1))))
     seed = F.concat_ws("-", F.lit(connector), F.col("topic"), F.col("i").cast("string"))
     published = F.lit(now).cast("timestamp") - F.make_dt_interval(mins=F.col("t") * 5 + F.col("i"))
     return rows.select(F.concat(F.lit(f"{connector}-"), rolling31_hex(seed)).alias("id"), F.concat_ws(" ", F.col("topic"), F.concat(F.lit("#"), (F.col("i") + 1).cast("string"))).alias("title"), published.alias("published_at"))
