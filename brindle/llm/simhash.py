@@ -275,9 +275,10 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: i
     edges = dealt.mapInArrow(run, "a long, b long")
     joined = components(edges)
     of_class = classes.join(joined, F.col("cid") == F.col("node"), "left").select("key", "least", F.coalesce("component", "cid").alias("component"))
-    of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("key", "component_id")
+    least = written(spark, of_class.groupBy("component").agg(F.min("least").alias("component_id")), "least")  # apart, so that the join can split a large component
+    of_class = of_class.join(least, "component").select("key", "component_id")
     out = rows.join(of_class, "key", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     out = written(spark, out, "similar-groups")
-    for t in (rows, classes, shards):
+    for t in (rows, classes, shards, least):
         drop_path(spark, t._brindle_path)
     return out
