@@ -8,6 +8,7 @@ from .article import article_of
 # White space as JavaScript's \s has it, and HTML entities in the order of decoding.
 SPACE = r"[\t-\r    -     　﻿]"
 SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+SEPARATORS = " \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"  # Unicode's Zs, what trim() of SQL engines takes away
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
 
 
@@ -25,6 +26,11 @@ def bare(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 
 
+def trim_separators(c: Column) -> Column:
+    """Without spaces at the ends, of whatever width; tabs and line ends stay."""
+    return F.btrim(c, F.lit(SEPARATORS))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
@@ -100,6 +106,12 @@ def clamp_text(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
+def plain_number(value: Column) -> Column:
+    """A double of 1E-15 to 1E15 as its shortest digits, without an exponent."""
+    digits = value.cast("string")
+    return F.when(digits.contains("E"), F.regexp_replace(digits.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1")).otherwise(digits)
+
+
 def parse_date(text: Column, otherwise: Column) -> Column:
     """ISO 8601 or RFC 822, else what is given."""
     bare = F.regexp_replace(text, "^[A-Za-z]{3}, *", "")

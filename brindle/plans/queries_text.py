@@ -248,7 +248,8 @@ _CLAMPED = lambda hi: f"case when x is null or isnan(x) or isinf(x) then 0 else
 select id, {_CLAMPED(True)} as percent, {_CLAMPED(False)} as count, coalesce(nullif(trim(raw), ''), 'n/a') as safe from v"""
 )
 def trust_numbers(spark: SparkSession, d: str) -> DataFrame:
-    n = values(spark, "id long, raw string", _NUMBERS).unionByName(table(spark, d, "orders").select((F.col("o_orderkey") + 100).alias("id"), (F.round(F.col("o_totalprice") / 1000, 3) - 40).cast("string").alias("raw")))
+    rounded = F.round(F.col("o_totalprice") / 1000 * 1000) / 1000  # the double is rounded, as in SQL; F.round(x, 3) would round its decimal digits
+    n = values(spark, "id long, raw string", _NUMBERS).unionByName(table(spark, d, "orders").select((F.col("o_orderkey") + 100).alias("id"), text.plain_number(rounded - 40).alias("raw")))
     raw = F.col("raw")
     return n.select("id", trust.percent(raw).alias("percent"), trust.count(raw).alias("count"), trust.safe_string(raw).alias("safe"))
 
