@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.tags import token_tags
 from ..functions.text import embedding_text, summary_bullets, to_markdown
@@ -71,8 +73,9 @@ class _Calls:
 def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, valid: Callable[[str | None], bool], fallback: Column, batch: int = 16, attempts: int = 2, concurrency: int | None = None, pace: Pace = Pace(wait=0.0)) -> DataFrame:
     """df with output: what the model gave for the inputs, else the fallback.
 
-    A batch that fails, and what in it isn't valid, is asked for again (strictly), `attempts` times in all, at the given pace. With
-    `concurrency`, the rows are dealt to so many tasks, which alone call the model; what they come from is read by as many as ever.
+    A batch that fails, and what in it isn't valid, is asked for again (strictly), `attempts` times in all, at the given pace. Rows
+    pass through the tasks that call, whole, so nothing is joined. With `concurrency`, their inputs are dealt to so many tasks,
+    which alone call the model, and joined by the key; what they come from is read by as many as ever.
     """
     if model is None:
         return df.withColumn("output", fallback)
@@ -106,9 +109,22 @@ def generated(df: DataFrame, key: str, inputs: list[str], model: Model | None, v
                 rows = frame.iloc[a : a + batch]
                 yield pd.DataFrame({key: rows[key], "_output": asked(rows, call)})
 
-    rows = df.select(key, *inputs)
-    made = (rows.repartition(concurrency) if concurrency else rows).mapInPandas(run, f"{key} {kind}, _output string")
-    return df.join(made, key, "left").withColumn("output", F.coalesce("_output", fallback)).drop("_output")
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = _Calls(model, pace, 1)
+        for whole in batches:
+            for a in range(0, whole.num_rows, batch * 64):
+                b = whole.slice(a, batch * 64)
+                frame = b.select(names).rename_columns(inputs).to_pandas()
+                out = [x for k in range(0, len(frame), batch) for x in asked(frame.iloc[k : k + batch], call)]
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(out, pa.string())], ["row", "_output"])
+
+    if concurrency:
+        made = df.select(key, *inputs).repartition(concurrency).mapInPandas(run, f"{key} {kind}, _output string")
+        return df.join(made, key, "left").withColumn("output", F.coalesce("_output", fallback)).drop("_output")
+    names = [f"_in{k}" for k in range(len(inputs))]
+    rows = df.select(F.struct("*").alias("row"), *(F.col(c).alias(name) for c, name in zip(inputs, names, strict=True)))
+    made = rows.mapInArrow(passed, StructType([StructField("row", df.schema), StructField("_output", StringType())]))
+    return made.select("row.*", "_output").withColumn("output", F.coalesce("_output", fallback)).drop("_output")
 
 
 @dataclass(frozen=True)
