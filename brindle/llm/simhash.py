@@ -165,9 +165,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 2) -> DataFrame:
     return rows.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# -- groups by similarity: bands of min-hashes find candidates, the shingle sets decide. Fingerprints do not: they count
-# repeated shingles, so texts of nearly equal sets can be far apart
+# -- groups by similarity: texts are dealt by bands of min-hashes, BK-trees of their fingerprints find the pairs, and an exact
+# check of the shingle sets follows. Fingerprints here are of distinct shingles: counting repeats puts texts of nearly equal sets far apart
 
+#: Differing bits of fingerprints of texts that are compared whole. Of sets of similarity 0.8 a bit differs with a chance of at
+#: most 0.19 (sets of four and five shingles; 0.15 for large ones), so more than 28 of 64 do with one below 0.000002.
+RADIUS = 28
 #: A band is BAND min-hashes; texts of similarity 0.8 agree on one of BANDS with a chance above 0.9999.
 BANDS, BAND = 14, 3
 #: Classes, and shingles of all of them, in a tile of a shard; two tiles meet in one task.
@@ -176,7 +179,7 @@ _FACTORS = np.random.default_rng(7).integers(1, 2**63, BANDS * BAND, dtype=np.ui
 
 
 def sketch(text: str, k: int) -> tuple[bytes, int, list[int], int, bytes]:
-    """A digest of the shingle set, the fingerprint, the band values, the size of the set and the set (40 bits of each hash, sorted, packed)."""
+    """A digest of the shingle set, its fingerprint, the band values, the size of the set and the set (40 bits of each hash, sorted, packed)."""
     hashes = shingles(text, k)
     distinct = np.unique(hashes)
     low = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
@@ -186,16 +189,29 @@ def sketch(text: str, k: int) -> tuple[bytes, int, list[int], int, bytes]:
     value = bands[:, 0].copy()
     for j in range(1, BAND):
         value = (value ^ (value >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + bands[:, j]
-    return xxhash.xxh128_digest(distinct.tobytes()), majority(hashes), value.astype(np.int64).tolist(), len(distinct), pack(distinct >> np.uint64(24), delta=True)
+    return xxhash.xxh128_digest(distinct.tobytes()), majority(distinct), value.astype(np.int64).tolist(), len(distinct), pack(distinct >> np.uint64(24), delta=True)
 
 
 #: Cells of a block of the matrix of sets; shingles of more sets than RARE are counted by its products, all others by pairs of sets.
 CELLS, RARE = 1 << 22, 32
 
 
-def similar_links(cids: list[int], sets: list[np.ndarray], tiles: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what the graph of classes of at least that similarity connects. With two tiles, only pairs of either."""
+def close(prints: list[int], radius: int) -> np.ndarray:
+    """Which pairs i < j of fingerprints differ in at most radius bits, by a BK-tree."""
+    tree, out = BKTree(), np.zeros((len(prints), len(prints)), bool)
+    for j, x in enumerate(prints):
+        out[tree.within(x, radius), j] = True
+        tree.add(x)
+    return out
+
+
+def similar_links(cids: list[int], sets: list[np.ndarray], tiles: list[int], similarity: float, prints: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what the graph of classes of at least that similarity connects. With two tiles, only pairs of either; with
+    fingerprints, only pairs within RADIUS, and sets are looked at only if there is one."""
     n, size = len(sets), np.array([len(s) for s in sets])
+    found = None if prints is None else close(prints, RADIUS)
+    if found is not None and not found.any():
+        return []
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")  # owners rise within a shingle
     flat, owner = flat[order], owner[order]
@@ -219,6 +235,8 @@ def similar_links(cids: list[int], sets: list[np.ndarray], tiles: list[int], sim
         block[who[here], column[here] - a] = 1
         both += block @ block.T
     near = np.triu(both >= similarity * (size[:, None] + size - both) - 1e-6, 1)
+    if found is not None:
+        near &= found
     if len({*tiles}) > 1:
         near &= np.array(tiles)[:, None] != np.array(tiles)
     label = spanning(n, *np.nonzero(near))
@@ -229,7 +247,8 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: i
     """doc_id, fingerprint and component_id, the least doc_id that links reach: texts whose k-word shingle sets have at least that Jaccard similarity.
 
     Texts of equal sets are one class (those without words as well). Classes meet in shards named by a band of min-hashes; of a
-    shard's classes a task takes two tiles, of bounded numbers of classes and shingles, and counts what each pair shares. Sets
+    shard's classes a task takes two tiles, of bounded numbers of classes and shingles, finds the pairs of near fingerprints in a
+    BK-tree and counts what each of them shares. Sets
     are of 40 bits of each shingle's hash: two unlike shingles of a pair of texts of a thousand words count as one with a chance
     of a millionth. Rows of a null doc_id are in no group.
     """
@@ -244,28 +263,28 @@ def similar_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, tile: i
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketches, "doc_id long, key binary, fp long, bands array<long>, weight long, shingles binary")
     rows = written(spark, rows, "sketches")
-    light = rows.where("doc_id is not null").select("doc_id", "key", "bands", "weight")
+    light = rows.where("doc_id is not null").select("doc_id", "key", "fp", "bands", "weight")
     # written: the numbers stay. A class is its key, as rows of one doc_id can be in several
-    classes = written(spark, light.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands"), F.min("weight").alias("weight")).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    routed = classes.select("cid", "least", "key", "weight", F.posexplode("bands").alias("band", "value"))
+    classes = written(spark, light.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min("weight").alias("weight")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    routed = classes.select("cid", "least", "key", "fp", "weight", F.posexplode("bands").alias("band", "value"))
     many = routed.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("weight").alias("weights")).where("n > 1")
     shards = routed.join(many, ["band", "value"]).withColumn("tiles", F.ceil(F.greatest(F.col("n") / F.lit(tile), F.least("n", F.col("weights") / F.lit(WEIGHT)))).cast("int"))
     shards = shards.withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    shards = written(spark, shards.select("cid", "least", "key", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
+    shards = written(spark, shards.select("cid", "least", "key", "fp", "band", "value", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")), "shards")
     # only sets of classes that meet another go on; their join, the choice of one row and the join with the shards share one partitioning
     need = shards.select("least", "key").distinct()
     whole = rows.select(F.col("doc_id").alias("least"), "key", "shingles").join(need, ["least", "key"]).dropDuplicates(["least", "key"])
     key = ["band", "value", "low", "high"]
-    dealt = shards.join(whole, ["least", "key"]).select(*key, "cid", "shingles", "tile").repartition(*key).sortWithinPartitions(*key, "cid")
+    dealt = shards.join(whole, ["least", "key"]).select(*key, "cid", "shingles", "tile", "fp").repartition(*key).sortWithinPartitions(*key, "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = pa.schema([pa.field("a", pa.int64()), pa.field("b", pa.int64())])
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*key, "cid", "shingles", "tile")), strict=True))
+        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (*key, "cid", "shingles", "tile", "fp")), strict=True))
         out: list[tuple[int, int]] = []
         for _, group in groupby(rows, key=lambda r: r[:4]):
             members = list(group)
             if len(members) > 1:
-                out += similar_links([r[4] for r in members], [unpack(r[5]) for r in members], [r[6] for r in members], similarity)
+                out += similar_links([r[4] for r in members], [unpack(r[5]) for r in members], [r[6] for r in members], similarity, [r[7] & (2**64 - 1) for r in members])
             if len(out) > 10_000:
                 yield batch(edges, *map(list, zip(*out, strict=True)))
                 out = []

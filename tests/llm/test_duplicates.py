@@ -445,3 +445,15 @@ def test_arc_lines_and_lengths(version):
     assert head["warc-type"] == "resource" and head["content-type"] == "image/png" and block == b""
     missing = warc.ArcRecord("http://a", "0.0.0.0", "20010203040506", "text/html", "404", b"gone")
     assert b"HTTP/1.1 404 " in warc.warc_record(missing, {}, None)
+
+
+def test_groups_by_similarity_come_from_fingerprints(spark, monkeypatch):
+    """Pairs whose fingerprints are further apart than the radius are not linked, however many shingles they share."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 40, 100, dtype=np.uint64)
+    sets, prints = [np.sort(a), np.sort(a[:95]), np.sort(a[5:])], [0, 7, (1 << 64) - 1]
+    assert simhash.close([0, 7, 7, 255], 3).tolist() == [[False, True, True, False], [False, False, True, False], [False] * 4, [False] * 4]
+    assert len(simhash.similar_links([1, 2, 3], sets, [0] * 3, 0.8, [0] * 3)) == 2
+    assert {frozenset(x) for x in simhash.similar_links([1, 2, 3], sets, [0] * 3, 0.8, prints)} == {frozenset((1, 2))}
+    bits = lambda n, m, both: max((simhash.majority(x[:n]) ^ simhash.majority(x[n - both : n - both + m])).bit_count() for x in rng.integers(0, 2**64, (2000, n + m), dtype=np.uint64))
+    assert max(bits(5, 4, 4), bits(9, 9, 8), bits(90, 90, 80)) <= simhash.RADIUS
