@@ -56,11 +56,18 @@ def boost(sources: Column) -> Column:
     return F.when(F.exists(sources, lambda s: bound(F.lower(F.coalesce(s, F.lit(""))), lambda low: any_of(low, BOOSTED_SOURCES))), 3).otherwise(0)
 
 
-def group_order(topics: list[str]) -> list[Column]:
-    """Order of groups(perspectives, topic_tags, created_at): well-known sources, preferred topics, perspectives, newest."""
+def group_keys(topics: list[str]) -> dict[str, Column]:
+    """What GROUP_ORDER orders groups(perspectives, topic_tags, created_at) by: well-known sources, preferred topics, perspectives, time."""
     wanted = F.array(*(F.lit(t.lower()) for t in topics if t)).cast("array<string>")
     topic = F.size(F.filter("topic_tags", lambda t: F.array_contains(wanted, F.lower(t))))
-    return [boost(F.col("perspectives.source")).desc(), topic.desc(), F.size("perspectives").desc(), F.col("created_at").desc()]
+    return {"_well": boost(F.col("perspectives.source")), "_topics": topic, "_n": F.size("perspectives"), "_created": F.col("created_at")}
+
+
+GROUP_ORDER = "_well", "_topics", "_n", "_created"
+
+
+def group_order() -> list[Column]:
+    return [F.desc(c) for c in GROUP_ORDER]
 
 
 def card_score(summary: Column, image: Column, sources: Column) -> Column:
@@ -75,7 +82,7 @@ def social_score(has_url: Column, matched: Column, likes: Column, reposts: Colum
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with the place of each row in an order of all rows, from 1.
+    """df with the place of each row in an order of all rows, from 1. Order by plain columns: expressions would be computed for the bounds of ranges, for the ranges and for each sort.
 
     Row numbers and the values that order are sorted in ranges, and ranges numbered by their sizes; all other columns join last.
     """

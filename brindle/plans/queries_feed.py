@@ -312,8 +312,8 @@ def group_rank_topk(spark: SparkSession, d: str) -> DataFrame:
     """All groups in order: well-known sources, wanted topics, perspectives, newest."""
     topics = F.expr("array_compact(array(case when l_orderkey % 3 = 0 then 'AI' end, case when l_orderkey % 5 = 0 then 'Data' end, 'Space'))")
     g = _lines(spark, d).groupBy("l_orderkey").agg(F.collect_list(F.struct(F.expr(_NAME).alias("source"))).alias("perspectives"), F.max("l_shipdate").alias("created_at"))
-    g = g.withColumn("topic_tags", topics)
-    return rank.ranked(g, [*rank.group_order(["ai", "Data"]), F.asc("l_orderkey")]).select(F.col("l_orderkey").alias("id"), F.size("perspectives").alias("n"), F.col("rank").cast("int").alias("rank"))
+    g = g.withColumn("topic_tags", topics).select(F.col("l_orderkey").alias("id"), *(c.alias(k) for k, c in rank.group_keys(["ai", "Data"]).items()))
+    return rank.ranked(g, [*rank.group_order(), F.asc("id")]).select("id", F.col("_n").alias("n"), F.col("rank").cast("int").alias("rank"))
 
 
 _SUMMARY = "case l_orderkey % 3 when 0 then concat('- one', chr(10), '- two') when 1 then '- Key points: x' end"

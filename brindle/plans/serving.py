@@ -25,7 +25,8 @@ def rank_groups(groups: DataFrame, prefs: Preferences) -> DataFrame:
     """Story groups with rank, from 1: sources switched off go, then source quality, topics, perspectives and time, then preferences."""
     rows = filters.allowed_perspectives(groups, [s.lower().strip() for s in prefs.sources_off]) if prefs.sources_off else groups
     score = rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("topic_tags"), F.col("title"), F.col("created_at"), F.lit(0))
-    return rank.ranked(score, [F.asc("blocked"), F.desc("score"), F.desc("_ts"), *rank.group_order(prefs.topics), F.asc("id")]).drop("_ts", "_seq")
+    keyed = score.withColumns(rank.group_keys(prefs.topics))
+    return rank.ranked(keyed, [F.asc("blocked"), F.desc("score"), F.desc("_ts"), *rank.group_order(), F.asc("id")]).drop("_ts", "_seq", *rank.GROUP_ORDER)
 
 
 def merged(items: DataFrame, connectors: dict[str, DataFrame], enabled: set[str] | None = None) -> DataFrame:
