@@ -9,9 +9,9 @@ from .values import FRAMINGS, HEDGE_WORDS, HIGH_SIGNAL_TAGS, OPTIMISTIC, RUMOR_W
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    """Whether one of the words is a substring."""
+    """Whether one of the words is a substring; those that hold another one are not looked for, short ones come first."""
     out = F.lit(False)
-    for w in words:
+    for w in sorted((w for w in words if not any(v in w and v != w for v in words)), key=len):
         out = out | text.contains(w)
     return out
 

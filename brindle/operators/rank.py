@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import match_text
 from ..functions.tags import _CANONICAL, allowed_tag_scores, any_of, bound, canonical_tag
 from ..functions.text import good_bullets, trim
 from ..functions.values import BOOSTED_SOURCES
@@ -32,13 +31,14 @@ def by_preferences(df: DataFrame, topics: list[str], blocked: list[str], tags: C
     """
     low = F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(trim(t))), lambda t: t != "")
     canonical = F.transform(F.array_compact(F.transform(low, canonical_tag)), F.lower)
-    joined, body = F.array_join(low, " "), match_text(text)
+    joined, body = F.array_join(low, " "), F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("&"), F.lit(" and "))
+    in_body = lambda token: F.col("_b").rlike("[^a-z0-9]+".join(token.split())) if " " in token else F.col("_b").contains(token)  # noqa: E731; as in match_text(), which costs much more
     rows = df.withColumn("_c", canonical).withColumn("_j", joined).withColumn("_b", body).withColumn("_ts", ts).withColumn("_seq", seq)
     score, block = F.lit(0), F.lit(False)
     for c, token in matchers(topics):
         if c:
             score = score + F.when(F.array_contains("_c", c), 3).otherwise(0)
-        score = score + F.when(F.col("_j").contains(token), 2).otherwise(0) + F.when(F.col("_b").contains(token), 1).otherwise(0)
+        score = score + F.when(F.col("_j").contains(token), 2).otherwise(0) + F.when(in_body(token), 1).otherwise(0)
     for c, token in matchers(blocked):
         block = block | F.col("_j").contains(token) | (F.array_contains("_c", c) if c else F.lit(False))
     return rows.withColumn("score", score).withColumn("blocked", block).drop("_c", "_j", "_b")

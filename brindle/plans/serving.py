@@ -52,9 +52,10 @@ def rank_items(items: DataFrame, prefs: Preferences, connectors: dict[str, DataF
     items(id, url, post_url, source, source_type, title, text, tags, published_at, seq).
     """
     rows = filters.allowed_sources(items, F.col("source"), sources) if sources is not None else items
-    rows = scratch(merged(rows, connectors or {}).withColumn("_item", F.monotonically_increasing_id()), "feed")
+    rows = merged(rows, connectors or {}).withColumn("_item", F.monotonically_increasing_id())
     text = F.concat_ws(" ", "title", "text")
-    scored = rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("tags"), text, F.col("published_at"), F.col("seq"))
+    scored = scratch(rank.by_preferences(rows, prefs.topics, prefs.blocked, F.col("tags"), text, F.col("published_at"), F.col("seq")), "feed")  # texts are read once
+    rows = scored.select(*rows.columns)
     keys = scored.select("_item", "score", "blocked", "_ts", "_seq", (F.col("source_type") == "social").alias("_social"))  # what orders rows, without their texts
     keys = rank.interleaved(keys, F.col("_social"), [F.desc("_ts"), F.asc("_seq")]).withColumn("_seq", F.col("position"))
     if prefs.topics or prefs.blocked:
