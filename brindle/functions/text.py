@@ -137,27 +137,29 @@ def minutes_label(minutes: Column) -> Column:
 
 def bullets(markdown: Column) -> Column:
     """Lines that start with a dash and a space, without it."""
-    lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), trim)
-    return F.filter(F.transform(F.filter(lines, lambda x: x.startswith("- ")), lambda x: trim(F.regexp_replace(x, rf"^-+{SPACE}*", ""))), lambda x: x != "")
+    lines = F.transform(F.split(F.coalesce(markdown, F.lit("")), "\n"), bare)
+    return F.filter(F.transform(F.filter(lines, lambda x: x.startswith("- ")), lambda x: bare(F.regexp_replace(x, rf"^-+{SPACE}*", ""))), lambda x: x != "")
 
 
 def bullets_or_line(text: Column) -> Column:
-    found = bullets(text)
-    return F.when(F.size(found) > 0, found).when(F.coalesce(trim(text), F.lit("")) != "", F.array(trim(text))).otherwise(F.array().cast("array<string>"))
+    """Bullets, else the whole text as one line, if it isn't blank."""
+    line = bound(bare(text), lambda x: F.when(F.coalesce(x, F.lit("")) != "", F.array(x)).otherwise(F.array().cast("array<string>")))
+    return bound(bullets(text), lambda found: F.when(F.size(found) > 0, found).otherwise(line))
 
 
 def good_bullets(markdown: Column) -> Column:
     """Two to eight bullets of at most 140 characters, without stock phrases."""
-    found, low = bullets(markdown), F.lower(F.coalesce(markdown, F.lit("")))
-    return ~low.contains("not specified") & ~low.contains("key points:") & F.size(found).between(2, 8) & ~F.exists(found, lambda b: F.length(b) > 140)
+    low = F.lower(F.coalesce(markdown, F.lit("")))
+    few = bound(bullets(markdown), lambda found: F.size(found).between(2, 8) & ~F.exists(found, lambda b: F.length(b) > 140))
+    return few & bound(low, lambda x: ~x.contains("not specified") & ~x.contains("key points:"))
 
 
 def summary_bullets(title: Column, markdown: Column, least: int = 2) -> Column:
     """A summary's first six bullets; the title alone where they are too weak."""
-    found = F.filter(F.transform(bullets(markdown), lambda b: trim(F.regexp_replace(b, rf"(?i)^key points:?{SPACE}*", ""))), lambda b: ~F.lower(b).contains("not specified") & ~F.lower(b).contains("as an ai"))
-    weak = (F.size(found) < max(1, least)) | F.lower(F.coalesce(markdown, F.lit(""))).contains("not specified") | F.exists(found, lambda b: F.length(b) > 220)
-    fallback = F.filter(F.array(trim(F.coalesce(title, F.lit("")))), lambda t: t != "")
-    return F.when(weak, fallback).otherwise(F.slice(found, 1, 6))
+    found = F.filter(F.transform(bullets(markdown), lambda b: bare(F.regexp_replace(b, rf"(?i)^key points:?{SPACE}*", ""))), lambda b: ~F.lower(b).contains("not specified") & ~F.lower(b).contains("as an ai"))
+    vague = F.lower(F.coalesce(markdown, F.lit(""))).contains("not specified")
+    fallback = F.filter(F.array(bare(F.coalesce(title, F.lit("")))), lambda t: t != "")
+    return bound(found, lambda x: F.when((F.size(x) < max(1, least)) | F.exists(x, lambda b: F.length(b) > 220) | vague, fallback).otherwise(F.slice(x, 1, 6)))
 
 
 def unique_strings(items: Column) -> Column:
@@ -171,8 +173,9 @@ def to_markdown(items: Column) -> Column:
 
 def valid_summary(markdown: Column, least: int = 120) -> Column:
     """Long enough, four or five bullets, no disclaimer."""
-    n = F.size(F.filter(F.split(markdown, "\n"), lambda x: trim(x).startswith("- ")))
-    return F.coalesce((F.length(markdown) >= least) & n.between(4, 5) & ~disclaims(markdown), F.lit(False))
+    n = F.size(F.filter(F.split(markdown, "\n"), lambda x: bare(x).startswith("- ")))
+    good = (F.length(markdown) >= least) & bound(n, lambda k: k.between(4, 5))
+    return F.coalesce(good & ~disclaims(markdown), F.lit(False))
 
 
 def valid_text(text: Column, least: int = 400) -> Column:
@@ -199,7 +202,7 @@ def article_body(stored: Column, fetched: Column, description: Column, least: in
 
 
 def disclaims(text: Column) -> Column:
-    return F.lower(text).contains("as an ai") | F.lower(text).contains("as a language model")
+    return bound(F.lower(text), lambda low: low.contains("as an ai") | low.contains("as a language model"))
 
 
 def sentence_chunks(text: Column, target: int = 700) -> Column:

@@ -120,7 +120,7 @@ array_to_string(list_transform(g, lambda x: '- ' || x), chr(10)) as markdown, co
 def bullet_forms(spark: SparkSession, d: str) -> DataFrame:
     md = F.col("md")
     m = texts(spark, d).select("doc_id", "source", F.expr(MD).alias("md"))
-    own = text.summary_bullets(F.col("source"), md)
+    m, own = m.withColumn("own", text.summary_bullets(F.col("source"), md)), F.col("own")  # computed once, as it is used twice
     return m.select("doc_id", digest(text.bullets_or_line(md)).alias("lines"), text.good_bullets(md).alias("good"), digest(own).alias("summary"), text.to_markdown(own).alias("markdown"), text.valid_summary(md).alias("valid"), text.valid_text(md).alias("valid_text"))
 
 
